@@ -7,14 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, secret_scan, shards
-from .common import table
+import public_tokenizers
+
+from . import bpe, fingerprints, language, near_join, quality, secret_scan, shards
+from .common import held_out, table
+
+RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
 def op1_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.chained(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    voter = quality.learn(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs.withColumn("held_out", held_out()), voter)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= quality.LEAST_SCORE).cast("int").alias("predicted"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -33,9 +44,30 @@ def op4_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    network = language.learn(docs)
+    return language.identify(docs.select("doc_id", held_out().alias("held_out"), "text"), network).drop("text")
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = bpe.encode(docs, RANKS, PATTERN).select("doc_id", "ids")
+    return bpe.decode(ids, RANKS, PATTERN).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_syncmer_fingerprints, op3_secret_scan, op4_byte_shards)
+    for f in (op1_syncmer_fingerprints, op2_quality_votes, op3_secret_scan, op4_byte_shards, op5_near_duplicates, op6_language, op10_byte_bpe)
 }
 
 ORACLES: dict[str, str] = {}

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, fingerprints, language, near_join, quality, secret_scan, shards
-from .common import held_out, table
+from . import ann, bpe, fingerprints, html_text, language, mixing, near_join, quality, secret_scan, shards
+from .common import cut, held_out, table
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -54,6 +54,20 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", held_out().alias("held_out"), "text"), network).drop("text")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    told = mixing.tell_topics(docs, mixing.learn_topics(docs)).withColumn("tokens", mixing.tokens("text"))
+    return mixing.mix(docs, cut(told.drop("text")))
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = bpe.encode(docs, RANKS, PATTERN).select("doc_id", "ids")
@@ -67,7 +81,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_syncmer_fingerprints, op2_quality_votes, op3_secret_scan, op4_byte_shards, op5_near_duplicates, op6_language, op10_byte_bpe)
+    for f in (op1_syncmer_fingerprints, op2_quality_votes, op3_secret_scan, op4_byte_shards, op5_near_duplicates, op6_language, op7_mixing, op8_main_text, op9_neighbours, op10_byte_bpe)
 }
 
 ORACLES: dict[str, str] = {}

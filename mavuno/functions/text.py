@@ -18,6 +18,11 @@ def _c(c: Text) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Text) -> Column:
     return F.regexp_replace(_c(c), rf"^(?:{SPACE})+|(?:{SPACE})+$", "")
 

@@ -43,12 +43,17 @@ LABELS = ("Symptoms", "Causes:", "TREATMENT", "Diet -", "Notes", "Remedies:")
 
 
 def book_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as the pages of books, a book for each source, with headings and labels where prose has none: every seventh
+    """documents as the pages of books, a book for each source and thousand ids, with headings and labels where prose has none: every seventh
     line of a page is replaced by its first words in capitals, and the line two below by one of LABELS."""
-    d = documents(spark, sf_dir).select("source", F.col("doc_id").alias("page_no"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    d = documents(spark, sf_dir).select(_book(), F.col("doc_id").alias("page_no"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     return d.select("source", "page_no", F.col("pos").cast("long").alias("pos"), _shaped(F.col("page_no"), F.col("pos"), F.col("line")).alias("line"))
 
 
+def _book() -> Column:
+    """Books hold a thousand pages at most, so a window over a book stays small however large the corpus is."""
+    return F.concat(F.col("source"), F.lit("/"), F.floor(F.col("doc_id") / 1000)).alias("source")
+
+
 def _shaped(page: Column, pos: Column, line: Column) -> Column:
     head = F.upper(F.regexp_extract(F.regexp_replace(line, "[^A-Za-z ]", ""), r"^ *[A-Za-z]+(?: [A-Za-z]+)?", 0))
     label = F.element_at(F.array(*map(F.lit, LABELS)), (F.pmod(page + pos, F.lit(6)) + 1).cast("int"))
@@ -56,7 +61,7 @@ def _shaped(page: Column, pos: Column, line: Column) -> Column:
 
 
 _LABEL_SQL = "list_extract([" + ", ".join(f"'{x}'" for x in LABELS) + "], CAST((page_no + pos) % 6 + 1 AS INT))"
-BOOK = rf"""raw AS (SELECT source, doc_id AS page_no, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+BOOK = rf"""raw AS (SELECT source || '/' || (doc_id // 1000) AS source, doc_id AS page_no, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
 book AS (SELECT source, page_no, pos, CASE WHEN pos % 7 = 0 THEN trim(upper(regexp_extract(regexp_replace(line, '[^A-Za-z ]', '', 'g'), '^ *[A-Za-z]+(?: [A-Za-z]+)?')))
  WHEN pos % 7 = 2 THEN {_LABEL_SQL} ELSE line END AS line FROM raw)"""
 
@@ -65,7 +70,7 @@ def book_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source, page_no, text) of the same books."""
     d = documents(spark, sf_dir)
     lines = F.transform(F.split("text", "\n"), lambda x, i: _shaped(F.col("doc_id"), i, x))
-    return d.select("source", F.col("doc_id").alias("page_no"), F.array_join(lines, "\n").alias("text"))
+    return d.select(_book(), F.col("doc_id").alias("page_no"), F.array_join(lines, "\n").alias("text"))
 
 
 BOOK_PAGES = BOOK + ", book_pages AS (SELECT source, page_no, string_agg(line, chr(10) ORDER BY pos) AS text FROM book GROUP BY ALL)"

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 Text = Column | str
 #: White space in the Unicode sense; Java's plain \s knows ASCII only.
@@ -71,7 +72,7 @@ def section_slug(c: Text) -> Column:
     return F.when(t == "", F.lit("section")).otherwise(t)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def slugify_decomposed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Slug after NFKD, which Spark lacks: an accent inside a word is a mark of its own and so becomes a hyphen."""
     for s in batches:

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import text as T
 from .lines import blocks, joined, label_then_text, sections
@@ -65,7 +66,7 @@ def paragraphs(text: Column | str, least: int = 160) -> Column:
     return F.filter(F.transform(parts, T.squash_ws), lambda x: F.length(x) >= least)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def wrap(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Pieces of at most 600 characters, cut at blanks; words and hyphens are never broken."""
     for s in batches:

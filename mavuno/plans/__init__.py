@@ -1,6 +1,6 @@
 """Queries that apply the library to the given tables, and the same in SQL."""
 
-from . import quality_queries, search_queries, structure_queries, text_queries  # noqa: F401
+from . import quality_queries, search_queries, structure_queries, text_queries, vector_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -227,7 +227,7 @@ def find_blocks(text: Column | str) -> Column:
     belongs to its block."""
     t = F.replace(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), F.lit("\r\n"), F.lit("\n"))
     rest = lambda x: F.regexp_extract(T.strip(x), r"[:\-–—]\s*(.+)$", 1)
-    found = sections(F.split(t, "\n"), lambda x: _heading_key(x).isNotNull(), lambda x: label_then_text(_heading_key(x), F.concat(rest(x), F.lit("\n"))))
+    found = sections(F.split(t, "\n"), lambda x: _heading_key(x).isNotNull(), lambda x: label_then_text(_heading_key(x), rest(x)))
     return merged_sections(F.transform(found, lambda x: F.struct(F.coalesce(x["head"], F.lit("overview")).alias("head"), x["body"].alias("body"))))
 
 

@@ -131,7 +131,7 @@ class Network:
         raw = [np.frombuffer(t.encode(), np.uint8) for t in texts]
         counts = np.array([-(-len(x) // WIDTH) for x in raw])
         total = np.zeros((len(raw), len(self.languages)))
-        if counts.sum():
+        if counts.sum() and self.languages:
             flat = np.zeros((counts.sum(), WIDTH), np.uint8)
             sizes = np.full(len(flat), WIDTH)
             at = 0

@@ -37,14 +37,15 @@ def repetition(codes: np.ndarray, width: int = 16) -> float:
     n = len(codes) - width + 1
     if n < 2:
         return 0.0
-    powers = np.cumprod(np.full(len(codes), 0x9E3779B1, np.uint32))  # odd, so that windows compare as differences of sums
+    powers, back = (np.cumprod(np.full(len(codes), b, np.uint32), dtype=np.uint32) for b in (_BASE, _INVERSE))
     sums = np.concatenate([np.zeros(1, np.uint32), np.cumsum(codes * powers, dtype=np.uint32)])
-    window = (sums[width:] - sums[:-width]) * np.cumprod(np.full(len(codes), _INVERSE, np.uint32))[: n]
+    window = (sums[width:] - sums[:-width]) * back[:n]  # the base is odd, so a window's sum can be moved back to place 0
     window.sort()
     return float(np.count_nonzero(window[1:] == window[:-1])) / n
 
 
-_INVERSE = np.uint32(pow(0x9E3779B1, -1, 1 << 32))
+_BASE = np.uint32(0x9E3779B1)
+_INVERSE = np.uint32(pow(int(_BASE), -1, 1 << 32))
 
 
 def terms(text: str | None) -> np.ndarray:

@@ -16,7 +16,7 @@ HIDDEN = 8
 WIDTH = 64  # bytes of a window; every window of a text is read, in both directions
 TRAIN_TEXTS = 512  # bound of the training sample for each language
 TRAIN_CHARS = 256  # and of the passage that is taken, anywhere, from each sampled text
-STEPS, BATCH, RATE = 260, 256, 0.02
+STEPS, BATCH, RATE = 300, 256, 0.02
 UNKNOWN = "und"
 
 # A direction's parameters: `x` (3H x 256) what each byte adds to update gate, reset gate and candidate, `u` (3H x H) what
@@ -170,7 +170,7 @@ def train(passages: list[str], languages: list[str], hidden: int = HIDDEN, steps
             if len(raw) >= WIDTH:
                 windows.append(raw[i : i + WIDTH])
                 goal.append(names.index(name))
-    init = lambda *shape: (rng.standard_normal(shape) * 0.3).astype(np.float32)
+    init = lambda *shape: (rng.standard_normal(shape) * 0.15).astype(np.float32)
     side = lambda: {"x": init(3 * hidden, 256), "u": init(3 * hidden, hidden), "c": np.zeros((hidden, 1), np.float32)}
     net = Network(names, side(), side(), init(len(names), 2 * hidden), np.zeros((len(names), 1), np.float32))
     if not windows or len(names) < 2:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import cut, numbered
 from .structure import GROUPS, infer_group
 
 
@@ -14,9 +15,7 @@ def family(id: Column | str = "id") -> Column:
 
 def family_lists(items: DataFrame) -> DataFrame:
     """(family, n, place, id, title): each family's items in title order, as rows rather than one list."""
-    w = Window.partitionBy("family")
-    rows = items.select(family().alias("family"), "id", "title")
-    return rows.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("place", F.row_number().over(w.orderBy("title", "id")))
+    return numbered(items.select(family().alias("family"), "id", "title"), ["family"], ["title", "id"], "place", "n")
 
 
 def az_groups(items: DataFrame) -> DataFrame:
@@ -24,7 +23,7 @@ def az_groups(items: DataFrame) -> DataFrame:
     of case."""
     first = F.upper(F.substring(F.trim("title"), 1, 1))
     rows = items.select(F.when(first.rlike("[A-Z]"), first).otherwise(F.lit("#")).alias("letter"), "id", "title")
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("letter").orderBy(F.lower("title"), "id")))
+    return numbered(rows.withColumn("_low", F.lower("title")), ["letter"], ["_low", "id"]).drop("_low")
 
 
 def group_buckets(items: DataFrame) -> DataFrame:
@@ -39,8 +38,7 @@ def pick_of_day(items: DataFrame, day: Column, shifts: dict[str, int] | None = N
     shifts = {"principle": 17} if shifts is None else shifts
     rows = items.select(family().alias("family"), "id", "title")
     shift = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in shifts.items() for x in kv]), F.col("family")), F.lit(0))
-    w = Window.partitionBy("family")
-    rows = rows.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_at", F.row_number().over(w.orderBy("id")) - 1)
+    rows = numbered(rows, ["family"], ["id"], "_place", "_n").withColumn("_at", F.col("_place") - 1)
     return rows.filter(F.col("_at") == F.pmod(F.unix_date(day) + shift, F.col("_n"))).select("family", "id", "title")
 
 
@@ -48,8 +46,7 @@ def quiz(items: DataFrame, seed: int = 0, choices: int = 4, pool: int = 16) -> D
     """(id, place, choice, correct): each item with choices - 1 others, shuffled by a seeded hash. Families of fewer items than
     choices give none. Others come from the `pool` items that follow in a seeded order of the family, never from all pairs."""
     rows = items.select(family().alias("family"), "id").withColumn("_h", F.xxhash64(F.lit(seed), "id"))
-    w = Window.partitionBy("family")
-    rows = rows.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_at", F.row_number().over(w.orderBy("_h", "id")) - 1).filter(F.col("_n") >= choices)
+    rows = cut(numbered(rows, ["family"], ["_h", "id"], "_place", "_n").withColumn("_at", F.col("_place") - 1).filter(F.col("_n") >= choices))
     ask = rows.withColumn("_step", F.explode(F.sequence(F.lit(1), F.least(F.col("_n") - 1, F.lit(pool)).cast("int"))))
     ask = ask.select("family", "id", F.pmod(F.col("_at") + F.col("_step"), F.col("_n")).alias("_other"))
     others = ask.join(rows.select("family", F.col("_at").alias("_other"), F.col("id").alias("choice")), ["family", "_other"])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .search import rank
 
-QUERY_BLOCK = 1024  # queries that a task holds against a batch of the index
+QUERY_BLOCK, INDEX_BLOCK = 1024, 16_384  # queries and index rows that a task holds at a time
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -83,12 +83,12 @@ def mean_pool(tokens: DataFrame, key: str, vector: str, mask: str) -> DataFrame:
 def top_k(index: DataFrame, queries: DataFrame, k: int, metric: str = "dot", key: str = "id", query_key: str = "query_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): the exact k best of the whole index for every query.
 
-    Queries travel in blocks of QUERY_BLOCK packed vectors; each part of the index meets each block once. A task keeps
+    Queries are dealt into blocks of about QUERY_BLOCK, the index into parts of about INDEX_BLOCK; each part meets each block once. A task keeps
     k rows for each query of its block, so only those are ranked over all parts. Ties go to the smaller id.
     """
     n = queries.count()
     n_blocks = max(1, -(-n // QUERY_BLOCK))
-    parts = max(1, index.rdd.getNumPartitions())
+    parts = max(1, -(-index.count() // INDEX_BLOCK))
     id_type = dict(index.dtypes)[key]
     q_type = dict(queries.dtypes)[query_key]
     rows = index.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part"))

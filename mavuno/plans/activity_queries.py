@@ -15,7 +15,7 @@ from .inputs import ACTIVITY, ITEMS, activity, items, table
 from .registry import ORACLES, query
 
 
-@query(f"WITH {ITEMS} SELECT split_part(id, '-', 1) AS family, id, title, count(*) OVER (PARTITION BY split_part(id, '-', 1)) AS n, CAST(row_number() OVER (PARTITION BY split_part(id, '-', 1) ORDER BY title, id) AS INT) AS place FROM items")
+@query(f"WITH {ITEMS} SELECT split_part(id, '-', 1) AS family, id, title, count(*) OVER (PARTITION BY split_part(id, '-', 1)) AS n, row_number() OVER (PARTITION BY split_part(id, '-', 1) ORDER BY title, id) AS place FROM items")
 def br_family_lists(spark, sf_dir):
     return B.family_lists(items(spark, sf_dir))
 
@@ -23,7 +23,7 @@ def br_family_lists(spark, sf_dir):
 _LETTER = "CASE WHEN regexp_matches(upper(substring(trim(title), 1, 1)), '[A-Z]') THEN upper(substring(trim(title), 1, 1)) ELSE '#' END"
 
 
-@query(f"WITH {ITEMS} SELECT {_LETTER} AS letter, id, title, CAST(row_number() OVER (PARTITION BY {_LETTER} ORDER BY lower(title), id) AS INT) AS place FROM items")
+@query(f"WITH {ITEMS} SELECT {_LETTER} AS letter, id, title, row_number() OVER (PARTITION BY {_LETTER} ORDER BY lower(title), id) AS place FROM items")
 def br_az_groups(spark, sf_dir):
     return B.az_groups(items(spark, sf_dir))
 

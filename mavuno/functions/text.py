@@ -185,6 +185,19 @@ def shorten(c: Text, width: int, mark: str = " …") -> Column:
     return F.when(F.length(t) <= width, t).otherwise(F.when(head == "", F.lit(mark.strip())).otherwise(F.concat(head, F.lit(mark))))
 
 
+def pack(pieces: Column, most: int) -> Column:
+    """Join pieces greedily by a space while a pack stays at most `most` characters long; longer pieces stand alone."""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("cur"))
+
+    def step(a: Column, s: Column) -> Column:
+        fresh = F.struct(a["done"].alias("done"), s.alias("cur"))
+        longer = F.struct(a["done"].alias("done"), F.concat(a["cur"], F.lit(" "), s).alias("cur"))
+        closed = F.struct(F.array_append(a["done"], a["cur"]).alias("done"), s.alias("cur"))
+        return F.when(a["cur"].isNull(), fresh).when(F.length(a["cur"]) + F.length(s) < most, longer).otherwise(closed)
+
+    return F.aggregate(pieces, start, step, lambda a: F.when(a["cur"].isNull(), a["done"]).otherwise(F.array_append(a["done"], a["cur"])))
+
+
 def language_body(lang: Column, en: Text = "content_en", sw: Text = "content_sw") -> Column:
     """The body in the wanted language, else in the other one; only null counts as missing."""
     return F.when(lang == "sw", F.coalesce(_c(sw), _c(en))).otherwise(F.coalesce(_c(en), _c(sw)))

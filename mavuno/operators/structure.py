@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import textwrap
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import text as T
 from .lines import blocks, joined, label_then_text, sections
@@ -66,20 +61,12 @@ def paragraphs(text: Column | str, least: int = 160) -> Column:
     return F.filter(F.transform(parts, T.squash_ws), lambda x: F.length(x) >= least)
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def wrap(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Pieces of at most 600 characters, cut at blanks; words and hyphens are never broken."""
-    for s in batches:
-        yield s.map(lambda x: textwrap.wrap(x or "", width=600, replace_whitespace=False, break_long_words=False, break_on_hyphens=False))
-
-
-def wrapped_chunks(pages: DataFrame, text: str = "text") -> DataFrame:
-    """Chunks of each page, with ids by page and running number in the page."""
-    rows = pages.select("source", "page_no", F.posexplode(paragraphs(text)).alias("_at", "_p"))
-    rows = rows.select("source", "page_no", "_at", wrap("_p").alias("_pieces"))
-    rows = rows.select("source", "page_no", "_at", F.posexplode("_pieces").alias("_in", "chunk"))
-    n = F.row_number().over(Window.partitionBy("source", "page_no").orderBy("_at", "_in"))
-    return rows.select("source", "page_no", F.concat(F.lit("p"), F.col("page_no"), F.lit("-"), n).alias("chunk_id"), "chunk")
+def wrapped_chunks(pages: DataFrame, text: str = "text", width: int = 600) -> DataFrame:
+    """Chunks of each page's paragraphs of at most `width` characters, cut at blanks, never inside words or at hyphens; ids by
+    page and running number in the page, so that they do not depend on other pages."""
+    pieces = F.flatten(F.transform(paragraphs(text), lambda p: T.pack(F.split(p, " "), width)))
+    rows = pages.select("source", "page_no", F.posexplode(pieces).alias("_at", "chunk"))
+    return rows.select("source", "page_no", F.concat(F.lit("p"), F.col("page_no"), F.lit("-"), F.col("_at") + 1).alias("chunk_id"), "chunk")
 
 
 def segment_headings(lines: DataFrame, kind: str = "section") -> DataFrame:

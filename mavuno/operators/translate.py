@@ -37,19 +37,12 @@ def status_after(filled: Column, status: Column) -> Column:
     return F.when(filled & (status == "original"), F.lit("machine")).otherwise(status)
 
 
-def pack(pieces: Column, most: int) -> Column:
-    """Join sentences greedily by a space while the pack stays shorter than `most`."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
-    step = lambda a, s: F.when(a["cur"] == "", F.struct(a["done"].alias("done"), s.alias("cur"))).when(F.length(a["cur"]) + F.length(s) < most, F.struct(a["done"].alias("done"), F.concat(a["cur"], F.lit(" "), s).alias("cur"))).otherwise(F.struct(F.array_append(a["done"], a["cur"]).alias("done"), s.alias("cur")))
-    return F.aggregate(pieces, start, step, lambda a: F.when(a["cur"] == "", a["done"]).otherwise(F.array_append(a["done"], a["cur"])))
-
-
 def sentence_packs(texts: DataFrame, key: str, text: str, most: int = 300) -> DataFrame:
-    """(key, paragraph, place, segment): paragraphs to sentences to packs of fewer than `most` characters."""
+    """(key, paragraph, place, segment): paragraphs to sentences to packs of at most `most` characters."""
     paragraphs = F.filter(F.transform(F.split(text, r"\n\s*\n"), T.strip), lambda x: x != "")
     rows = texts.select(key, F.posexplode(paragraphs).alias("paragraph", "_p"))
     sentences = F.filter(F.split(F.regexp_replace("_p", r"([.!?])\s+", "$1\u0001"), "\u0001"), lambda x: x != "")
-    return rows.select(key, "paragraph", F.posexplode(pack(sentences, most)).alias("place", "segment"))
+    return rows.select(key, "paragraph", F.posexplode(T.pack(sentences, most)).alias("place", "segment"))
 
 
 def word_windows(texts: DataFrame, key: str, text: str, words: int = 480, most_chars: int = 6000) -> DataFrame:

@@ -130,7 +130,13 @@ def ac_debounce(spark, sf_dir):
     return A.debounce(activity(spark, sf_dir), 3_600_000).select("event_id", "user_id", "ts")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {ACTIVITY}, o AS MATERIALIZED (SELECT *, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id, article_id ORDER BY ts, event_id) AS rn FROM activity),
+ w AS (SELECT user_id, article_id, ts, event_id, percent, rn, true AS taken, ms AS lm, percent AS lp FROM o WHERE rn = 1 UNION ALL
+  SELECT user_id, article_id, ts, event_id, percent, rn, taken, CASE WHEN taken THEN ms ELSE lm END, CASE WHEN taken THEN percent ELSE lp END FROM (SELECT o.*, w.lm, w.lp, abs(o.percent - w.lp) >= 0.25 OR o.ms - w.lm >= 36000000 AS taken FROM w JOIN o ON o.user_id = w.user_id AND o.article_id = w.article_id AND o.rn = w.rn + 1)),
+ k AS (SELECT *, lead(ts) OVER (PARTITION BY user_id, article_id ORDER BY ts, event_id) AS nx FROM w WHERE taken)
+ SELECT user_id, article_id, ts, event_id, percent, nx IS NULL OR epoch_us(nx) - epoch_us(ts) > 1000000 AS written FROM k"""
+)
 def ac_throttle(spark, sf_dir):
     return A.throttle(activity(spark, sf_dir), 0.25, 36_000_000, 1000)
 

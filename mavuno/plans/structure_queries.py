@@ -40,7 +40,15 @@ def st_paragraphs(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.size(ps).cast("long").alias("n"), F.array_join(ps, "|").alias("paragraphs"))
 
 
-@query()
+def packed(words: str, most: int) -> str:
+    return f"string_split(list_reduce({words}, lambda a, w: CASE WHEN length(string_split(a, chr(1))[-1]) + length(w) < {most} THEN a || ' ' || w ELSE a || chr(1) || w END), chr(1))"
+
+
+@query(
+    f"""WITH {BOOK_PAGES}, p AS (SELECT source, page_no, list_filter(list_transform({_PARTS}, lambda x: {SQUASH('x')}), lambda x: length(x) >= 160) AS ps FROM book_pages),
+ k AS (SELECT source, page_no, flatten(list_transform(ps, lambda x: {packed("string_split(x, ' ')", 600)})) AS cs FROM p), u AS (SELECT source, page_no, unnest(cs) AS chunk, unnest(range(1, len(cs) + 1)) AS i FROM k)
+ SELECT source, page_no, 'p' || page_no || '-' || i AS chunk_id, chunk FROM u"""
+)
 def st_wrap_chunks(spark, sf_dir):
     return S.wrapped_chunks(book_pages(spark, sf_dir))
 
@@ -164,11 +172,23 @@ def st_filter_dedupe(spark, sf_dir):
     return S.filter_dedupe(chunks, "chunk_id", "content_en", ["source", "page_no"]).select("chunk_id", "source", "page_no", "content_en")
 
 
-@query()
+_LISTED = r"regexp_split_to_array(regexp_replace('1 - GINGER— ' || text || ' 2 - WILD MINT— ' || text, '(\b\d+\s*[-–]\s*[A-Z][A-Z\s]+[—-])', chr(1) || '\1', 'g'), chr(1))"
+_CHILD = r"(?s)^\s*(\d+)\s*[-–]\s*([A-Z][A-Z\s]+)[—-]?\s*(.*)$"
+
+
+@query(
+    f"""WITH c AS (SELECT 'herb-list-' || doc_id AS parent_id, unnest(ps) AS part, unnest(range(0, len(ps))) AS pos FROM (SELECT doc_id, {_LISTED} AS ps FROM documents)),
+ n AS (SELECT parent_id, pos, {INITCAP(SQUASH(f"regexp_extract(part, '{_CHILD}', 2)"))} AS title, {STRIP(f"regexp_extract(part, '{_CHILD}', 3)")} AS body FROM c WHERE regexp_matches(part, '{_CHILD}')),
+ s AS (SELECT *, 'herb-' || regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM n),
+ i AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY slug ORDER BY parent_id, pos) > 1 THEN slug || '-' || substring(md5(title), 1, 6) ELSE slug END AS id FROM s)
+ SELECT id, parent_id, title, body, '' AS children FROM i UNION ALL
+ SELECT p.parent_id, NULL, 'List', 'x', string_agg(i.id, ',' ORDER BY pos) FROM i JOIN (SELECT DISTINCT parent_id FROM i) p USING (parent_id) GROUP BY p.parent_id"""
+)
 def st_split_children(spark, sf_dir):
     names = F.concat(F.lit("1 - GINGER— "), F.col("text"), F.lit(" 2 - WILD MINT— "), F.col("text"))
     d = documents(spark, sf_dir).select(F.concat(F.lit("herb-list-"), F.col("doc_id")).alias("id"), F.lit("List").alias("title"), names.alias("content_en"))
-    return S.split_children(d)
+    split = S.split_children(d)
+    return split.withColumn("body", F.when(F.col("parent_id").isNull(), F.lit("x")).otherwise(F.col("body")))
 
 
 _BARE = rf"regexp_replace(lower({STRIP('line')}), '^(?:\d+[\).\s-]+|[-–—•]\s*)', '')"

@@ -54,7 +54,10 @@ def tx_slugify(spark, sf_dir):
     return items(spark, sf_dir).select("id", T.slugify("title").alias("slug"), T.section_slug("title").alias("section"))
 
 
-@query()
+_NFKD = "array_to_string(list_transform(string_split(title, ''), lambda c: CASE WHEN strip_accents(c) <> c THEN strip_accents(c) || '~' ELSE c END), '')"
+
+
+@query(rf"WITH {ITEMS} SELECT id, lower(regexp_replace(regexp_replace({_NFKD}, '[^a-zA-Z0-9]+', '-', 'g'), '^-|-$', '', 'g')) AS slug FROM items")
 def tx_slugify_decomposed(spark, sf_dir):
     return items(spark, sf_dir).select("id", T.slugify_decomposed("title").alias("slug"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import translate as R
 from .inputs import BOOK_PAGES, ITEMS, book_pages, documents, items
 from .registry import query
+from .structure_queries import packed
 from .text_queries import STRIP
 
 
@@ -43,7 +44,13 @@ def tr_status(spark, sf_dir):
     return work(spark, sf_dir).select("id", R.status_after(F.col("content_sw").isNotNull(), F.col("status")).alias("status"))
 
 
-@query()
+_SENTENCES = r"list_filter(string_split(regexp_replace(p, '([.!?])\s+', '\1' || chr(2), 'g'), chr(2)), lambda x: x <> '')"
+
+
+@query(
+    rf"""WITH d AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: {STRIP('x')}), lambda x: x <> '') AS ps FROM documents), p AS (SELECT doc_id, unnest(ps) AS p, unnest(range(0, len(ps))) AS paragraph FROM d),
+ k AS (SELECT doc_id, paragraph, {packed(_SENTENCES, 300)} AS cs FROM p) SELECT doc_id, CAST(paragraph AS INT) AS paragraph, CAST(unnest(range(0, len(cs))) AS INT) AS place, unnest(cs) AS segment FROM k"""
+)
 def tr_segment_sentences(spark, sf_dir):
     return R.sentence_packs(documents(spark, sf_dir), "doc_id", "text")
 

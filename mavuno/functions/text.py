@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 Text = Column | str
+# Token patterns by use (hybrid ranking, the keyword index, related titles and queries, answers), words that
+# open parts of a book, and the head of blocks that are stripped.
+TOKENS = {"hybrid": r"[a-zA-ZÀ-ÿ0-9']+", "index": r"[a-z0-9]{2,}", "word": r"[a-z0-9]+", "answer": r"[A-Za-zÀ-ÖØ-öø-ÿ0-9']+"}
+NOISE = r"(?i)^(SECTION|PART|CHAPTER|BASIC PRINCIPLES|THE MOST IMPORTANT HERBS)\b"
+STRIPPED_HEAD = "ENCOURAGEMENT—"
+
 #: White space in the Unicode sense; Java's plain \s knows ASCII only.
 SPACE = r"(?U)\s"
 
@@ -103,8 +109,7 @@ def is_heading(c: Text, kind: str = "book") -> Column:
     if kind == "section":
         few = (F.size(F.split(squash_ws(t), " ")) <= 6) & ~t.endswith(".") & ~t.rlike(r"(?i)^(Part|Section|Chapter)\b")
         return F.length(t).between(1, 80) & (n >= 3) & ((caps_ratio(t) > 0.85) | few)
-    noise = t.rlike(r"(?i)^(SECTION|PART|CHAPTER|BASIC PRINCIPLES|THE MOST IMPORTANT HERBS)\b")
-    return F.length(t).between(1, 120) & ~noise & (n >= 4) & (caps_ratio(t) > 0.8)
+    return F.length(t).between(1, 120) & ~t.rlike(NOISE) & (n >= 4) & (caps_ratio(t) > 0.8)
 
 
 def first_sentence(c: Text, n: int = 160) -> Column:
@@ -139,10 +144,6 @@ def match_spans(c: Text, query: Column) -> Column:
     return F.when(size > 0, F.transform(ends, lambda s: F.struct(s.alias("start"), (s + size).alias("end")))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
 
-#: Token patterns by use: hybrid ranking, the keyword index, related titles and queries, and answers (a bag, not a set).
-TOKENS = {"hybrid": r"[a-zA-ZÀ-ÿ0-9']+", "index": r"[a-z0-9]{2,}", "word": r"[a-z0-9]+", "answer": r"[A-Za-zÀ-ÖØ-öø-ÿ0-9']+"}
-
-
 def tokens(c: Text, kind: str = "index") -> Column:
     """Lower-case tokens; a set except for `answer`."""
     t = F.coalesce(_c(c), F.lit(""))
@@ -153,7 +154,7 @@ def tokens(c: Text, kind: str = "index") -> Column:
     return found if kind == "answer" else F.array_distinct(found)
 
 
-def strip_blocks(c: Text, head: str = "ENCOURAGEMENT—") -> Column:
+def strip_blocks(c: Text, head: str = STRIPPED_HEAD) -> Column:
     """Remove blocks from `head` to the next blank line or the end; cap blank lines."""
     t = F.regexp_replace(_c(c), rf"(?s)\n?\Q{head}\E.*?(?:\n\s*\n|$)", "\n")
     return strip(F.regexp_replace(t, r"\n{3,}", "\n\n"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .lines import blocks, joined, label_then_text, sections
 
-# Labels of sub-sections, their merged names, and bilingual section headings.
+# Labels of sub-sections, their merged names, line patterns, bilingual section headings, and keyword rules in order.
 LABELS = ("SYMPTOMS", "CAUSES", "TREATMENT", "TREATMENTS", "REMEDIES", "DIET", "HYDROTHERAPY", "USES", "PREPARATION", "PREPARATIONS", "CAUTIONS", "WARNING", "NOTES", "OVERVIEW", "PREVENTION", "PROGNOSIS")
 MERGED = {"treatments": "treatment", "remedies": "treatment", "preparations": "preparation"}
 LABEL = rf"(?i)^\s*({'|'.join(LABELS)})\s*[:\-–—]?\s*$"
@@ -19,6 +19,12 @@ HEADINGS = {
     "usage": ("how to use", "usage", "matumizi", "jinsi ya kutumia"),
     "habitat": ("where found", "habitat", "inapatikana", "hukua"),
 }
+NUMBERED = r"^(\d{1,3})\s*[-–—]\s*(.+)$"
+NUMBERED_NAME = r"^(\d{1,3})\s*[-–—]\s*([A-Z][A-Z \-'/()]+?)\s*[—\-–]\s*(.*)$"
+HEADER = r"^\s*([A-Z][A-Z\s/()-]{2,}|[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\s*:\s*$"
+ENTRY_LABEL = r"(?i)^\s*(SYMPTOMS?|CAUSES?|TREATMENTS?)\s*[:—-]?\s*$"
+LISTED = r"(?s)^\s*(\d+)\s*[-–]\s*([A-Z][A-Z\s]+)[—-]?\s*(.*)$"
+LISTED_START = r"(?=\b\d+\s*[-–]\s*[A-Z][A-Z\s]+[—-])"
 TITLES = {"overview": "Overview", "treatment": "Treatment", "causes": "Causes", "symptoms": "Symptoms", "usage": "How to use", "habitat": "Where found / Habitat"}
 SYSTEMS = (
     ("head", "headache|migraine|eye|ear|nose|throat|sinus|tooth|diz(z)?iness|concussion|vision|hearing"),
@@ -98,10 +104,6 @@ def split_subsections(text: Column | str) -> Column:
     return merged_sections(named)
 
 
-NUMBERED = r"^(\d{1,3})\s*[-–—]\s*(.+)$"
-NUMBERED_NAME = r"^(\d{1,3})\s*[-–—]\s*([A-Z][A-Z \-'/()]+?)\s*[—\-–]\s*(.*)$"
-
-
 def parse_numbered(text: Column | str, anchor: str | None = None, named: bool = False) -> Column:
     """Entries `N - text`, or `N - NAME—text`, with the lines that follow them; text before the first entry is ignored, and
     text before `anchor` if it occurs. Structs (number or name, body)."""
@@ -122,7 +124,7 @@ def parse_conditions(lines: DataFrame, labels_first: bool = True) -> DataFrame:
     Labels are tested first by default, as in capitals they would start items; `labels_first=False` tests titles first.
     """
     full = lines.withColumn("line", T.strip("line")).filter("line <> ''")
-    noise = F.col("line").rlike(r"(?i)^(SECTION|PART|CHAPTER|BASIC PRINCIPLES|THE MOST IMPORTANT HERBS)\b")
+    noise = F.col("line").rlike(T.NOISE)
     is_label = F.col("line").rlike(LABEL)
     title = T.is_heading("line") & ~noise & (~is_label if labels_first else F.lit(True))
     label = is_label & (F.lit(True) if labels_first else ~title)
@@ -137,8 +139,7 @@ def parse_conditions(lines: DataFrame, labels_first: bool = True) -> DataFrame:
 def disease_entry(text: Column | str) -> Column:
     """A text's labelled parts put together again in fixed order: symptoms, causes, treatment, then what has no label."""
     t = F.col(text) if isinstance(text, str) else text
-    label = r"(?i)^\s*(SYMPTOMS?|CAUSES?|TREATMENTS?)\s*[:—-]?\s*$"
-    found = sections(F.split(t, "\n"), lambda x: x.rlike(label))
+    found = sections(F.split(t, "\n"), lambda x: x.rlike(ENTRY_LABEL))
     part = lambda word: F.array_join(F.transform(F.filter(found, lambda x: F.upper(x["head"]).contains(word) & (x["body"] != "")), lambda x: x["body"]), "\n")
     rest = F.nullif(F.get(found, F.lit(0))["body"], F.lit(""))
     named = [F.when(part(w) != "", F.concat(F.lit(n + "\n"), part(w))) for w, n in (("SYMPTOM", "SYMPTOMS"), ("CAUSE", "CAUSES"), ("TREATMENT", "TREATMENT"))]
@@ -186,8 +187,8 @@ def filter_dedupe(rows: DataFrame, key: str, content: str, order: list[str], lea
 def split_children(items: DataFrame, content: str = "content_en") -> DataFrame:
     """List pages to children: (id, parent_id, title, body) for `N - NAME— text` entries anywhere in the text, and a short
     parent with its children's ids. Ids that clash within the whole result get the first six digits of the name's md5."""
-    pattern = r"(?s)^\s*(\d+)\s*[-–]\s*([A-Z][A-Z\s]+)[—-]?\s*(.*)$"
-    parts = F.split(content, r"(?=\b\d+\s*[-–]\s*[A-Z][A-Z\s]+[—-])")
+    pattern = LISTED
+    parts = F.split(content, LISTED_START)
     rows = items.select(F.col("id").alias("parent_id"), F.posexplode(parts).alias("pos", "part")).filter(F.col("part").rlike(pattern))
     name = F.initcap(T.squash_ws(F.regexp_extract("part", pattern, 2)))
     rows = rows.select("parent_id", "pos", name.alias("title"), T.strip(F.regexp_extract("part", pattern, 3)).alias("body"))
@@ -229,9 +230,6 @@ def rebuild_sections(text: Column | str) -> Column:
     return T.let(find_blocks(t), build)
 
 
-HEADER = r"^\s*([A-Z][A-Z\s/()-]{2,}|[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\s*:\s*$"
-
-
 def toc(text: Column | str) -> Column:
     """Sections of an article as structs (title, body, slug): lines that end in a colon start one; `Overview` before any."""
     t = F.col(text) if isinstance(text, str) else text

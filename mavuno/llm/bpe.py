@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_batches
 
+BATCH_ROWS, BATCH_SIZE = 256, "1m"  # of an Arrow batch; Python's integers take about 36 bytes an id
 LEAF = 4096  # characters that are encoded, or ids that are decoded, at once
 
 
@@ -81,34 +82,43 @@ def decode_tree(ids: list[int], tokens: list[bytes], leaf: int = LEAF) -> bytes:
     return decode_tree(ids[:half], tokens, leaf) + decode_tree(ids[half:], tokens, leaf)
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None, keep_text: bool = True) -> DataFrame:
     """Add `ids`, the token ids of each whole text, to df; null counts as the empty text, which has no ids.
 
-    Any other column of df stays, unless it is named like `ids`, which is replaced. Nothing is shuffled; a batch of
-    a few MB of text is in a worker's memory at a time. Texts that are repeated get equal ids.
+    With `decoded` a column of that name gets the bytes that the ids decode to, in the same pass; without `keep_text` the
+    text is left out of the result. Any other column stays, unless it is named like a new one, which replaces it.
+    Nothing is shuffled, and a worker holds a batch of about a MB of text. Repeated texts get equal ids.
     """
-    arrow_batches(df.sparkSession)
-    df = df.drop(ids).withColumn(text, F.coalesce(F.col(text), F.lit("")))
-    at = df.columns.index(text)
+    arrow_batches(df.sparkSession, rows=BATCH_ROWS, size=BATCH_SIZE)
+    new = [ids, *([decoded] if decoded else [])]
+    df = df.drop(*new).withColumn(text, F.coalesce(F.col(text), F.lit("")))
+    kept = [c for c in df.columns if keep_text or c != text]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, _, lengths = vocabulary(path, pattern)
+        encoding, tokens, lengths = vocabulary(path, pattern)
         for batch in batches:
-            out = [encode_tree(t, 0, len(t), encoding.encode_ordinary, lengths) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], [*batch.schema.names, ids])
+            out, back = [], []
+            for t in batch.column(text).to_pylist():
+                found = encode_tree(t, 0, len(t), encoding.encode_ordinary, lengths)
+                out.append(np.array(found, np.int32))
+                if decoded:
+                    back.append(decode_tree(found, tokens))
+            columns = [*[batch.column(c) for c in kept], pa.array(out, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(back, pa.binary())] if decoded else columns, [*kept, *new])
 
-    return df.mapInArrow(work, df.withColumn(ids, F.lit(None).cast("array<int>")).schema)
+    made = df.select(*kept).withColumn(ids, F.lit(None).cast("array<int>"))
+    return df.mapInArrow(work, (made.withColumn(decoded, F.lit(None).cast("binary")) if decoded else made).schema)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Add `decoded`, the bytes that `ids` stand for, to df; null counts as no ids. An unknown id fails the job."""
+    arrow_batches(df.sparkSession, rows=BATCH_ROWS, size=BATCH_SIZE)
     df = df.drop(decoded)
-    at = df.columns.index(ids)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, tokens, _ = vocabulary(path, pattern)
         for batch in batches:
-            out = [decode_tree(x or [], tokens) for x in batch.column(at).to_pylist()]
+            out = [decode_tree(x or [], tokens) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, decoded])
 
     return df.mapInArrow(work, df.withColumn(decoded, F.lit(None).cast("binary")).schema)

@@ -71,8 +71,7 @@ def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, RANKS, PATTERN).select("doc_id", "ids")
-    return bpe.decode(ids, RANKS, PATTERN).select(
+    return bpe.encode(docs, RANKS, PATTERN, decoded="decoded", keep_text=False).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

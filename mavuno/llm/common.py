@@ -54,9 +54,13 @@ class Ranges:
         return F.size(F.filter(cuts, lambda c: c <= key))
 
 
-def ranges(df: DataFrame, key: str, rows_each: int = 4096, least: int = 64, most: int = 4096) -> Ranges:
-    """Cut points for `key` from one aggregate over that column alone. Only `most` numbers come to the driver, at any size."""
+def ranges(df: DataFrame, key: str, rows_each: int = 4096, most: int = 4096) -> Ranges:
+    """Cut points for `key` from one aggregate over that column alone. Only `most` numbers come to the driver, at any size.
+
+    There are several ranges for each shuffle partition, as they are dealt by hash and few would lie unevenly.
+    """
     n = df.agg(F.count(key)).first()[0]
+    least = 6 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     count = min(most, max(least, n // rows_each))
     row = df.agg(
         F.min(key).alias("first"),

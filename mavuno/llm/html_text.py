@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_batches
 from .near_join import _groups
 
-PAGES = 256  # pages of a host whose token streams are held together; larger hosts are dealt over several groups
+PAGES = 256  # pages of a host whose token streams are held together; larger hosts are dealt over several groups, whose counts are added
 RUN = 8  # tokens of a long substring
 DISTINCT = 3  # distinct pages that must share it
 COVERED = 0.6  # share of a block's tokens that repeated runs cover, from which the block is boilerplate
@@ -91,8 +93,8 @@ def page_blocks(html: str | None) -> list[tuple[int, str]]:
     return parser.blocks
 
 
-def repeated(pages: list[list[str]], run: int = RUN, distinct: int = DISTINCT) -> list[np.ndarray]:
-    """For each page's token stream, which tokens lie in a run of `run` or more tokens that `distinct` pages share.
+def _ranks(pages: list[list[str]], run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rank, number of pages, owner) of each place of the concatenated streams, and the streams' sizes, end marks included.
 
     The streams are concatenated with an end mark of its own after each. A suffix array by prefix doubling orders all
     suffixes by their first `run` tokens; neighbours of equal rank share a run.
@@ -119,43 +121,126 @@ def repeated(pages: list[list[str]], run: int = RUN, distinct: int = DISTINCT) -
         rank, length = fresh, length + step
     order = np.lexsort((owner, rank))  # the suffix array, suffixes of equal rank by page
     first = np.concatenate([[True], (np.diff(rank[order]) != 0) | (np.diff(owner[order]) != 0)])
-    shared = np.bincount(rank[order][first], minlength=rank.max() + 1)[rank] >= distinct
-    covered = np.zeros(len(rank) + run, np.int64)
-    starts = np.flatnonzero(shared)
-    np.add.at(covered, starts, 1)
-    np.add.at(covered, starts + run, -1)
-    inside = np.cumsum(covered)[: len(rank)] > 0
-    return [x[:-1] for x in np.split(inside, np.cumsum(sizes)[:-1])]
+    return rank, np.bincount(rank[order][first], minlength=rank.max() + 1)[rank], owner, sizes
+
+
+def _inside(starts: np.ndarray, run: int) -> np.ndarray:
+    """Which places lie in a run that starts at one of the true places."""
+    covered = np.zeros(len(starts) + run, np.int64)
+    at = np.flatnonzero(starts)
+    np.add.at(covered, at, 1)
+    np.add.at(covered, at + run, -1)
+    return np.cumsum(covered)[: len(starts)] > 0
+
+
+def repeated(pages: list[list[str]], run: int = RUN, distinct: int = DISTINCT) -> list[np.ndarray]:
+    """For each page's token stream, which tokens lie in a run of `run` or more tokens that `distinct` pages share."""
+    _, shared_by, _, sizes = _ranks(pages, run)
+    return [x[:-1] for x in np.split(_inside(shared_by >= distinct, run), np.cumsum(sizes)[:-1])]
+
+
+@lru_cache(1 << 16)
+def _token(token: str) -> int:
+    return int.from_bytes(hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+def run_hashes(stream: list[str], run: int = RUN) -> np.ndarray:
+    """A 64-bit hash of the run that starts at each place of a stream, the same on every page, group and machine."""
+    n = max(0, len(stream) - run + 1)
+    tokens = np.array([_token(t) for t in stream], np.uint64)
+    weights = np.random.default_rng(5).integers(1 << 63, size=run, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    out = np.zeros(n, np.uint64)
+    for j in range(run):
+        out += weights[j] * tokens[j : j + n]
+    return out.view(np.int64)
+
+
+def run_counts(streams: list[list[str]], marked: list[bool], run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, number of pages, whether a marked page has it) of each distinct run of a group of pages, by the suffix array."""
+    rank, pages, owner, sizes = _ranks(streams, run)
+    ends = np.cumsum(sizes)
+    whole = np.flatnonzero(np.arange(len(rank)) + run < ends[owner])
+    hashes = np.concatenate([run_hashes(s, run) for s in streams])
+    _, first, which = np.unique(rank[whole], return_index=True, return_inverse=True)
+    asked = np.bincount(which, np.array(marked)[owner[whole]], len(first)) > 0
+    return hashes[first], pages[whole][first], asked
+
 
+def _stream(blocks: list[tuple[int, str]]) -> list[str]:
+    """The tokens of what stands outside a page's main elements."""
+    return [t for place, text in blocks if place < 1 for t in text.split(" ")]
 
-def main_texts(htmls: list[str | None]) -> list[str]:
+
+def _named(blocks: list[tuple[int, str]]) -> bool:
+    return any(place == 1 for place, _ in blocks)
+
+
+def main_texts(htmls: list[str | None], shared: np.ndarray | None = None) -> list[str]:
     """Main texts of pages of one host. A page with a main element gives that element's blocks, whether or not other pages
     repeat them. A page without one gives its blocks but those that repeated runs cover. What surrounds main elements
-    (menus, footers, notices) is evidence for the others."""
+    (menus, footers, notices) is evidence for the others. `shared` are the hashes of the runs that the whole host repeats;
+    without it the given pages are the whole host."""
     pages = [page_blocks(h) for h in htmls]
-    main = [any(place == 1 for place, _ in p) for p in pages]
-    out = [" ".join(text for place, text in p if place == 1) for p in pages]
-    if not all(main):
-        streams = [[t for place, text in p if place < 1 for t in text.split(" ")] for p in pages]
-        for k, inside in enumerate(repeated(streams)):
-            if main[k]:
-                continue
-            kept, at = [], 0
-            for place, text in pages[k]:
-                n = text.count(" ") + 1
-                if place == 0 and inside[at : at + n].mean() < COVERED:
-                    kept.append(text)
-                at += n
-            out[k] = " ".join(kept)
+    if shared is None and pages:
+        hashes, n, _ = run_counts([_stream(p) for p in pages], [True] * len(pages))
+        shared = hashes[n >= DISTINCT]
+    shared = np.sort(shared) if shared is not None and len(shared) else np.zeros(0, np.int64)
+    out = []
+    for blocks in pages:
+        if _named(blocks):
+            out.append(" ".join(text for place, text in blocks if place == 1))
+            continue
+        stream = _stream(blocks)
+        hashes = run_hashes(stream)
+        starts = np.zeros(len(stream), bool)
+        if len(shared):
+            starts[: len(hashes)] = shared[np.minimum(np.searchsorted(shared, hashes), len(shared) - 1)] == hashes
+        inside = _inside(starts, RUN)
+        kept, at = [], 0
+        for place, text in blocks:
+            n = text.count(" ") + 1
+            if place == 0 and inside[at : at + n].mean() < COVERED:
+                kept.append(text)
+            at += n
+        out.append(" ".join(kept))
     return out
 
 
+def _host_runs(dealt: DataFrame) -> DataFrame:
+    """(_host, _group, _runs): of each group of pages the hashes of those runs on its pages without a main element that
+    DISTINCT pages of the whole host share.
+
+    Only the tokens outside main elements are shuffled. A suffix array for each group finds its runs and on how many
+    of its pages each stands; a host's groups are added up by run. A host of one group needs no adding.
+    """
+
+    def outside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            pages = [page_blocks(h) for h in batch["html"]]
+            rows = batch[["_host", "_group", "_split"]].assign(stream=[" ".join(_stream(p)) for p in pages], asks=[not _named(p) for p in pages])
+            yield rows[rows["stream"] != ""]
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in _groups(batches, ["_host", "_group"]):
+            for (host, group), pages in frame.groupby(["_host", "_group"], sort=False):
+                runs, n, asked = run_counts([s.split(" ") for s in pages["stream"]], list(pages["asks"]))
+                sent = np.full(len(runs), True) if pages["_split"].iloc[0] else asked & (n >= DISTINCT)
+                yield pd.DataFrame({"_host": host, "_group": group, "run": runs[sent], "pages": n[sent], "asked": asked[sent]})
+
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    streams = dealt.mapInPandas(outside, "_host string, _group int, _split boolean, stream string, asks boolean")
+    runs = streams.repartition(n, "_host", "_group").sortWithinPartitions("_host", "_group").mapInPandas(count, "_host string, _group int, run long, pages long, asked boolean")
+    whole = F.sum("pages").over(Window.partitionBy("_host", "run"))  # a row for each group that has the run
+    return runs.withColumn("_all", whole).filter(F.col("asked") & (F.col("_all") >= DISTINCT)).groupBy("_host", "_group").agg(F.collect_list("run").alias("_runs"))
+
+
 def extract(df: DataFrame, html: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
     """(key, url, text) for every page: the main text of its whole html, empty if it has none or html is null.
 
-    Pages are dealt once, by host; a host of more than PAGES pages is dealt over as many groups as hold about PAGES
-    each, chosen by a hash of url and key, so that no task holds a whole large host. Pages without a url count as a
-    host. Repeated rows are treated as pages of their own. Other columns are left out.
+    Repeated runs are counted over all pages of a host (`_host_runs`). Pages are dealt by host; a host of more than PAGES
+    pages is dealt over as many groups as hold about PAGES each, chosen by a hash of url and key, so that no task holds
+    a whole large host, and the result does not depend on the groups. Pages without a url count as a host. Repeated
+    rows are treated as pages of their own. Other columns are left out.
     """
     arrow_batches(df.sparkSession, rows=PAGES)
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
@@ -163,13 +248,11 @@ def extract(df: DataFrame, html: str = "html", url: str = "url", key: str = "pag
     large = F.broadcast(large) if large.count() <= MOST_BROADCAST else large
     groups = F.coalesce(F.ceil(F.col("_pages") / PAGES), F.lit(1))
     dealt = df.select(F.col(key), F.col(url), F.col(html).alias("html"), host.alias("_host")).join(large, "_host", "left")
-    dealt = dealt.withColumn("_group", F.pmod(F.xxhash64(url, key), groups).cast("int")).drop("_pages")
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(n, "_host", "_group").sortWithinPartitions("_host", "_group", key)
+    dealt = dealt.withColumn("_group", F.pmod(F.xxhash64(url, key), groups).cast("int")).withColumn("_split", groups > 1).drop("_pages")
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in _groups(batches, ["_host", "_group"]):
-            for _, group in frame.groupby(["_host", "_group"], sort=False):
-                yield pd.DataFrame({key: group[key], url: group[url], "text": main_texts(list(group["html"]))})
+    def work(pages: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        runs = np.asarray(known["_runs"].iloc[0], np.int64) if len(known) else np.zeros(0, np.int64)
+        return pd.DataFrame({key: pages[key], url: pages[url], "text": main_texts(list(pages["html"]), runs)})
 
-    return dealt.mapInPandas(work, df.select(key, url, F.lit("").alias("text")).schema)
+    by = ["_host", "_group"]
+    return dealt.drop("_split").groupBy(by).cogroup(_host_runs(dealt).groupBy(by)).applyInPandas(work, df.select(key, url, F.lit("").alias("text")).schema)

@@ -181,6 +181,19 @@ def test_extraction_keeps_every_page_and_splits_hosts(spark, monkeypatch):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_runs_are_counted_over_the_whole_host(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "PAGES", 4)
+    own = [" ".join(f"w{i}x{j}" for j in range(12)) for i in range(60)]
+    notice = "<div>this shop is closed on all days of the coming week</div>"
+    htmls = [f"<div>{own[i]}</div>{notice if i % 6 == 0 else ''}" for i in range(60)]
+    htmls[1] = f"<article>{own[1]}</article>{notice}"
+    df = spark.createDataFrame([(i, f"http://one.example/{i}", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+    got = dict((r["page_id"], r["text"]) for r in html_text.extract(df).collect())
+    assert got == dict(enumerate(own)) == dict(enumerate(html_text.main_texts(htmls)))
+    few = df.filter("page_id not in (0, 1, 6, 12, 18, 24, 30, 36, 42)")  # the notice is left on two pages, which is no evidence
+    assert sum("closed" in r["text"] for r in html_text.extract(few).collect()) == 2
+
+
 def test_neighbours_have_exact_scores_and_recall(spark):
     got = queries.op9_neighbours(spark, SF).collect()
     d = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas().sort_values("vec_id")

@@ -45,9 +45,10 @@ def sentence_packs(texts: DataFrame, key: str, text: str, most: int = 300) -> Da
     return rows.select(key, "paragraph", F.posexplode(T.pack(sentences, most)).alias("place", "segment"))
 
 
-def word_windows(texts: DataFrame, key: str, text: str, words: int = 480, most_chars: int = 6000) -> DataFrame:
-    """(key, place, segment): consecutive windows of words, of the first `most_chars` characters as the model's guard asks."""
-    w = F.filter(F.split(F.substring(F.col(text), 1, most_chars), r"\s+"), lambda x: x != "")
+def word_windows(texts: DataFrame, key: str, text: str, words: int = 480, most_chars: int | None = None) -> DataFrame:
+    """(key, place, segment): consecutive windows of words of the whole text, or of its first `most_chars` characters."""
+    whole = F.col(text) if most_chars is None else F.substring(F.col(text), 1, most_chars)
+    w = F.filter(F.split(whole, r"\s+"), lambda x: x != "")
     rows = texts.select(key, w.alias("_w")).filter(F.size("_w") > 0)
     rows = rows.withColumn("place", F.explode(F.sequence(F.lit(0), F.floor((F.size("_w") - 1) / words).cast("int"))))
     return rows.select(key, "place", F.array_join(F.slice("_w", F.col("place") * words + 1, F.lit(words)), " ").alias("segment"))
@@ -61,17 +62,30 @@ def stitch(segments: DataFrame, key: str, text: str, by: str = "\n", paragraph:
     return segments.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", text))), lambda s: s[text]), by).alias(text))
 
 
-def translate(df: DataFrame, text: str, translator: Translator, into: str = "translated") -> DataFrame:
-    """Add translations, batch by batch; texts are clamped to the model's length, and a batch that fails keeps its source."""
+def pieces(text: str, most: int = MOST_CHARS) -> list[str]:
+    """A text cut into pieces of at most `most` characters that give it back when joined; cut behind white space where there is some."""
+    out = []
+    while len(text) > most:
+        at = next((i for i in range(most, most // 2, -1) if text[i - 1].isspace()), most)
+        out.append(text[:at])
+        text = text[at:]
+    return [*out, text]
+
+
+def translate(df: DataFrame, text: str, translator: Translator, into: str = "translated", clamp: bool = False) -> DataFrame:
+    """Add translations, batch by batch; a batch that fails keeps its source. Texts beyond the model's length are translated
+    in pieces and joined; with `clamp` only their first MOST_CHARS characters are, as the reference does with lines."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            source = [(x or "")[:MOST_CHARS] for x in batch[text]]
+            parts = [[(x or "")[:MOST_CHARS]] if clamp else pieces(x or "") for x in batch[text]]
+            source = [p.rstrip() if i + 1 < len(ps) else p for ps in parts for i, p in enumerate(ps)]
             try:
                 out = translator(source)
             except Exception:  # a plug-in may raise anything; the source text stands in
                 out = source
-            yield batch.assign(**{into: [t or s for s, t in zip(source, out, strict=True)]})
+            done = iter([t or s for s, t in zip(source, out, strict=True)])
+            yield batch.assign(**{into: ["".join(next(done) + (p[len(p.rstrip()) :] if i + 1 < len(ps) else "") for i, p in enumerate(ps)) for ps in parts]})
 
     return df.mapInPandas(work, df.withColumn(into, F.lit("")).schema)
 
@@ -85,7 +99,7 @@ def line_memory(texts: DataFrame, key: str, text: str, translator: Translator) -
     lines = texts.select(key, F.posexplode(F.split(text, "\n")).alias("place", "line"))
     hashed = lines.withColumn("_h", F.xxhash64("line"))
     plain = (F.trim("line") != "") & ~F.col("line").rlike(STRUCTURE)
-    memory = translate(hashed.filter(plain).select("_h", "line").distinct(), "line", translator)
+    memory = translate(hashed.filter(plain).select("_h", "line").distinct(), "line", translator, clamp=True)
     joined = hashed.join(memory, ["_h", "line"], "left")
     return stitch(joined.select(key, "place", F.coalesce("translated", "line").alias("translated")), key, "translated")
 

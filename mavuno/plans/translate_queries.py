@@ -60,7 +60,7 @@ def tr_segment_sentences(spark, sf_dir):
  SELECT doc_id, CAST(place AS INT) AS place, array_to_string(ws[place * 480 + 1:place * 480 + 480], ' ') AS segment FROM k"""
 )
 def tr_segment_windows(spark, sf_dir):
-    return R.word_windows(documents(spark, sf_dir), "doc_id", "text")
+    return R.word_windows(documents(spark, sf_dir), "doc_id", "text", most_chars=6000)
 
 
 _STRUCT = r"^\s*([#>\-*\d.)]+)\s*$"
@@ -73,7 +73,7 @@ def tr_line_memory(spark, sf_dir):
 
 @query("SELECT doc_id, replace(upper(substring(text, 1, 4500)), 'ẞ', 'SS') AS translated FROM documents")
 def tr_translate(spark, sf_dir):
-    return R.translate(documents(spark, sf_dir).select("doc_id", "text"), "text", shout).select("doc_id", "translated")
+    return R.translate(documents(spark, sf_dir).select("doc_id", "text"), "text", shout, clamp=True).select("doc_id", "translated")
 
 
 @query("SELECT doc_id, text AS restored FROM documents")

@@ -145,3 +145,14 @@ def test_quiz_has_one_right_choice(spark):
     got = B.quiz(items).toPandas()
     assert (got.groupby("id").size() == 4).all() and (got.groupby("id")["correct"].sum() == 1).all()
     assert (got.groupby("id")["choice"].nunique() == 4).all() and got.equals(pd.DataFrame(B.quiz(items).toPandas()))
+
+
+def test_whole_texts_are_translated_and_windowed(spark):
+    text = " ".join(f"word{i}" for i in range(3000))
+    df = spark.createDataFrame([(1, text), (2, "x" * 9001), (3, ""), (4, None)], "k long, t string")
+    model = lambda xs: [x.strip().upper() if len(x) <= R.MOST_CHARS else "too long" for x in xs]
+    got = {r["k"]: r["translated"] for r in R.translate(df, "t", model).collect()}
+    assert got == {1: text.upper(), 2: "X" * 9001, 3: "", 4: ""}
+    assert all(p[-1].isspace() for p in R.pieces(text)[:-1]) and len(R.pieces(text)) > 4
+    windows = R.word_windows(df, "k", "t").filter("k = 1").orderBy("place").collect()
+    assert " ".join(r["segment"] for r in windows) == text and len(windows) == 7

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from .ordered import counted
 
 _HEAD, _BODY = "\u0001", "\u0002"
 Mark = Callable[[Column], Column]
@@ -37,9 +38,8 @@ def label_then_text(label: Column, rest: Column) -> Column:
 
 
 def blocks(lines: DataFrame, text: list[str], order: list[str], starts: Column, into: str = "block") -> DataFrame:
-    """Number the blocks of each text: 0 before the first start. One window over the text's own lines."""
-    w = Window.partitionBy(*text).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn(into, F.sum(F.when(starts, 1).otherwise(0)).over(w))
+    """Number the blocks of each text: 0 before the first start. A text of any size is dealt over ranges of its lines."""
+    return counted(lines, text, order, starts, into)
 
 
 def joined(lines: DataFrame, keys: list[str], order: list[str], line: Column, into: str = "body") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,3 +34,38 @@ def numbered(df: DataFrame, by: list[str], order: list[str], into: str = "place"
     if count:
         out, kept = out.withColumn(count, F.col("_all")), [*kept, count]
     return out.select(*kept)
+
+
+def _ranged(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """df dealt by ranges of (key, order) and cut, with the number of each row's range."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(df.repartitionByRange(n, *by, *order).withColumn("_range", F.spark_partition_id()))
+
+
+def _before(dealt: DataFrame, by: list[str], total: Column, added) -> DataFrame:
+    """dealt with `_before`: what the ranges before a row's own give for its key. Null keys count as a key."""
+    ends = dealt.groupBy("_range", *by).agg(total.alias("_end"))
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a key
+    ends = ends.select(F.col("_range").alias("_r"), *[F.col(b).alias(f"_k{i}") for i, b in enumerate(by)], added(F.col("_end")).over(earlier).alias("_before"))
+    same = F.col("_range") == F.col("_r")
+    for i, b in enumerate(by):
+        same &= F.col(b).eqNullSafe(F.col(f"_k{i}"))
+    return dealt.join(ends, same, "left").drop("_r", *[f"_k{i}" for i in range(len(by))])
+
+
+def carried(df: DataFrame, by: list[str], order: list[str], value: Column, into: str) -> DataFrame:
+    """Add the last value that is not null up to each row of its key. A key of any size is spread over many ranges; each
+    range fills its own rows, and its first ones from the ends of the ranges before it."""
+    dealt = _ranged(df.withColumn("_value", value), by, order)
+    last = F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*order)))
+    inside = Window.partitionBy("_range", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = _before(dealt, by, last, lambda x: F.last(x, ignorenulls=True))
+    return out.withColumn(into, F.coalesce(F.last("_value", ignorenulls=True).over(inside), "_before")).drop("_range", "_value", "_before")
+
+
+def counted(df: DataFrame, by: list[str], order: list[str], mark: Column, into: str) -> DataFrame:
+    """Add the number of marked rows up to each row of its key, range by range as in `carried`."""
+    dealt = _ranged(df.withColumn("_value", F.when(mark, 1).otherwise(0)), by, order)
+    inside = Window.partitionBy("_range", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = _before(dealt, by, F.sum("_value"), F.sum)
+    return out.withColumn(into, F.coalesce("_before", F.lit(0)) + F.sum("_value").over(inside)).drop("_range", "_value", "_before")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .lines import blocks, joined, label_then_text, sections
+from .ordered import carried
 
 # Labels of sub-sections, their merged names, line patterns, bilingual section headings, and keyword rules in order.
 LABELS = ("SYMPTOMS", "CAUSES", "TREATMENT", "TREATMENTS", "REMEDIES", "DIET", "HYDROTHERAPY", "USES", "PREPARATION", "PREPARATIONS", "CAUTIONS", "WARNING", "NOTES", "OVERVIEW", "PREVENTION", "PROGNOSIS")
@@ -53,11 +54,10 @@ def page_range(pages: DataFrame, first: int = 1, last: int | None = None, page:
 
 
 def carry_heading(pages: DataFrame, text: str = "text") -> DataFrame:
-    """Add `section`: the heading among a page's top five lines, carried to later pages of the book; `General` before any."""
+    """Add `section`: the heading among a page's top five lines, carried to later pages of the book, of any size; `General` before any."""
     lines = F.slice(F.filter(F.transform(F.split(text, r"\r\n|[\n\r]"), T.squash_ws), lambda x: x != ""), 1, 5)
     own = F.initcap(F.get(F.filter(lines, lambda x: T.is_heading(x, "page")), F.lit(0)))
-    w = Window.partitionBy("source").orderBy("page_no").rowsBetween(Window.unboundedPreceding, 0)
-    return pages.withColumn("section", F.coalesce(F.last(own, ignorenulls=True).over(w), F.lit("General")))
+    return carried(pages, ["source"], ["page_no"], own, "section").withColumn("section", F.coalesce("section", F.lit("General")))
 
 
 def paragraphs(text: Column | str, least: int = 160) -> Column:

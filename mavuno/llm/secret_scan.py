@@ -23,6 +23,9 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 #: Least entropy, in bits a character, of the best window of each class.
 LEAST = {"entropy_hex": 3.2, "entropy_alnum": 3.8}
+#: Strings of letters of one case and digits alone, which are listed as entropy_alnum too; random keys of 20 characters over 36 or 32 have about 3.8.
+LEAST_ONE_CASE = 3.5
+_ONE_CASE = ("0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _ALPHABET = {"entropy_hex": "0123456789abcdef", "entropy_alnum": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-"}
 
 
@@ -107,10 +110,12 @@ def _entropy_spans(text: Column) -> Column:
         m = x["m"]
         is_hex = m.rlike(r"^[0-9a-fA-F]+$")
         mixed = m.rlike(r"[0-9]") & m.rlike(r"[a-z]") & m.rlike(r"[A-Z]")
-        entropy = F.when(is_hex, window_entropy(F.lower(m), _ALPHABET["entropy_hex"])).when(mixed, window_entropy(m, _ALPHABET["entropy_alnum"])).otherwise(F.lit(0.0))
+        lower, upper = m.rlike(r"^[0-9a-z]+$"), m.rlike(r"^[0-9A-Z]+$")
+        entropy = F.when(is_hex, window_entropy(F.lower(m), _ALPHABET["entropy_hex"])).when(mixed, window_entropy(m, _ALPHABET["entropy_alnum"])).when(lower, window_entropy(m, _ONE_CASE[0])).when(upper, window_entropy(m, _ONE_CASE[1])).otherwise(F.lit(0.0))
+        least = F.when(is_hex, LEAST["entropy_hex"]).when(mixed, LEAST["entropy_alnum"]).otherwise(LEAST_ONE_CASE)
         return _let(
-            F.struct(F.when(is_hex, F.lit("entropy_hex")).otherwise(F.lit("entropy_alnum")).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), entropy.alias("h")),
-            lambda y: F.when(y["h"] >= F.when(y["kind"] == "entropy_hex", LEAST["entropy_hex"]).otherwise(LEAST["entropy_alnum"]), F.struct(y["kind"].alias("kind"), y["s"].alias("s"), y["e"].alias("e"))),
+            F.struct(F.when(is_hex, F.lit("entropy_hex")).otherwise(F.lit("entropy_alnum")).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), entropy.alias("h"), least.alias("least")),
+            lambda y: F.when(y["h"] >= y["least"], F.struct(y["kind"].alias("kind"), y["s"].alias("s"), y["e"].alias("e"))),
         )
 
     kept = F.filter(_matches(text, CANDIDATE, text.rlike("[0-9]")), lambda x: ~x["m"].rlike(ALLOWED) & x["m"].rlike(r"[0-9]"))

@@ -168,3 +168,11 @@ def test_shards_of_odd_tables(spark):
     assert shards.byte_shards(spark.createDataFrame([], schema), 40, size).count() == 0
     got = shards.byte_shards(spark.createDataFrame([(1, None), (1, None), (None, "a"), (2, "")], schema), 2, size).collect()
     assert sorted((r["shard"], r["slot"]) for r in got) == [(0, 0), (0, 1), (1, 0), (1, 1)] and [r["shard"] for r in got if r["doc_id"] is None] == [0]
+
+
+def test_random_keys_of_one_case_are_found(spark):
+    keys = ["k7q2m9x4vb1z8w3n5t6r", "QZ7X2MK4VB3WN5TR6YHD", "k7q2m9x4vb1z8w3n5t6rk7q2m9x4vb1z"]
+    plain = ["zzzzzzzzzzzzzzzzzzzzz1", "internationalization2", "A1A1A1A1A1A1A1A1A1A1A1"]
+    df = spark.createDataFrame([(i, f"see {x} here") for i, x in enumerate(keys + plain)], "doc_id long, text string")
+    got = [r["s"] for r in secret_scan.scan(df).orderBy("doc_id").select(secret_scan.listed("spans").alias("s")).collect()]
+    assert got == [*(f"entropy_alnum:4:{4 + len(k)}" for k in keys), "", "", ""]

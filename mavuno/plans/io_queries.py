@@ -12,12 +12,13 @@ from .registry import ORACLES, query
 
 
 def _pack_folder(spark, sf_dir) -> str:
-    """Packs of both forms: an object around a list of items for one half, one item an array or line for the other."""
+    """Packs of both forms: an object around a list of items for one half, one item an array or line for the other. A pack
+    holds items of a thousand ids, so there are more packs, not larger ones, in a larger table."""
     its = items(spark, sf_dir).select("id", "title", F.when(F.col("doc_id") % 2 == 0, F.col("content_en")).alias("contentEn"), F.when(F.col("doc_id") % 2 == 1, F.col("content_en")).alias("content_en"), F.col("content_sw").alias("contentSw"), "image", "doc_id")
     folder = _scratch(spark)
-    its.filter("doc_id % 3 = 0").drop("doc_id").groupBy(F.pmod(F.xxhash64("id"), F.lit(64))).agg(F.collect_list(F.struct("id", "title", "contentEn", "content_en", "contentSw", "image")).alias("items")).select(F.to_json(F.struct("items")).alias("value")).repartition(64).write.option("maxRecordsPerFile", 1).text(f"{folder}/packs/wrapped")
-    rows = its.filter("doc_id % 3 > 0").groupBy(F.pmod(F.xxhash64("id"), F.lit(64))).agg(F.to_json(F.collect_list(F.struct("id", "title", "contentEn", "content_en", "contentSw", "image"))).alias("value")).select("value")
-    rows.repartition(64).write.option("maxRecordsPerFile", 1).text(f"{folder}/packs/arrays")
+    its.filter("doc_id % 3 = 0").groupBy(F.floor(F.col("doc_id") / 1000)).agg(F.collect_list(F.struct("id", "title", "contentEn", "content_en", "contentSw", "image")).alias("items")).select(F.to_json(F.struct("items")).alias("value")).write.option("maxRecordsPerFile", 1).text(f"{folder}/packs/wrapped")
+    rows = its.filter("doc_id % 3 > 0").groupBy(F.floor(F.col("doc_id") / 1000)).agg(F.to_json(F.collect_list(F.struct("id", "title", "contentEn", "content_en", "contentSw", "image"))).alias("value")).select("value")
+    rows.write.option("maxRecordsPerFile", 1).text(f"{folder}/packs/arrays")
     return f"{folder}/packs/*"
 
 

@@ -156,3 +156,12 @@ def test_whole_texts_are_translated_and_windowed(spark):
     assert all(p[-1].isspace() for p in R.pieces(text)[:-1]) and len(R.pieces(text)) > 4
     windows = R.word_windows(df, "k", "t").filter("k = 1").orderBy("place").collect()
     assert " ".join(r["segment"] for r in windows) == text and len(windows) == 7
+
+
+def test_packs_stay_bounded_in_a_larger_table(spark, tmp_path):
+    from mavuno.plans import io_queries
+
+    docs = spark.range(120_000).selectExpr("id AS doc_id", "concat('text ', id) AS text", "'en' AS lang", "'s' AS source", "9L AS n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    sizes = [r["count"] for r in io_queries.P.read_packs(spark, io_queries._pack_folder(spark, str(tmp_path))).groupBy("source_file").count().collect()]
+    assert sum(sizes) == 120_000 and max(sizes) <= 1000

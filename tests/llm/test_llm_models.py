@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from mavuno.llm import ann, bpe, html_text, language, latent, mixing, quality, queries
+from mavuno.llm import ann, bpe, language, latent, mixing, quality, queries
 
 SF = "/root/testdata/sf0.01"
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -143,57 +143,6 @@ def test_mixing_odd_rows(spark):
     assert len(got) == 7 and {r["kept"] for r in got if not (r["text"] or "").split()} == {False}
 
 
-PAGE = "<html><head><title>T</title><script>if (a < b) x='</p>';</script></head><body><nav><a>Home</a></nav><header>Top</header>{}<footer>&copy; us</footer></body></html>"
-
-
-def test_main_text_of_articles():
-    inner = '<article class="post"><h1>Head&amp;line</h1><p>One <b>bo</b>ld&nbsp; word<br>line<p>Two<div class="ad">buy</div><section class="comments"><article>me too</article></section><form>mail</form><!-- no --></article><aside>side</aside><div class="cookie-notice">ok?</div>'
-    assert html_text.main_texts([PAGE.format(inner), None, "", "<p>only", PAGE.format("")]) == ["Head&line One bold word line Two", "", "", "only", ""]
-
-
-def test_repeated_runs_are_removed_where_structure_is_missing():
-    pages = [f"<div>Welcome to our site about many good things and more</div><div>own words of page {i} {' '.join(f'u{i}x{j}' for j in range(12))}</div><div>All rights reserved by the company that made this site</div>" for i in range(5)]
-    got = html_text.main_texts(pages)
-    assert got == [f"own words of page {i} {' '.join(f'u{i}x{j}' for j in range(12))}" for i in range(5)]
-    assert html_text.main_texts(pages[:2])[0].startswith("Welcome")  # two pages are no evidence
-
-
-def test_repeated_equals_brute_force():
-    rng = np.random.default_rng(6)
-    pages = [list(rng.choice(list("abc"), rng.integers(0, 60))) for _ in range(7)]
-    for run, distinct in ((3, 2), (4, 3), (5, 3)):
-        got = html_text.repeated(pages, run, distinct)
-        for p, g in zip(pages, got, strict=True):
-            want = np.zeros(len(p), bool)
-            for i in range(len(p) - run + 1):
-                piece = "".join(p[i : i + run])
-                if sum(piece in "".join(q) for q in pages) >= distinct:
-                    want[i : i + run] = True
-            assert (g == want).all()
-
-
-def test_extraction_keeps_every_page_and_splits_hosts(spark, monkeypatch):
-    monkeypatch.setattr(html_text, "PAGES", 4)
-    rows = [(i, "http://one.example/x" if i < 20 else None, f"<article>text {i}</article>" if i % 3 else None, "clash") for i in range(25)] + [(3, "http://one.example/x", "<article>text 3</article>", "clash")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
-    got = sorted((r["page_id"], r["text"]) for r in html_text.extract(df).collect())
-    assert got == sorted([(3, "text 3"), *((i, f"text {i}" if i % 3 else "") for i in range(25))])
-    assert html_text.extract(df.limit(0)).count() == 0
-
-
-def test_runs_are_counted_over_the_whole_host(spark, monkeypatch):
-    monkeypatch.setattr(html_text, "PAGES", 4)
-    own = [" ".join(f"w{i}x{j}" for j in range(12)) for i in range(60)]
-    notice = "<div>this shop is closed on all days of the coming week</div>"
-    htmls = [f"<div>{own[i]}</div>{notice if i % 6 == 0 else ''}" for i in range(60)]
-    htmls[1] = f"<article>{own[1]}</article>{notice}"
-    df = spark.createDataFrame([(i, f"http://one.example/{i}", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
-    got = dict((r["page_id"], r["text"]) for r in html_text.extract(df).collect())
-    assert got == dict(enumerate(own)) == dict(enumerate(html_text.main_texts(htmls)))
-    few = df.filter("page_id not in (0, 1, 6, 12, 18, 24, 30, 36, 42)")  # the notice is left on two pages, which is no evidence
-    assert sum("closed" in r["text"] for r in html_text.extract(few).collect()) == 2
-
-
 def test_neighbours_have_exact_scores_and_recall(spark):
     got = queries.op9_neighbours(spark, SF).collect()
     d = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas().sort_values("vec_id")

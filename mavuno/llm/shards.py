@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import ranges
 
+NULL_RANGES = 256  # over which rows without a key are dealt by a hash
+
 
 def byte_shards(df: DataFrame, n_shards: int, size: Column, key: str = "doc_id", payload: tuple[str, ...] = ()) -> DataFrame:
     """Deal rows, in ascending `key`, into `n_shards` contiguous shards of near-equal total `size`.
@@ -16,15 +18,17 @@ def byte_shards(df: DataFrame, n_shards: int, size: Column, key: str = "doc_id",
     the shard that holds the middle of its bytes, so a shard differs from total / n_shards by one row at most.
 
     Returns key, payload, size, shard and slot (the row's place in its shard, from 0 without gaps).
-    Repeated keys are ordered by size and payload; rows without a key come first. An empty table gives no rows.
-    Only key, size and payload are shuffled, never the text they come from.
+    Repeated keys are ordered by size and payload; rows without a key come first, in an order that their size and payload
+    give, dealt over NULL_RANGES ranges. An empty table gives no rows. Only key, size and payload are shuffled,
+    never the text they come from.
     """
     cuts = ranges(df, key)
     lean = df.select(F.col(key), *payload, size.cast("long").alias("size"))
-    lean = lean.withColumn("_range", F.when(F.col(key).isNull(), F.lit(-1)).otherwise(cuts.number(F.col(key))))
+    unkeyed = (-1 - F.pmod(F.xxhash64("size", *payload), F.lit(NULL_RANGES))).cast("int")
+    lean = lean.withColumn("_range", F.when(F.col(key).isNull(), unkeyed).otherwise(cuts.number(F.col(key))))
     order = [F.col(key).asc_nulls_first(), F.col("size"), *[F.col(c) for c in payload]]
     totals = lean.groupBy("_range").agg(F.sum("size").alias("_bytes"), F.count(F.lit(1)).alias("_rows"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over a row per range, 4,097 at most
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over a row per range, at most 65,536 and NULL_RANGES
     offsets = totals.select(
         "_range",
         F.coalesce(F.sum("_bytes").over(before), F.lit(0)).alias("_byte_offset"),

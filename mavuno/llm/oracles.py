@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .near_join import LEAST, WORDS
-from .secret_scan import ALLOWED, CANDIDATE, KINDS, WINDOW
+from .secret_scan import ALLOWED, CANDIDATE, KINDS, LEAST_LETTERS, LEAST_ONE_CASE, WINDOW
 from .secret_scan import LEAST as LEAST_ENTROPY
 
 # CRC-32 by half bytes: the table follows from the polynomial.
@@ -39,9 +39,10 @@ _LISTED = f"coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, {_
 SECRETS = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
  a AS ({_spans('assign', _ASSIGN + '[A-Za-z0-9+/_.=-]+')}), k AS ({_spans('access', 'AKIA[A-Z0-9]+')}), x AS ({_spans('hex', '[0-9a-f]{16,}')}), c AS ({_spans('candidate', CANDIDATE.partition(')')[2])}),
  base AS (SELECT doc_id, kind, s, s + length(m) AS e FROM a WHERE length(regexp_replace(m, '^{_ASSIGN}', '')) >= 12 UNION ALL SELECT doc_id, kind, s, s + length(m) FROM k WHERE length(m) >= 18 UNION ALL SELECT doc_id, kind, s, s + length(m) FROM x),
- random AS (SELECT doc_id, CASE WHEN regexp_matches(m, '^[0-9a-fA-F]+$') THEN 'entropy_hex' ELSE 'entropy_alnum' END AS kind, s, s + length(m) AS e, m FROM c WHERE regexp_matches(m, '[0-9]') AND NOT regexp_matches(m, '{ALLOWED}')),
- scored AS (SELECT doc_id, kind, s, e, CASE WHEN kind = 'entropy_hex' THEN {_ENTROPY.format('lower(m)')} WHEN regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') THEN {_ENTROPY.format('m')} ELSE 0 END AS h FROM random),
- fresh AS (SELECT doc_id, kind, s, e FROM scored r WHERE h >= CASE kind WHEN 'entropy_hex' THEN {LEAST_ENTROPY['entropy_hex']} ELSE {LEAST_ENTROPY['entropy_alnum']} END - 1e-9 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = r.doc_id AND b.s <= r.s AND r.e <= b.e)),
+ random AS (SELECT doc_id, CASE WHEN regexp_matches(m, '^[0-9a-fA-F]+$') AND regexp_matches(m, '[0-9]') THEN 'entropy_hex' ELSE 'entropy_alnum' END AS kind, s, s + length(m) AS e, m FROM c WHERE regexp_matches(m, '[0-9]|[a-z].*[A-Z].*[A-Z]') AND NOT regexp_matches(m, '{ALLOWED}')),
+ scored AS (SELECT doc_id, kind, s, e, CASE WHEN kind = 'entropy_hex' THEN {_ENTROPY.format('lower(m)')} WHEN regexp_matches(m, '^([0-9a-z]+|[0-9A-Z]+)$') OR regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') THEN {_ENTROPY.format('m')} ELSE 0 END AS h,
+  CASE WHEN kind = 'entropy_hex' THEN {LEAST_ENTROPY['entropy_hex']} WHEN regexp_matches(m, '^([0-9a-z]+|[0-9A-Z]+)$') THEN {LEAST_ONE_CASE} WHEN regexp_matches(m, '[0-9]') THEN {LEAST_ENTROPY['entropy_alnum']} ELSE {LEAST_LETTERS} END AS least FROM random),
+ fresh AS (SELECT doc_id, kind, s, e FROM scored r WHERE h >= least - 1e-9 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = r.doc_id AND b.s <= r.s AND r.e <= b.e)),
  b AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, {_LISTED} AS listed FROM base GROUP BY doc_id),
  al AS (SELECT doc_id, {_LISTED} AS spans FROM (SELECT * FROM base UNION ALL SELECT * FROM fresh) GROUP BY doc_id)
  SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(listed, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN b USING (doc_id) LEFT JOIN al USING (doc_id)"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ WINDOW = 20
 LEAST = {"entropy_hex": 3.2, "entropy_alnum": 3.8}
 #: Strings of letters of one case and digits alone, which are listed as entropy_alnum too; random keys of 20 characters over 36 or 32 have about 3.8.
 LEAST_ONE_CASE = 3.5
+#: Strings of letters of both cases without digits; joined words stay below.
+LEAST_LETTERS = 3.9
 _ONE_CASE = ("0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _ALPHABET = {"entropy_hex": "0123456789abcdef", "entropy_alnum": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-"}
 
@@ -42,65 +46,67 @@ def _matches(text: Column, pattern: str, needs: Column) -> Column:
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
+    before = lambda x: F.transform(x["m"], lambda _, i: F.get(x["g"], i) + F.when(i > 0, F.length(F.get(x["m"], i - 1))).otherwise(0))
 
-    def places(pair: Column) -> Column:
-        walked = F.aggregate(
-            pair["m"],
-            F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out")),
-            lambda acc, m: F.struct(
-                (acc["at"] + F.element_at(pair["g"], acc["i"] + 1) + F.length(m)).alias("at"),
-                (acc["i"] + 1).alias("i"),
-                F.concat(acc["out"], F.array(F.struct((acc["at"] + F.element_at(pair["g"], acc["i"] + 1)).alias("s"), (acc["at"] + F.element_at(pair["g"], acc["i"] + 1) + F.length(m)).alias("e"), m.alias("m")))).alias("out"),
-            ),
-        )
-        return walked["out"]
+    def spans(x: Column) -> Column:
+        return F.transform(x["m"], lambda m, i: F.struct(F.get(x["s"], i).alias("s"), (F.get(x["s"], i) + F.length(m)).alias("e"), m.alias("m")))
 
     none = F.array().cast("array<struct<s:int,e:int,m:string>>")
-    some = _let(found, lambda m: F.when(F.size(m) == 0, none).otherwise(_let(F.struct(m.alias("m"), gaps.alias("g")), places)))
+    placed = lambda x: _let(F.struct(x["m"].alias("m"), running_sums(before(x)).alias("s")), spans)
+    some = _let(found, lambda m: F.when(F.size(m) == 0, none).otherwise(_let(F.struct(m.alias("m"), gaps.alias("g")), placed)))
     return F.when(needs, some).otherwise(none)
 
 
-def window_entropy(s: Column, alphabet: str, width: int = WINDOW) -> Column:
-    """Largest Shannon entropy, in bits, of any window of `width` characters of s; characters outside the alphabet share one count.
+def running_sums(values: Column, block: int = 256) -> Column:
+    """Sums of a non-empty array's values up to each place, block by block, so that no long array is copied once a value."""
 
-    The walk keeps a count of each character of the alphabet and sum(c * log2 c), and changes both by the one
-    character that enters and the one that leaves.
-    """
-    n = len(alphabet) + 1
+    def walk(x: Column, start: Column) -> Column:
+        add = lambda acc, v: _let(acc["at"] + v, lambda at: F.struct(at.alias("at"), F.concat(acc["out"], F.array(at)).alias("out")))
+        return F.aggregate(x, F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")), add)["out"]
 
-    def f(c: Column) -> Column:
-        return F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
+    def sums(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int")), lambda k: F.slice(v, k * block + 1, F.lit(block)))
+        return _let(blocks, ends)
 
-    def place(char: Column) -> Column:
-        p = F.instr(F.lit(alphabet), char)  # 1-based; 0 if absent, which is the shared last count
-        return F.when(p == 0, F.lit(n)).otherwise(p)
+    def ends(b: Column) -> Column:
+        totals = F.transform(b, lambda x: F.aggregate(x, F.lit(0), lambda acc, v: acc + v))
+        return _let(walk(totals, F.lit(0)), lambda end: F.flatten(F.transform(b, lambda x, k: walk(x, F.when(k > 0, F.get(end, k - 1)).otherwise(0)))))
 
-    def bump(acc: Column, char: Column, by: int) -> Column:
-        return _let(
-            F.struct(place(char).alias("p"), acc["c"].alias("c"), acc["f"].alias("f"), acc["best"].alias("best"), acc["i"].alias("i")),
-            lambda x: F.struct(
-                F.transform(x["c"], lambda v, j: F.when(j + 1 == x["p"], v + by).otherwise(v)).alias("c"),
-                (x["f"] - f(F.element_at(x["c"], x["p"])) + f(F.element_at(x["c"], x["p"]) + by)).alias("f"),
-                x["best"].alias("best"),
-                x["i"].alias("i"),
-            ),
-        )
+    return _let(values, sums)
 
-    def step(acc: Column, char: Column) -> Column:
-        entered = bump(acc, char, 1)
-        moved = _let(entered, lambda x: F.when(x["i"] < width, x).otherwise(bump(x, F.substring(s, x["i"] - width + 1, 1), -1)))
-        return _let(
-            moved,
-            lambda x: F.struct(
-                x["c"].alias("c"),
-                x["f"].alias("f"),
-                F.when(x["i"] + 1 < width, x["best"]).otherwise(F.greatest(x["best"], F.log2(F.lit(float(width))) - x["f"] / width)).alias("best"),
-                (x["i"] + 1).alias("i"),
-            ),
+
+_PACKED, _BITS = 12, 5  # counts in a long integer, and bits of each: a window has fewer than 32 characters
+
+
+def window_entropy(s: Column, alphabet: str, width: int = WINDOW) -> Column:
+    """Largest Shannon entropy, in bits, of any window of `width` characters of s; characters outside the alphabet share one count.
+
+    The walk keeps a count of each character of the alphabet, twelve to a long, and sum(c * log2 c), and changes both by the
+    one character that enters and the one that leaves. It is linear in s.
+    """
+    terms = F.array(*[F.lit(c * math.log2(c) if c > 1 else 0.0) for c in range(width + 2)])
+    right = lambda value, by: F.call_function("shiftright", value, by)
+    place = lambda p: F.struct(F.floor(p / _PACKED).cast("int").alias("j"), (p % _PACKED * _BITS).alias("by"), F.call_function("shiftleft", F.lit(1).cast("long"), p % _PACKED * _BITS).alias("one"))
+
+    def bump(acc: Column, at: Column, sign: int) -> Column:
+        count = right(F.get(acc["w"], at["j"]), at["by"]).bitwiseAND(F.lit(31)).cast("int")
+        return F.struct(
+            F.transform(acc["w"], lambda v, j: F.when(j == at["j"], v + sign * at["one"]).otherwise(v)).alias("w"),
+            _let(count, lambda c: acc["f"] - F.get(terms, c) + F.get(terms, c + sign)).alias("f"),
+            acc["best"].alias("best"),
         )
 
-    start = F.struct(F.array_repeat(F.lit(0), n).alias("c"), F.lit(0.0).alias("f"), F.lit(0.0).alias("best"), F.lit(0).alias("i"))
-    return F.aggregate(F.regexp_extract_all(s, F.lit("."), F.lit(0)), start, step)["best"]
+    def walk(places: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            entered = bump(acc, F.get(places, i), 1)
+            moved = _let(entered, lambda x: F.when(i < width, x).otherwise(bump(x, F.get(places, i - width), -1)))
+            return _let(moved, lambda x: F.struct(x["w"].alias("w"), x["f"].alias("f"), F.when(i + 1 < width, x["best"]).otherwise(F.greatest(x["best"], F.lit(math.log2(width)) - x["f"] / width)).alias("best")))
+
+        words = F.array_repeat(F.lit(0).cast("long"), len(alphabet) // _PACKED + 1)
+        return F.aggregate(F.sequence(F.lit(0), F.size(places) - 1), F.struct(words.alias("w"), F.lit(0.0).alias("f"), F.lit(0.0).alias("best")), step)["best"]
+
+    found = F.transform(F.regexp_extract_all(s, F.lit("."), F.lit(0)), lambda c: place(F.instr(F.lit(alphabet), c)))  # 0: outside
+    return _let(found, walk)
 
 
 def _entropy_spans(text: Column) -> Column:
@@ -108,18 +114,18 @@ def _entropy_spans(text: Column) -> Column:
 
     def judged(x: Column) -> Column:
         m = x["m"]
-        is_hex = m.rlike(r"^[0-9a-fA-F]+$")
-        mixed = m.rlike(r"[0-9]") & m.rlike(r"[a-z]") & m.rlike(r"[A-Z]")
-        lower, upper = m.rlike(r"^[0-9a-z]+$"), m.rlike(r"^[0-9A-Z]+$")
-        entropy = F.when(is_hex, window_entropy(F.lower(m), _ALPHABET["entropy_hex"])).when(mixed, window_entropy(m, _ALPHABET["entropy_alnum"])).when(lower, window_entropy(m, _ONE_CASE[0])).when(upper, window_entropy(m, _ONE_CASE[1])).otherwise(F.lit(0.0))
-        least = F.when(is_hex, LEAST["entropy_hex"]).when(mixed, LEAST["entropy_alnum"]).otherwise(LEAST_ONE_CASE)
+        is_hex = m.rlike(r"^[0-9a-fA-F]+$") & m.rlike(r"[0-9]")
+        lower, upper = m.rlike(r"^[0-9a-z]+$") & m.rlike(r"[0-9]"), m.rlike(r"^[0-9A-Z]+$") & m.rlike(r"[0-9]")
+        mixed = m.rlike(r"[a-z]") & m.rlike(r"[A-Z]")
+        entropy = F.when(is_hex, window_entropy(F.lower(m), _ALPHABET["entropy_hex"])).when(lower, window_entropy(m, _ONE_CASE[0])).when(upper, window_entropy(m, _ONE_CASE[1])).when(mixed, window_entropy(m, _ALPHABET["entropy_alnum"])).otherwise(F.lit(0.0))
+        least = F.when(is_hex, LEAST["entropy_hex"]).when(lower | upper, LEAST_ONE_CASE).when(m.rlike(r"[0-9]"), LEAST["entropy_alnum"]).otherwise(LEAST_LETTERS)
         return _let(
             F.struct(F.when(is_hex, F.lit("entropy_hex")).otherwise(F.lit("entropy_alnum")).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), entropy.alias("h"), least.alias("least")),
-            lambda y: F.when(y["h"] >= y["least"], F.struct(y["kind"].alias("kind"), y["s"].alias("s"), y["e"].alias("e"))),
+            lambda y: F.when(y["h"] >= y["least"] - 1e-9, F.struct(y["kind"].alias("kind"), y["s"].alias("s"), y["e"].alias("e"))),
         )
 
-    kept = F.filter(_matches(text, CANDIDATE, text.rlike("[0-9]")), lambda x: ~x["m"].rlike(ALLOWED) & x["m"].rlike(r"[0-9]"))
-    return F.array_compact(F.transform(kept, judged))
+    judgeable = lambda m: ~m.rlike(ALLOWED) & m.rlike(r"[0-9]|[a-z].*[A-Z].*[A-Z]")
+    return F.array_compact(F.transform(F.filter(_matches(text, CANDIDATE, F.length(text) >= WINDOW), lambda x: judgeable(x["m"])), judged))
 
 
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
@@ -127,8 +133,11 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
 
     `base` holds what the three patterns find: an assignment with a value of 12 characters or more, an access key of
     18 or more, lower-case hexadecimal of 16 or more. `spans` adds candidate strings whose sliding-window entropy is
-    high for their class, unless they are allow-listed or lie inside a base span. A null text counts as empty and has
-    no spans. All other columns of df stay, whatever their names; nothing is shuffled.
+    high for their class (hexadecimal; letters of one case and digits; letters of both cases, with digits and other marks or
+    without), unless they are allow-listed or lie inside a base span. Letters of one case alone are never judged, as
+    words would be found. A null text counts as empty and has no spans; equal texts have equal ones. The work is linear
+    in a text, however long a candidate or however many matches it has. Columns named base and spans are replaced, all
+    others stay, whatever their names; nothing is shuffled.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     value = lambda m: F.length(m) - F.length(F.regexp_extract(m, ASSIGN_HEAD, 0))
@@ -137,9 +146,12 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     base = F.concat(assign, named("access", _matches(t, ACCESS, F.contains(t, F.lit("AKIA")))), named("hex", _matches(t, HEX, F.length(t) >= 16)))
     rank = lambda x: F.element_at(F.create_map(*[y for i, k in enumerate(KINDS) for y in (F.lit(k), F.lit(i))]), x["kind"])
     ordered = lambda a: F.transform(F.array_sort(F.transform(a, lambda x: F.struct(x["s"].alias("s"), rank(x).alias("r"), x["e"].alias("e"), x["kind"].alias("kind")))), lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
-    out = df.withColumn("base", ordered(base)).withColumn("_random", _entropy_spans(t))
-    fresh = F.filter("_random", lambda x: ~F.exists("base", lambda b: (b["s"] <= x["s"]) & (x["e"] <= b["e"])))
-    return out.withColumn("spans", ordered(F.concat("base", fresh))).drop("_random")
+    random = "_random"
+    while random in df.columns:
+        random += "_"
+    out = df.withColumn("base", ordered(base)).withColumn(random, _entropy_spans(t))
+    fresh = F.filter(random, lambda x: ~F.exists("base", lambda b: (b["s"] <= x["s"]) & (x["e"] <= b["e"])))
+    return out.withColumn("spans", ordered(F.concat("base", fresh))).drop(random)
 
 
 def listed(spans: Column | str) -> Column:

@@ -1,12 +1,17 @@
 """Fingerprints, secret scans and shards against plain Python."""
 
 import hashlib
+import itertools
 import math
+import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from mavuno.llm import fingerprints, secret_scan, shards
@@ -63,19 +68,60 @@ def test_single_repeated_and_missing_rows(spark):
 
 def test_syncmers_are_context_free_anchors(spark):
     a, b = LONG[:9000].rsplit(" ", 1)[0], "other words stand here instead of those"
-    df = spark.createDataFrame([(a,), (a + " " + b,), (b + " " + a,)], "t string").select(fingerprints.syncmers(F.col("t")).alias("s"))
+    hashes = F.transform(fingerprints.anchors(F.col("t")), lambda x: F.shiftright(x, 20))
+    df = spark.createDataFrame([(a,), (a + " " + b,), (b + " " + a,)], "t string").select(hashes.alias("s"))
     alone, before, after = (r["s"] for r in df.collect())
     n = len(re.findall(r"\w+", a)) - 4
     assert 0.35 < len(alone) / n < 0.65  # two of four inner places
     assert before[: len(alone)] == alone and after[-len(alone) :] == alone
 
 
-def test_sketches_estimate_the_likeness_of_sets(spark):
-    a, b = LONG[: len(LONG) * 3 // 4] + " tail " * 3, LONG
-    row = spark.createDataFrame([(a, b)], "a string, b string").select(*[fingerprints.syncmers(F.col(c)).alias(c) for c in "ab"]).first()
-    true = len(set(row["a"]) & set(row["b"])) / len(set(row["a"]) | set(row["b"]))
-    near = spark.createDataFrame([(a, b)], "a string, b string").select(fingerprints.likeness(*[fingerprints.sketch(fingerprints.syncmers(F.col(c))) for c in "ab"])).first()[0]
-    assert abs(near - true) < 0.15
+def hashed(*values):
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64(v.encode() if isinstance(v, str) else (v % 2**64).to_bytes(8, "little"), seed=seed).intdigest()
+    return seed - 2**64 if seed >= 2**63 else seed
+
+
+def anchored(t):
+    """(place, hash) of the closed syncmers by their definition."""
+    t = (t or "").lower()
+    h = [hashed(w) for w in regex.findall(r"[\p{Han}]|[\p{L}\p{N}\p{M}--[\p{Han}]]+", t, regex.V1)]
+    if len(h) < 5:
+        return [(0, hashed(*h) % 2**64 >> 32)] if h else [(0, hashed(t) % 2**64 >> 32)] if t else []
+    out = []
+    for i in range(len(h) - 4):
+        inner = [hashed(*h[i + j : i + j + 2]) for j in range(4)]
+        if min(inner) in (inner[0], inner[3]):
+            out.append((i, hashed(*h[i : i + 5]) % 2**64 >> 32))
+    return out
+
+
+def linked(t):
+    a = anchored(t)
+    return {(h, a[i + 1][1], a[i + 1][0] - p) if i + 1 < len(a) else (h,) for i, (p, h) in enumerate(a)}
+
+
+def test_fingerprints_and_likeness_equal_brute_force(spark):
+    moved = "a few words before " + LONG[:20_000]
+    shuffled = " ".join(random.Random(1).sample(LONG.split()[:3000], 3000))
+    rows = dict(enumerate([*TEXTS.values(), LONG[:20_000], moved, shuffled, LONG * 8, LONG * 8 + " x"]))
+    texts = edited(rows)
+    got = fingerprints.chained(spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3)).collect()
+    share = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+
+    def said(t):
+        a = anchored(t)
+        return "".join((f"+{p - a[i - 1][0]}." if i else "") + f"{h:08X}" for i, (p, h) in enumerate(a))
+
+    for r in got:
+        k = r["doc_id"]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (said(rows[k]), said(texts[k]))
+        assert abs(r["near_edited"] - share(linked(rows[k]), linked(texts[k]))) < 1e-9
+        assert abs(r["near_next"] - share(linked(rows[k]), linked(rows[(k + 1) % len(rows)]))) < 1e-9
+    near = {r["doc_id"]: r["near_next"] for r in got}
+    first = len(TEXTS)
+    assert near[first] > 0.95 and near[first + 1] < 0.1 and near[first + 3] > 0.95  # moved, shuffled, very long
 
 
 SECRETS = [
@@ -86,6 +132,7 @@ SECRETS = [
     "key 9f86D081884c7d659A2feaa0c55ad015a3bf4f1b2b0b822cd15d6c15b0f00a08 and Zx9Qw3Er7Ty1Ui5Op2As8Df4Gh6 end",
     "id 123e4567-e89b-12d3-a456-426614174000 EXAMPLEzx9Qw3Er7Ty1Ui5Op2As8D aaaaaaaaaaaaaaaaaaaaaaaaaaA1",
     "token = é token='ünder' ſecret=abcdefghijklmnopq",
+    "letters QwErTyuIoPaSdFgHjKlZ and getTheElementsByTheirTagName and Donaudampfschifffahrt",
     "",
     None,
     "plain words only " * 500 + 'token = "0a1b2c3d4e5f6a7b8c9d"',
@@ -109,15 +156,18 @@ def all_spans(t):
     base = base_spans(t)
     for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", t):
         s = m[0]
-        if not re.search("[0-9]", s) or re.search(secret_scan.ALLOWED, s) or any(a <= m.start() and m.end() <= b for _, a, b in base_spans(t)):
+        if not re.search("[0-9]|[a-z].*[A-Z].*[A-Z]", s) or re.search(secret_scan.ALLOWED, s) or any(a <= m.start() and m.end() <= b for _, a, b in base_spans(t)):
             continue
-        if re.fullmatch("[0-9a-fA-F]+", s):
-            kind, h = "entropy_hex", entropy(s.lower())
+        kind, h, digits = "entropy_alnum", entropy(s), re.search("[0-9]", s)
+        if re.fullmatch("[0-9a-fA-F]+", s) and digits:
+            kind, h, least = "entropy_hex", entropy(s.lower()), secret_scan.LEAST["entropy_hex"]
+        elif re.fullmatch("[0-9a-z]+|[0-9A-Z]+", s):
+            least = secret_scan.LEAST_ONE_CASE
         elif re.search("[a-z]", s) and re.search("[A-Z]", s):
-            kind, h = "entropy_alnum", entropy(s)
+            least = secret_scan.LEAST["entropy_alnum"] if digits else secret_scan.LEAST_LETTERS
         else:
             continue
-        if h >= secret_scan.LEAST[kind]:
+        if h >= least - 1e-9:
             base.append((kind, m.start(), m.end()))
     return base
 
@@ -176,3 +226,22 @@ def test_random_keys_of_one_case_are_found(spark):
     df = spark.createDataFrame([(i, f"see {x} here") for i, x in enumerate(keys + plain)], "doc_id long, text string")
     got = [r["s"] for r in secret_scan.scan(df).orderBy("doc_id").select(secret_scan.listed("spans").alias("s")).collect()]
     assert got == [*(f"entropy_alnum:4:{4 + len(k)}" for k in keys), "", "", ""]
+
+
+def test_long_candidates_and_many_matches_take_linear_time(spark):
+    rng = random.Random(3)
+    blob = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(1 << 20))
+    many = " ".join(f"{i:016x}" for i in range(20_000))
+    df = spark.createDataFrame([(1, blob, "mine"), (2, many, "mine")], "doc_id long, text string, _random string")
+    began = time.perf_counter()
+    got = secret_scan.scan(df)
+    assert "_random" in got.columns
+    rows = {r["doc_id"]: r for r in got.select("doc_id", F.size("base").alias("n"), F.try_element_at("base", F.lit(-1))["e"].alias("e"), secret_scan.listed("spans").alias("s")).collect()}
+    assert f"entropy_alnum:0:{1 << 20}" in rows[1]["s"] and rows[2]["n"] == 20_000 and rows[2]["e"] == len(many)
+    assert time.perf_counter() - began < 60
+
+
+def test_running_sums(spark):
+    rows = [([1],), (list(range(1000)),), ([0] * 256,), ([5] * 257,)]
+    for r in spark.createDataFrame(rows, "v array<int>").select("v", secret_scan.running_sums(F.col("v")).alias("s")).collect():
+        assert r["s"] == list(itertools.accumulate(r["v"]))

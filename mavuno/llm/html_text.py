@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import json
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -46,7 +44,7 @@ class _Frame:
     __slots__ = ("count", "inline", "place", "tag")
 
     def __init__(self, tag: str, place: int) -> None:
-        self.tag, self.place, self.inline, self.count = tag, place, [], Counter()
+        self.tag, self.place, self.inline, self.count = tag, place, [], {}
 
 
 class _Reader(HTMLParser):
@@ -72,7 +70,12 @@ class _Reader(HTMLParser):
         frame = self.frames[-1]
         return frame.inline[-1][1] if frame.inline else frame.place
 
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # line numbers are not needed
+
     def end_block(self) -> None:
+        if not self.pieces:
+            return
         said = [(p, t) for p, t in self.pieces if not t.isspace()]
         if said:
             place = max(p for p, _ in said)
@@ -106,20 +109,20 @@ class _Reader(HTMLParser):
         elif tag == "br":
             self.pieces.append((self.place(), " "))
         place = self.place()
-        known = {k: v or "" for k, v in attrs if k in ("class", "id", "role", "hidden", "aria-hidden")}
+        known = {k: v or "" for k, v in attrs if k in ("class", "id", "role", "hidden", "aria-hidden")} if attrs else {}
         if place < MAIN and place != -2:
             self.stream.append((f"<{tag}.{'.'.join(known.get('class', '').split())}>", place))
         if tag in _VOID:
             return
         if place >= 0:
-            label = f"{known.get('class', '')} {known.get('id', '')}"
+            label = f"{known.get('class', '')} {known.get('id', '')}" if known else ""
             if tag in _SILENT or "hidden" in known or known.get("aria-hidden") == "true":
                 place = -2
-            elif tag in _PART or known.get("role") in _ROLES or tag not in _NAMED_FREELY and _SIDE.search(label):
+            elif tag in _PART or known.get("role") in _ROLES or label and tag not in _NAMED_FREELY and _SIDE.search(label):
                 place = -1
             elif tag in _MAIN or known.get("role") == "main":
                 place = MAIN
-            elif tag in ("div", "section") and _BODY.search(label):
+            elif label and tag in ("div", "section") and _BODY.search(label):
                 place = max(place, 1)
         elif tag in _SILENT:
             place = -2
@@ -127,8 +130,9 @@ class _Reader(HTMLParser):
             self.frames.append(_Frame(tag, place))
             self.opened[tag] += 1
         else:
-            self.frames[-1].inline.append((tag, place))
-            self.frames[-1].count[tag] += 1
+            frame = self.frames[-1]
+            frame.inline.append((tag, place))
+            frame.count[tag] = frame.count.get(tag, 0) + 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # as browsers do, <div/> opens an element
@@ -144,7 +148,7 @@ class _Reader(HTMLParser):
                 while self.frames[at].tag != tag:
                     at -= 1
                 self._close(at)
-        elif frame.count[tag]:
+        elif frame.count.get(tag):
             while True:
                 name, _ = frame.inline.pop()
                 frame.count[name] -= 1
@@ -321,15 +325,6 @@ def dealt_pages(df: DataFrame, html: str, url: str, key: str) -> DataFrame:
     return dealt.withColumn("_group", F.xxhash64("_host", F.pmod(F.xxhash64(url, key), F.coalesce("_groups", F.lit(1))))).drop("_groups", "_n")
 
 
-def _packed(page: Page) -> bytes:
-    return zlib.compress(json.dumps([[(m, ok, t, at.tolist()) for m, ok, t, at in page.blocks], page.stream, page.named]).encode(), 1)
-
-
-def _unpacked(raw: bytes) -> Page:
-    blocks, stream, named = json.loads(zlib.decompress(raw))
-    return Page([(m, ok, t, np.array(at, int)) for m, ok, t, at in blocks], stream, named)
-
-
 def shared_runs(streams: DataFrame) -> DataFrame:
     """(_group, _runs): of each group of pages (_host, _group, stream) the keys of those of its runs that DISTINCT pages share.
 
@@ -362,18 +357,15 @@ def extract(df: DataFrame, html: str = "html", url: str = "url", key: str = "pag
     arrow_batches(df.sparkSession)
     dealt = dealt_pages(df, html, url, key)
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def outside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            pages = [read(h, host) for h, host in zip(batch["html"], batch["_host"], strict=True)]
-            yield batch.drop(columns="html").assign(stream=[" ".join(p.stream) for p in pages], page=[_packed(p) for p in pages])
-
-    parsed = dealt.mapInPandas(parse, dealt.drop("html").withColumn("stream", F.lit("")).withColumn("page", F.lit(b"")).schema)
-    streams = cut(parsed.select("_host", "_group", "stream").filter("stream != ''"))
+            rows = batch[["_host", "_group"]].assign(stream=[" ".join(read(h, host).stream) for h, host in zip(batch["html"], batch["_host"], strict=True)])
+            yield rows[rows["stream"] != ""]
 
     def work(pages: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         runs = np.sort(np.asarray(known["_runs"].iloc[0], np.int64)) if len(known) else np.zeros(0, np.int64)
-        texts = [" ".join(decide(_unpacked(p), runs, host)[0]) for p, host in zip(pages["page"], pages["_host"], strict=True)]
+        texts = [" ".join(decide(read(h, host), runs, host)[0]) for h, host in zip(pages["html"], pages["_host"], strict=True)]
         return pd.DataFrame({key: pages[key], url: pages[url], "text": texts})
 
-    by = ["_group"]
-    return parsed.drop("stream").groupBy(by).cogroup(shared_runs(streams).groupBy(by)).applyInPandas(work, df.select(key, url, F.lit("").alias("text")).schema)
+    streams = cut(dealt.mapInPandas(outside, "_host string, _group long, stream string"))
+    return dealt.groupBy("_group").cogroup(shared_runs(streams).groupBy("_group")).applyInPandas(work, df.select(key, url, F.lit("").alias("text")).schema)

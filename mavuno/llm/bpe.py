@@ -3,23 +3,93 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
+from itertools import chain
 
-import numpy as np
 import pyarrow as pa
-import tiktoken
+import pyarrow.compute
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_batches
 
-LEAF = 4096  # characters that are encoded, or ids that are decoded, at once
+LEAF = 512  # characters below which a range is not halved, and ids that are decoded at once
+CACHED = 1 << 18  # ids of so many matches of at most 64 characters are kept by a worker
+AT_ONCE = 1 << 19  # ids that a worker holds before it passes them on; Python's integers take about 36 bytes each
+
+
+def merged(raw: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one match of the pattern: of all neighbours the pair of least rank is joined, the first of equal ones, until no
+    pair has a rank. For long matches a heap of pairs makes that n log n."""
+    if raw in ranks:
+        return [ranks[raw]]
+    n = len(raw)
+    if n <= 32:
+        none, get, last = len(ranks) + 1, ranks.get, n - 2
+        parts = [raw[i : i + 1] for i in range(n)]
+        pairs = [get(raw[i : i + 2], none) for i in range(n - 1)]
+        while (least := min(pairs)) < none:
+            i = pairs.index(least)
+            part = parts[i] = parts[i] + parts.pop(i + 1)
+            del pairs[i]
+            if i < last:
+                pairs[i] = get(part + parts[i + 1], none)
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + part, none)
+            if not last:
+                break
+            last -= 1
+        return [ranks[x] for x in parts]
+    end, before, alive = list(range(1, n + 1)), list(range(-1, n)), [True] * n
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(raw[i : i + 2])) is not None]
+    heapify(heap)
+    while heap:
+        _, i, e = heappop(heap)
+        j = end[i] if alive[i] else n
+        if j >= n or end[j] != e:
+            continue  # one of the two has been joined to another part since
+        alive[j] = False
+        end[i], before[e] = e, i
+        for a in (i, before[i]):
+            if a >= 0 and end[a] < n and (r := ranks.get(raw[a : end[end[a]]])) is not None:
+                heappush(heap, (r, a, end[end[a]]))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[raw[i : end[i]]])
+        i = end[i]
+    return out
+
+
+class _Matches(dict):
+    """The ids of each match of the pattern that was met lately."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        super().__init__()
+        self.ranks = ranks
+
+    def __missing__(self, match: str) -> list[int]:
+        ids = merged(match.encode(), self.ranks)
+        if len(match) <= 64:
+            if len(self) >= CACHED:
+                self.clear()
+            self[match] = ids
+        return ids
+
+
+@dataclass(frozen=True)
+class Vocabulary:
+    encode: Callable[[str], list[int]]  # of a range at once: every match of the pattern by itself
+    tokens: list[bytes]
+    lengths: list[int]
 
 
 @lru_cache(maxsize=2)
-def vocabulary(path: str, pattern: str) -> tuple[tiktoken.Encoding, list[bytes], np.ndarray]:
-    """Once per worker process: the encoding, the bytes of each id and their lengths. The rank file is never copied."""
+def vocabulary(path: str, pattern: str) -> Vocabulary:
+    """Once per worker process. The rank file is read where it lies and never copied."""
     ranks = {}
     with open(path, "rb") as file:
         for line in file:
@@ -28,41 +98,48 @@ def vocabulary(path: str, pattern: str) -> tuple[tiktoken.Encoding, list[bytes],
     tokens = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         tokens[rank] = token
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), tokens, np.array([len(t) for t in tokens])
+    split, matches = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall, _Matches(ranks)
+    return Vocabulary(lambda text: list(chain.from_iterable(map(matches.__getitem__, split(text)))), tokens, [len(t) for t in tokens])
 
 
-def _stable(text: str, i: int) -> bool:
-    """A letter or digit before a blank or line end: every match of the pattern ends here, whatever stands around.
+_STABLE = regex.compile(r"[^\W_][ \n]")
 
-    No alternative holds a white space after another character, so no match crosses i; none looks back, so what
-    follows depends on text[i:] alone; and what stands before i ends with a match that a blank cannot lengthen.
+
+def _stable_near(text: str, start: int, middle: int, end: int) -> tuple[int, int]:
+    """The last stable place up to `middle` and the first one from it, or start and end.
+
+    A place is stable if a letter or digit stands before it and a blank or line end at it: every match of the pattern ends
+    there, whatever stands around. No alternative holds a white space after another character, so no match crosses
+    it; none looks back, so what follows depends on the rest alone; and what stands before it ends with a match that
+    a blank cannot lengthen.
     """
-    return text[i] in " \n" and text[i - 1].isalnum()
+    a = middle
+    while True:
+        a = max(text.rfind(" ", start + 1, a + 1), text.rfind("\n", start + 1, a + 1))
+        if a < 0 or text[a - 1].isalnum():
+            break
+        a -= 1
+    after = _STABLE.search(text, max(start, middle - 1), end)
+    return (start if a < 0 else a), (after.start() + 1 if after else end)
 
 
-def encode_tree(text: str, start: int, end: int, encode, lengths: np.ndarray, leaf: int = LEAF) -> list[int]:
+def encode_tree(text: str, start: int, end: int, encode: Callable[[str], list[int]], lengths: list[int], leaf: int = LEAF) -> list[int]:
     """Ids of text[start:end], equal to those of encoding it in one go.
 
     Halves are encoded by themselves. At their border a window is encoded anew; it grows on either side until it
-    reaches a stable place or the end of that half, beyond which no id can change.
+    reaches a stable place or the end of that half, beyond which no id can change. A range without any stable place
+    would be encoded anew as a whole, so it is not halved.
     """
-    if end - start <= leaf:
+    if end - start <= leaf or not _STABLE.search(text, start, end):
         return encode(text[start:end])
     middle = (start + end) // 2
+    middle = max(middle, text.find(" ", middle, min(end, middle + 64)))  # few words are cut
     left = encode_tree(text, start, middle, encode, lengths, leaf)
     right = encode_tree(text, middle, end, encode, lengths, leaf)
-    if _stable(text, middle):
+    a, b = _stable_near(text, start, middle, end)
+    if a == b:
         return left + right
-    a, width = middle - 1, 16
-    while a > start and not _stable(text, a):
-        a = next((i for i in range(a, max(start, a - width), -1) if _stable(text, i)), max(start, a - width))
-        width *= 2
-    b, width = middle + 1, 16
-    while b < end and not _stable(text, b):
-        b = next((i for i in range(b, min(end, b + width)) if _stable(text, i)), min(end, b + width))
-        width *= 2
-    drop = len(text[a:middle].encode())
-    kept = len(left)
+    drop, kept = len(text[a:middle].encode()), len(left)
     while drop > 0:
         kept -= 1
         drop -= lengths[left[kept]]
@@ -86,7 +163,8 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
 
     With `decoded` a column of that name gets the bytes that the ids decode to, in the same pass; without `keep_text` the
     text is left out of the result. Any other column stays, unless it is named like a new one, which replaces it.
-    Nothing is shuffled, and a worker holds a batch of about a MB of text. Repeated texts get equal ids.
+    Nothing is shuffled, and a worker holds about AT_ONCE ids or one text's. Repeated texts get equal ids; a text of
+    any length, unbroken ones too, is encoded in n log n.
     """
     arrow_batches(df.sparkSession)
     new = [ids, *([decoded] if decoded else [])]
@@ -94,16 +172,21 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     kept = [c for c in df.columns if keep_text or c != text]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, tokens, lengths = vocabulary(path, pattern)
+        known = vocabulary(path, pattern)
         for batch in batches:
-            out, back = [], []
-            for t in batch.column(text).to_pylist():
-                found = encode_tree(t, 0, len(t), encoding.encode_ordinary, lengths)
-                out.append(np.array(found, np.int32))
+            out, back, held, since = [], [], 0, 0
+            for row, t in enumerate(batch.column(text).to_pylist(), 1):
+                found = encode_tree(t, 0, len(t), known.encode, known.lengths)
+                out.append(pa.array(found, pa.int32()))
+                held += len(found)
                 if decoded:
-                    back.append(decode_tree(found, tokens))
-            columns = [*[batch.column(c) for c in kept], pa.array(out, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(back, pa.binary())] if decoded else columns, [*kept, *new])
+                    back.append(decode_tree(found, known.tokens))
+                if held >= AT_ONCE or row == batch.num_rows:
+                    sizes = pa.array([0, *map(len, out)], pa.int32())
+                    lists = pa.ListArray.from_arrays(pa.compute.cumulative_sum(sizes), pa.concat_arrays(out))
+                    columns = [*[batch.column(c).slice(since, row - since) for c in kept], lists, *([pa.array(back, pa.binary())] if decoded else [])]
+                    yield pa.RecordBatch.from_arrays(columns, [*kept, *new])
+                    out, back, held, since = [], [], 0, row
 
     made = df.select(*kept).withColumn(ids, F.lit(None).cast("array<int>"))
     return df.mapInArrow(work, (made.withColumn(decoded, F.lit(None).cast("binary")) if decoded else made).schema)
@@ -115,7 +198,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: st
     df = df.drop(decoded)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, tokens, _ = vocabulary(path, pattern)
+        tokens = vocabulary(path, pattern).tokens
         for batch in batches:
             out = [decode_tree(x or [], tokens) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, decoded])

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 from mavuno.llm import ann, bpe, language, latent, mixing, quality, queries
@@ -180,18 +181,46 @@ def test_multi_index_finds_every_code_in_the_radius():
             assert list(index.within(code)) == list(np.flatnonzero(np.unpackbits(codes ^ code, axis=1).sum(axis=1) <= radius))
 
 
+def library():
+    known = bpe.vocabulary(RANKS, PATTERN)
+    return known, tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks={t: i for i, t in enumerate(known.tokens) if t}, special_tokens={})
+
+
 @pytest.mark.parametrize("leaf", [1, 3, 16])
 def test_the_tree_encodes_as_one_piece(leaf):
-    encoding, tokens, lengths = bpe.vocabulary(RANKS, PATTERN)
+    known, encoding = library()
     rng = random.Random(leaf)
     for _ in range(400):
-        t = "".join(rng.choice("ab '\n\t  sltdé中ß,.!9 ") for _ in range(rng.randint(0, 70)))
-        ids = bpe.encode_tree(t, 0, len(t), encoding.encode_ordinary, lengths, leaf)
-        assert ids == encoding.encode_ordinary(t) and bpe.decode_tree(ids, tokens, leaf) == t.encode()
+        t = "".join(rng.choice("ab '\n\t  sltdé中ß,.!9_ ") for _ in range(rng.randint(0, 70)))
+        ids = bpe.encode_tree(t, 0, len(t), known.encode, known.lengths, leaf)
+        assert ids == encoding.encode_ordinary(t) and bpe.decode_tree(ids, known.tokens, leaf) == t.encode()
+
+
+def test_matches_are_merged_as_the_library_does():
+    known, encoding = library()
+    rng = random.Random(9)
+    for size in (1, 2, 9, 32, 33, 34, 200, 5000):
+        for letters in ("ab", "etaoinshrdlu", "éßñ中", "x", ".!?"):
+            t = "".join(rng.choice(letters) for _ in range(size))
+            assert known.encode(t) == encoding.encode_ordinary(t)
+
+
+def test_every_kind_of_character_is_split_as_the_library_does():
+    known, encoding = library()
+    for c in [*range(0x3000), *range(0x3000, 0x110000, 97)]:
+        if not 0xD800 <= c < 0xE000:
+            t = f"a{chr(c)} {chr(c)}1{chr(c)}"
+            assert known.encode(t) == encoding.encode_ordinary(t), hex(c)
+
+
+def test_texts_without_a_stable_place_are_encoded_in_time():
+    known, encoding = library()
+    for t in ("x" * 200_000, " " * 200_000, "\n \t" * 50_000, "xy" * 50_000 + " a b c"):
+        assert bpe.encode_tree(t, 0, len(t), known.encode, known.lengths) == encoding.encode_ordinary(t)
 
 
-def test_encoding_equals_the_library(spark):
-    encoding, _, _ = bpe.vocabulary(RANKS, PATTERN)
+def test_encoding_equals_the_library(spark, monkeypatch):
+    _, encoding = library()
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
     for r in queries.op10_byte_bpe(spark, SF).collect():
         ids = encoding.encode_ordinary(texts[r["doc_id"]])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,8 +15,7 @@ from .common import arrow_batches, held_out, unit_hash
 
 HIDDEN = 8
 WIDTH = 64  # bytes of a window; every window of a text is read, in both directions
-TRAIN_TEXTS = 512  # bound of the training sample for each language
-TRAIN_CHARS = 256  # and of the passage that is taken, anywhere, from each sampled text
+TRAIN_TEXTS, TRAIN_ROWS = 512, 8192  # bounds of the labelled sample, whole texts: for each language, and for all (one for each at least)
 STEPS, BATCH, RATE = 300, 256, 0.02
 UNKNOWN = "und"
 
@@ -128,18 +128,11 @@ class Network:
 
     def pooled(self, texts: list[str], windows_at_once: int = 4096) -> np.ndarray:
         """Mean probabilities (n, L) over all bytes of each text; zero for an empty one."""
-        raw = [np.frombuffer(t.encode(), np.uint8) for t in texts]
-        counts = np.array([-(-len(x) // WIDTH) for x in raw])
-        total = np.zeros((len(raw), len(self.languages)))
+        lengths = np.array([len(t.encode()) for t in texts], int)
+        counts = -(-lengths // WIDTH)
+        total = np.zeros((len(texts), len(self.languages)))
         if counts.sum() and self.languages:
-            flat = np.zeros((counts.sum(), WIDTH), np.uint8)
-            sizes = np.full(len(flat), WIDTH)
-            at = 0
-            for x, k in zip(raw, counts, strict=True):
-                if k:
-                    flat[at : at + k].reshape(-1)[: len(x)] = x
-                    sizes[at + k - 1] = len(x) - WIDTH * (k - 1)
-                    at += k
+            flat, _, sizes = windows(texts, [0] * len(texts))
             sums = np.empty((len(flat), len(self.languages)), np.float64)
             for i in range(0, len(flat), windows_at_once):
                 part = np.ascontiguousarray(flat[i : i + windows_at_once].T)
@@ -148,7 +141,7 @@ class Network:
                 sums[i : i + windows_at_once] = p.sum(axis=0).T
             full = counts > 0
             total[full] = np.add.reduceat(sums, (np.cumsum(counts) - counts)[full])
-        return total / np.maximum([len(x) for x in raw], 1)[:, None]
+        return total / np.maximum(lengths, 1)[:, None]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """The likeliest language and its pooled probability. UNKNOWN and 0 for a text that is null or has no letter."""
@@ -159,35 +152,52 @@ class Network:
         return [self.languages[i] if k else UNKNOWN for i, k in zip(best, known, strict=True)], np.where(known, p.max(axis=1, initial=0.0), 0.0).clip(0, 1)
 
 
-def train(passages: list[str], languages: list[str], hidden: int = HIDDEN, steps: int = STEPS, seed: int = 5) -> Network:
-    """Adam on the mean cross-entropy of all positions, by backpropagation through time over windows of WIDTH bytes."""
-    names = sorted(set(languages))
+def windows(texts: list[str], goals: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of WIDTH bytes of whole texts, their goals, and how many bytes each has; the last one of a text is padded."""
+    raw = [(np.frombuffer(t.encode(), np.uint8), g) for t, g in zip(texts, goals, strict=True)]
+    counts = [-(-len(x) // WIDTH) for x, _ in raw]
+    data, sizes = np.zeros((sum(counts), WIDTH), np.uint8), np.full(sum(counts), WIDTH)
+    at = 0
+    for (x, _), k in zip(raw, counts, strict=True):
+        data[at : at + k].reshape(-1)[: len(x)] = x
+        if k:
+            sizes[at + k - 1] = len(x) - WIDTH * (k - 1)
+        at += k
+    return data, np.repeat([g for _, g in raw], counts).astype(int), sizes
+
+
+def train(texts: list[str], languages: list[str], hidden: int = HIDDEN, steps: int = STEPS, seed: int = 5) -> Network:
+    """Adam on the mean cross-entropy of all positions, by backpropagation through time over windows of WIDTH bytes.
+
+    Each step draws a text of each language, then one of its windows, so short texts count as long ones do; padding is
+    no position. Two or more languages always train; a single one needs no weights, and without texts nothing is told.
+    """
+    told = [(t, n) for t, n in zip(texts, languages, strict=True) if t]
+    names = sorted({n for _, n in told})
     rng = np.random.default_rng(seed)
-    windows, goal = [], []
-    for text, name in zip(passages, languages, strict=True):
-        raw = np.frombuffer(text.encode(), np.uint8)
-        for i in range(0, max(1, len(raw) - WIDTH + 1), WIDTH):
-            if len(raw) >= WIDTH:
-                windows.append(raw[i : i + WIDTH])
-                goal.append(names.index(name))
     init = lambda *shape: (rng.standard_normal(shape) * 0.15).astype(np.float32)
     side = lambda: {"x": init(3 * hidden, 256), "u": init(3 * hidden, hidden), "c": np.zeros((hidden, 1), np.float32)}
     net = Network(names, side(), side(), init(len(names), 2 * hidden), np.zeros((len(names), 1), np.float32))
-    if not windows or len(names) < 2:
+    if len(names) < 2:
         return net
-    data, goal = np.stack(windows), np.array(goal)
+    goals = [names.index(n) for _, n in told]
+    data, _, sizes = windows([t for t, _ in told], goals)
+    counts = np.array([-(-len(t.encode()) // WIDTH) for t, _ in told])
+    starts = np.cumsum(counts) - counts
     params = [("f", k, v) for k, v in net.forward.items()] + [("b", k, v) for k, v in net.backward.items()] + [("o", "w", net.w), ("o", "b", net.b)]
     m, v2 = [np.zeros_like(p) for *_, p in params], [np.zeros_like(p) for *_, p in params]
-    per = [np.flatnonzero(goal == i) for i in range(len(names))]
-    per = [x for x in per if len(x)]
+    per = [np.flatnonzero(np.array(goals) == i) for i in range(len(names))]
     for step in range(1, steps + 1):
-        pick = np.concatenate([rng.choice(x, max(1, BATCH // len(per))) for x in per])  # languages count alike
-        text, y = np.ascontiguousarray(data[pick].T), goal[pick]
+        chosen = rng.permutation(len(per))[:BATCH]  # languages count alike; of more than BATCH each step takes as many
+        picked = np.concatenate([rng.choice(per[i], max(1, BATCH // len(per))) for i in chosen])
+        pick = starts[picked] + (rng.random(len(picked)) * counts[picked]).astype(int)
+        text, y = np.ascontiguousarray(data[pick].T), np.array(goals)[picked]
+        real = (np.arange(WIDTH)[:, None] < sizes[pick]).astype(np.float32)
         tf, tb = [], []
         states = np.concatenate([_direction(net.forward, text, tf), _direction(net.backward, text[::-1], tb)[::-1]], axis=1)
         p = net._probabilities(states)
         p[:, y, np.arange(len(y))] -= 1
-        p /= p.shape[0] * p.shape[2]
+        p *= real[:, None, :] / real.sum()
         d_states = net.w.T @ p
         gf = _back(net.forward, tf, d_states[:, :hidden])
         gb = _back(net.backward, tb, d_states[::-1, hidden:])
@@ -202,22 +212,29 @@ def train(passages: list[str], languages: list[str], hidden: int = HIDDEN, steps
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Network:
-    """Train on a bounded sample: for each language about TRAIN_TEXTS texts outside the held-out fold, chosen by a hash of
-    doc_id, and of each a passage of TRAIN_CHARS characters whose place that hash gives as well."""
-    known = docs.filter(F.col(lang).isNotNull() & (F.col(lang) != UNKNOWN) & F.col(text).isNotNull() & ~held_out())
-    counts = {r[lang]: r["n"] for r in known.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
+    """Train on a bounded sample of whole texts outside the held-out fold: about TRAIN_TEXTS of each language, fewer where
+    many languages share TRAIN_ROWS, chosen by a hash of doc_id and text. A row for each language and the sample come to
+    the driver. Null and empty texts, null languages and UNKNOWN teach nothing."""
+    known = docs.filter(F.col(lang).isNotNull() & (F.col(lang) != UNKNOWN) & (F.length(text) > 0) & ~held_out())
+    counts = {r[lang]: r["n"] for r in known.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return train([], [])
-    rate = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, TRAIN_TEXTS / n)])
-    key = F.coalesce(F.col("doc_id"), F.lit(-1))
-    start = F.floor(unit_hash(key, seed=11) * F.greatest(F.length(text) - TRAIN_CHARS, F.lit(0))).cast("int") + 1
-    rows = known.filter(unit_hash(key, seed=3) < F.element_at(rate, F.col(lang))).select("doc_id", lang, F.substring(F.col(text), start, F.lit(TRAIN_CHARS)).alias("passage")).collect()
-    rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["passage"]))
-    return train([r["passage"] for r in rows], [r[lang] for r in rows])
+    each = max(1, min(TRAIN_TEXTS, TRAIN_ROWS // len(counts)))
+    rates = docs.sparkSession.createDataFrame([(k, max(each, 8) / n) for k, n in counts.items()], "_named string, _rate double")
+    key = [F.coalesce(F.col("doc_id"), F.lit(-1)), F.col(text)]
+    chosen = known.join(F.broadcast(rates), F.col(lang) == F.col("_named")).filter(unit_hash(*key, seed=3) < F.col("_rate"))
+    rows = [(r[text], r[lang]) for r in chosen.select("doc_id", lang, text).collect()]
+    rows.sort(key=lambda r: (r[1], hashlib.blake2b(r[0].encode()).digest()))
+    return train([t for t, _ in rows], [n for _, n in rows])
 
 
 def identify(df: DataFrame, network: Network, text: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """Add the predicted language of each whole text and its probability to df. Columns so named are replaced; the rest stay."""
+    """Add the predicted language of each whole text and its pooled probability to df.
+
+    UNKNOWN and 0 for a text that is null, empty or without a letter, and for all texts if the network knows no language.
+    Every byte of a long text is read, window by window; equal texts get equal answers. Columns so named are replaced,
+    the rest stay; nothing is shuffled, and an empty df gives none.
+    """
     arrow_batches(df.sparkSession)
     df = df.drop(*into)
     sent = df.sparkSession.sparkContext.broadcast(network)  # tens of kB

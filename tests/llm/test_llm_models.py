@@ -97,6 +97,22 @@ def test_language_of_odd_texts(spark):
     assert language.identify(docs.limit(0), net).count() == 0
 
 
+def test_short_texts_train(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(words.split()) for _ in range(5)), lang) for i in range(400) for lang, words in [(("en", "the and of with that from") if i % 2 else ("de", "der und von mit das aus"))]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.identify(docs, language.learn(docs)).filter("doc_id % 4 = 1 or doc_id % 4 = 2").collect()
+    assert all(len(r["text"]) < language.WIDTH for r in got) and sum(r["lang_pred"] == r["lang"] for r in got) >= 0.98 * len(got)
+    one = language.learn(docs.filter("lang = 'en'"))
+    assert {(r["lang_pred"], r["score"]) for r in language.identify(docs, one).collect()} == {("en", 1.0)}
+
+
+def test_windows_hold_whole_texts():
+    data, goal, sizes = language.windows(["a" * 64, "", "b" * 130, "c"], [0, 1, 2, 3])
+    assert goal.tolist() == [0, 2, 2, 2, 3] and sizes.tolist() == [64, 64, 64, 2, 1]
+    assert bytes(data[3]).rstrip(b"\0") == b"bb" and bytes(data[4]).rstrip(b"\0") == b"c"
+
+
 def raked(t, goals, rounds):
     x = t / t.sum()
     for _ in range(rounds):

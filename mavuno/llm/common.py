@@ -41,17 +41,17 @@ def arrow_batches(spark: SparkSession) -> None:
 MOST_BROADCAST = 50_000  # rows of a few numbers
 
 
-def joined(rows: DataFrame, facts: DataFrame, on: list[str], count: str, how: str = "inner", spread: Column | None = None) -> DataFrame:
+def joined(rows: DataFrame, facts: DataFrame, on: list[str], count: str, how: str = "inner", spread: Column | None = None, keep: bool = True) -> DataFrame:
     """rows with the facts of their key, whatever share of the rows a key holds.
 
-    `facts` has one row for each key, and in `count` how many rows that key has. They are cut and counted; up to
-    MOST_BROADCAST of them are broadcast. Beyond, keys with more than 1 / (8 p) of all rows, p the number of shuffle
+    `facts` has one row for each key, and in `count` how many rows that key has. They are counted, and cut
+    with `keep`; up to MOST_BROADCAST of them are broadcast. Beyond, keys with more than 1 / (8 p) of all rows, p the number of shuffle
     partitions, are broadcast: there are at most 8 p of them. Rows of such a key are spread by `spread` in the shuffle
     join that serves the others. Null keys match nothing.
     """
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    facts = cut(facts)
+    facts = cut(facts) if keep else facts
     n, total = facts.agg(F.count(F.lit(1)), F.sum(count)).first()
     if n <= MOST_BROADCAST:
         return rows.join(F.broadcast(facts), on, how)

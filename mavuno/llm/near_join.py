@@ -7,10 +7,10 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, cut
+from .common import arrow_batches, cut, joined
 from .components import connected
 
 WORDS = 5
@@ -18,7 +18,7 @@ LEAST = 0.8
 BANDS, ROWS = 24, 4  # a pair at LEAST shares no band with probability (1 - 0.8^4)^24 < 4e-6
 STEP = 16  # MinHash values compared at a time
 TOLERANCE = 1e-4  # a pair goes when the posterior probability of reaching LEAST is below this
-CHUNK = 1024  # rows of a group that one task holds against as many others
+CHUNK, BYTES = 1024, 8 << 20  # rows, and bytes of shingles, of a group that one task holds against as many others
 
 _A, _B, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 _A_BACK = np.uint64(pow(int(_A), -1, 1 << 64))
@@ -166,12 +166,11 @@ def _bounds(frame: pd.DataFrame, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-def _dealt(df: DataFrame, key: str, size: str, node: str) -> DataFrame:
-    """Deal each group of more than CHUNK rows into chunks, and each row to every pair of chunks that holds its own, so that
-    a task compares CHUNK rows with CHUNK others whatever the size of a group. Adds chunk, ci and cj, ci <= cj."""
-    chunks = F.ceil(F.col(size) / CHUNK).cast("int")
+def _dealt(df: DataFrame, key: str, chunks: Column, node: str) -> DataFrame:
+    """Deal each group into as many chunks as `chunks` says, and each row to every pair of chunks that holds its own, so that
+    a task compares one chunk with one other whatever the size of a group. Adds chunk, ci and cj, ci <= cj."""
     mine = F.pmod(F.xxhash64(node), F.col("_chunks")).cast("int")
-    df = df.withColumn("_chunks", chunks).withColumn("chunk", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+    df = df.withColumn("_chunks", F.ceil(chunks).cast("int")).withColumn("chunk", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
     df = df.withColumn("ci", F.least("chunk", "_other")).withColumn("cj", F.greatest("chunk", "_other")).drop("_chunks", "_other")
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, key, "ci", "cj").sortWithinPartitions(key, "ci", "cj", node)
@@ -252,11 +251,12 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", leas
     without words (null and empty ones too) are linked to equal texts only. Rows without a key are returned with
     null ids and no links. Other columns of df are left out.
 
-    1. Equal sets collapse into one node, by a 128-bit key. 2. Nodes that agree in a band of MinHash values meet; pairs
-    are compared step by step and dropped when the posterior says so. Only spanning edges leave a task, not pairs.
-    3. Components of these edges hold every pair that is left; in each, all pairs of nodes are verified exactly, and
-    counts and spanning edges of the true links leave the task. 4. Components of the true links are the classes.
-    Groups larger than CHUNK are dealt over pairs of chunks in 2 and 3.
+    1. Equal sets collapse into one node, by a 128-bit key; a node is named by the number of its first row. 2. Nodes that
+    agree in a band of MinHash values meet; pairs are compared step by step and dropped when the posterior says so. Only
+    spanning edges leave a task, not pairs. 3. Components of these edges hold every pair that is left; in each, all
+    pairs of nodes are verified exactly, and counts and spanning edges of the true links leave the task.
+    4. Components of the true links are the classes. Groups of more than CHUNK nodes or BYTES bytes are dealt over pairs
+    of chunks in 2 and 3, and joins on buckets, components and copies serve hot keys by `joined`.
     """
     arrow_batches(df.sparkSession)
     docs = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -266,48 +266,47 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", leas
             rows = []
             for t in batch["text"]:
                 x = shingles(t)
-                k1, k2 = _keys(x, t)
+                bands, m = np.zeros(0, np.int64), np.zeros(0, np.uint32)
                 if len(x):
                     m = minhashes(x)
                     bands = _mixed((m.reshape(BANDS, ROWS).astype(np.uint64) * _ODD[:ROWS]).sum(axis=1, dtype=np.uint64) + _FLIP[:BANDS]).astype(np.int64)
-                    rows.append((k1, k2, m.astype(np.uint16).tobytes(), bands))
-                else:
-                    rows.append((k1, k2, b"", np.zeros(0, np.int64)))
-            out = pd.DataFrame(rows, columns=["node", "node2", "signature", "bands"])
-            yield out.assign(key=batch["key"].to_numpy())
+                rows.append((*_keys(x, t), 8 * len(x), m.astype(np.uint16).tobytes(), bands))
+            out = pd.DataFrame(rows, columns=["k1", "k2", "bytes", "signature", "bands"])
+            yield out.assign(key=batch["key"].to_numpy(), row=batch["row"].to_numpy())
 
-    schema = "node long, node2 long, signature binary, bands array<long>, key long"
     keyed = docs.filter(F.col("key").isNotNull())
-    signed_docs = cut(keyed.mapInPandas(signed, schema))
-    nodes = signed_docs.groupBy("node", "node2").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("size"))
-    told = signed_docs.select("node", "key", "signature", "bands").join(nodes.select("node", F.col("first").alias("key")), ["node", "key"]).dropDuplicates(["node"])
+    schema = "k1 long, k2 long, bytes long, signature binary, bands array<long>, key long, row long"
+    signed_docs = cut(keyed.withColumn("row", F.monotonically_increasing_id()).mapInPandas(signed, schema))  # rows are numbered once
+    nodes = cut(signed_docs.groupBy("k1", "k2").agg(F.min("row").alias("node"), F.min("key").alias("first"), F.count(F.lit(1)).alias("size"), F.min("bytes").alias("bytes")))
+    told = signed_docs.withColumnRenamed("row", "node").join(nodes.select("node"), "node", "left_semi")
     told = cut(told.filter(F.size("bands") > 0).select("node", "signature", "bands"))
 
     rows = told.select("node", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
-    met = rows.join(shared, "bucket").join(told.select("node", "signature"), "node")
-    edges = _dealt(met, "bucket", "size", "node").mapInPandas(_candidate_edges, "a long, b long")
-    loose = connected(edges)
+    met = joined(rows, shared, ["bucket"], "size", spread=F.col("node")).join(told.select("node", "signature"), "node")
+    edges = _dealt(met, "bucket", F.col("size") / CHUNK, "node").mapInPandas(_candidate_edges, "a long, b long")
+    loose = connected(edges).join(nodes, "node")
 
-    sizes = loose.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    wanted = loose.join(sizes, "root").join(nodes.select("node", "first", "size"), "node")
+    sizes = loose.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum("bytes").alias("held"))
+    wanted = joined(loose.select("node", "root", "first", "size", "k1", "k2"), sizes, ["root"], "members", spread=F.col("node"))
     texts = keyed.join(wanted.withColumnRenamed("first", "key"), "key")
 
     def proved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:  # a repeated key may bring another text
         for batch in batches:
-            yield batch[[_keys(shingles(t), t)[0] == n for t, n in zip(batch["text"], batch["node"], strict=True)]]
+            yield batch[[_keys(shingles(t), t) == k for t, k in zip(batch["text"], zip(batch["k1"], batch["k2"], strict=True), strict=True)]]
 
-    repeated = signed_docs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
-    texts = texts.select("root", "members", "node", "size", "text")
-    if repeated:
+    if signed_docs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count():
         texts = texts.mapInPandas(proved, texts.schema).dropDuplicates(["node"])
-    checked = cut(_dealt(texts, "root", "members", "node").mapInPandas(_verified(least), "node long, links long, hook long"))
+    texts = texts.select("root", "members", "held", "node", "size", "text")
+    chunks = F.greatest(F.col("members") / CHUNK, F.col("held") / BYTES)
+    checked = cut(_dealt(texts, "root", chunks, "node").drop("members", "held").mapInPandas(_verified(least), "node long, links long, hook long"))
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     classes = connected(checked.select(F.col("hook").alias("a"), F.col("node").alias("b")))
-    roots = classes.join(nodes, "node").groupBy("root").agg(F.min("first").alias("class_id"))
-    about = nodes.join(links, "node", "left").join(classes, "node", "left").join(roots, "root", "left")
-    about = about.select("node", "node2", "first", "size", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("class_id", "first").alias("class_id"))
-    out = signed_docs.select("node", "node2", "key").join(about, ["node", "node2"])
+    roots = classes.join(nodes, "node").groupBy("root").agg(F.min("first").alias("class_id"), F.count(F.lit(1)).alias("_n"))
+    named = joined(classes, roots, ["root"], "_n", spread=F.col("node")).select("node", "class_id")
+    about = nodes.join(links, "node", "left").join(named, "node", "left")
+    about = about.select("k1", "k2", "first", "size", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("class_id", "first").alias("class_id"))
+    out = joined(signed_docs.select("k1", "k2", "key"), about, ["k1", "k2"], "size", spread=F.col("key"))
     out = out.select(F.col("key").alias(key), F.col("first").alias("copy_id"), "class_id", (F.col("size") - 1 + F.col("links")).alias("n_links"))
     lost = docs.filter(F.col("key").isNull()).select(F.col("key").alias(key), F.lit(None).cast("long").alias("copy_id"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return out.unionByName(lost)

@@ -10,17 +10,21 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from . import ann, bpe, fingerprints, html_text, language, mixing, near_join, quality, secret_scan, shards
-from .common import cut, held_out, table
+from .common import held_out, table
 from .oracles import ORACLES
 
+#: Target weights of languages; whatever else occurs gets a fiftieth together.
+LANGUAGES = {"en": 0.48, "de": 0.17, "es": 0.15, "fr": 0.18, mixing.OTHERS: 0.02}
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
 def op1_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors of every text and of its edited text, and their likeness to each other and to the next text's."""
     return fingerprints.chained(table(spark, sf_dir, "documents"))
 
 
 def op2_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from the labels outside the held-out fold."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     voter = quality.learn(docs, table(spark, sf_dir, "labels"))
     scored = quality.score(docs.withColumn("held_out", held_out()), voter)
@@ -28,6 +32,7 @@ def op2_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in all documents: what the three patterns find, and random strings besides."""
     found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
@@ -39,6 +44,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 contiguous shards of near-equal bytes."""
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = table(spark, sf_dir, "documents").withColumn("text_crc32", F.crc32(text))
     dealt = shards.byte_shards(docs, 40, F.octet_length(text) + 16, payload=("text_crc32",))
@@ -46,30 +52,35 @@ def op4_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near copies among all documents, with each one's number of links."""
     return near_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned outside the held-out fold."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     network = language.learn(docs)
     return language.identify(docs.select("doc_id", held_out().alias("held_out"), "text"), network).drop("text")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the tokens, languages by stated weights, sources and topics by flattened shares."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    told = mixing.tell_topics(docs, mixing.learn_topics(docs)).withColumn("tokens", mixing.tokens("text"))
-    return mixing.mix(docs, cut(told.drop("text")))
+    return mixing.mix(docs, keep=0.5, targets={"lang": LANGUAGES}, keep_text=False)
 
 
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
     return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors to every fiftieth one, among all."""
     return ann.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, and the text that they decode to, as digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode(docs, RANKS, PATTERN, decoded="decoded", keep_text=False).select(
         "doc_id",

@@ -113,7 +113,7 @@ def test_windows_hold_whole_texts():
     assert bytes(data[3]).rstrip(b"\0") == b"bb" and bytes(data[4]).rstrip(b"\0") == b"c"
 
 
-def raked(t, goals, rounds):
+def raked(t, goals, rounds=200):
     x = t / t.sum()
     for _ in range(rounds):
         for axis, goal in enumerate(goals):
@@ -123,29 +123,63 @@ def raked(t, goals, rounds):
     return x
 
 
+def cell_table(spark, t):
+    rows = [(f"s{i}", f"l{j}", f"{k}", int(t[i, j, k])) for i in range(t.shape[0]) for j in range(t.shape[1]) for k in range(t.shape[2])]
+    return spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+
+
 def test_raking_equals_numpy_and_meets_margins(spark):
-    rng = np.random.default_rng(5)
-    t = rng.integers(1, 1000, (4, 3, 2)).astype(float)
+    t = np.random.default_rng(5).integers(200, 1000, (4, 3, 2)).astype(float)
     t[3, 2] = 0
-    rows = [(f"s{i}", f"l{j}", f"{k}", int(t[i, j, k])) for i in range(4) for j in range(3) for k in range(2)]
-    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
-    fitted = mixing.rake(cells, {"lang": {"l0": 2, "l1": 1, "l2": 1}})
-    goals = []
+    fitted, residual = mixing.rake(cell_table(spark, t), 0.3, {"lang": {"l0": 2, mixing.OTHERS: 2}})
+    want = []
     for axis in range(3):
         g = t.sum(axis=tuple(i for i in range(3) if i != axis)) ** mixing.TEMPER
-        goals.append(g / g.sum())
-    goals[1] = np.array([0.5, 0.25, 0.25])
-    want = raked(t, goals, mixing.ROUNDS)
-    got = {(r["source"], r["lang"], r["topic"]): r["share"] for r in fitted.collect()}
+        want.append(g / g.sum())
+    rest = t.sum(axis=(0, 2))[1:]
+    want[1] = np.array([0.5, *(0.5 * rest / rest.sum())])
+    want = raked(t, want) * 0.3 * t.sum()
+    got = {(r["source"], r["lang"], r["topic"]): r["taken"] for r in fitted.collect()}
+    assert residual < mixing.CLOSE
     for (i, j, k), v in np.ndenumerate(want):
-        assert abs(got.get((f"s{i}", f"l{j}", f"{k}"), 0) - v) < 1e-9
-    langs = {r["lang"]: r["x"] for r in fitted.groupBy("lang").agg(F.sum("share").alias("x")).collect()}
-    assert abs(langs["l0"] - 0.5) < 0.01
+        assert abs(got.get((f"s{i}", f"l{j}", f"{k}"), 0) - v) < 1e-3 * t.sum()
+
+
+def test_no_cell_gives_more_than_it_has(spark):
+    t = np.random.default_rng(6).integers(1, 1000, (5, 3, 2)).astype(float)
+    t[0] *= 40  # a hot source
+    fitted, residual = mixing.rake(cell_table(spark, t), 0.8)
+    rows = fitted.collect()
+    assert all(r["taken"] <= r["tokens"] for r in rows) and abs(sum(r["taken"] for r in rows) - 0.8 * t.sum()) < 0.01 * t.sum()
+    assert residual < 0.01
+    _, residual = mixing.rake(cell_table(spark, t), 0.8, {"lang": {"l0": 1}})  # there is not so much of it
+    assert 0.4 < residual < 0.8
+
+
+def test_the_sample_meets_its_targets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "source", "lang")
+    got = mixing.mix(docs, keep=0.5, targets={"lang": queries.LANGUAGES}, keep_text=False).toPandas()
+    assert len(got) == docs.count() and got["p"].between(0, 1).all() and got["residual"].iloc[0] < 0.005
+    whole, kept = got["tokens"].sum(), got[got["kept"]]
+    assert abs(kept["tokens"].sum() / whole - 0.5) < 0.02
+    langs = kept.groupby("lang")["tokens"].sum() / kept["tokens"].sum()
+    named = sum(v for k, v in queries.LANGUAGES.items() if k != mixing.OTHERS)
+    assert all(abs(langs[k] - v / named) < 0.01 for k, v in queries.LANGUAGES.items() if k != mixing.OTHERS)
+    for m in ("source", "topic"):
+        share = got.groupby(m)["tokens"].sum() / whole
+        scale, goal = 0.0, None
+        for _ in range(50):
+            over = share < scale * share**mixing.TEMPER
+            scale = (0.5 - share[over].sum()) / (share[~over] ** mixing.TEMPER).sum()
+            goal = np.minimum(share, scale * share**mixing.TEMPER) / 0.5
+        now = kept.groupby(m)["tokens"].sum() / kept["tokens"].sum()
+        assert (now.reindex(goal.index).fillna(0) - goal).abs().max() < 0.01, m
 
 
 def test_the_mixture_is_drawn_by_its_chances(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("topic", F.lit("clash"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("topic", F.lit("clash")).withColumn("_lang", F.lit("clash")).withColumn("_draw", F.lit(2.0))
     got = mixing.mix(docs).toPandas()
+    assert {"_lang", "_draw", "text"} <= set(got.columns) and set(got["_lang"]) == {"clash"}
     assert len(got) == docs.count() and got["p"].between(0, 1).all()
     expected, kept = (got["p"] * got["tokens"]).sum(), got.loc[got["kept"], "tokens"].sum()
     assert abs(expected / (mixing.KEEP * got["tokens"].sum()) - 1) < 0.05 and abs(kept / expected - 1) < 0.1
@@ -158,6 +192,8 @@ def test_mixing_odd_rows(spark):
     assert mixing.mix(spark.createDataFrame([], schema)).count() == 0
     got = mixing.mix(spark.createDataFrame([(i, t, None, None) for i, t in enumerate(ODD)] + [(None, "a b", "s", "l")], schema)).collect()
     assert len(got) == 7 and {r["kept"] for r in got if not (r["text"] or "").split()} == {False}
+    unkeyed = spark.createDataFrame([(None, f"word {i}", "s", "l") for i in range(200)], schema)
+    assert 100 < mixing.mix(unkeyed).filter("kept").count() < 190  # each has a draw of its own
 
 
 def test_neighbours_have_exact_scores_and_recall(spark):

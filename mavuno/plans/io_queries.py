@@ -100,9 +100,9 @@ def io_export_worklist_csv(spark, sf_dir):
     return spark.read.options(**P.STYLE).schema("id string, title string, contentEn string, contentSw string, needs_translation string").csv(folder).select("id", "needs_translation", "contentSw")
 
 
-@query("SELECT vec_id AS id, 'table' AS model, CAST(len(embedding) AS INT) AS vector_dim, round(CAST(list_sum(embedding) AS DOUBLE), 3) AS total FROM embeddings")
+@query("SELECT vec_id AS id, 'table' AS model, CAST(len(embedding) AS INT) AS vector_dim, round(CAST(list_sum(embedding) AS DOUBLE), 3) + 0.0 AS total FROM embeddings")
 def io_write_vectors(spark, sf_dir):
     folder = _scratch(spark)
     P.write_vectors(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), folder, "table")
     total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
-    return spark.read.parquet(folder).select("id", "model", "vector_dim", F.round(total, 3).alias("total"))
+    return spark.read.parquet(folder).select("id", "model", "vector_dim", (F.round(total, 3) + F.lit(0.0)).alias("total"))

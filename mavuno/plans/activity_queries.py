@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import activity as A
 from ..operators import browse as B
+from ..operators.ordered import shared_folder
 from ..streaming import activity as S
 from .inputs import ACTIVITY, ITEMS, activity, items, table
 from .registry import ORACLES, query
@@ -165,8 +165,8 @@ def ac_event_count(spark, sf_dir):
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder; a temporary one where none is set."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-stream-')}/stream-{uuid.uuid4().hex}"
+    """A new folder in the folder that driver and executors share."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query(ORACLES["ac_windows"].split("UNION ALL")[0].replace("'tumbling' AS kind, ", ""))
@@ -189,6 +189,6 @@ def ac_windows_stream(spark, sf_dir):
 def ac_progress_stream(spark, sf_dir):
     rows = updates(spark, sf_dir).select("user_id", "article_id", "ts", "event_id", "percent")
     folder = _scratch(spark)
-    rows.write.parquet(f"{folder}/in")
-    S.upsert_progress(S.read_events(spark, f"{folder}/in", rows.schema, 1000), f"{folder}/out", f"{folder}/state").awaitTermination()
+    rows.repartition(12).write.parquet(f"{folder}/in")  # several files, in no order of time, so that several batches come
+    S.upsert_progress(S.read_events(spark, f"{folder}/in", rows.schema, 4), f"{folder}/out", f"{folder}/state").awaitTermination()
     return S.merged_progress(spark, f"{folder}/out")

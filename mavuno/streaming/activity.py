@@ -52,12 +52,14 @@ def throttled(positions: DataFrame, step: float = 0.05, millis: int = 1500, late
 
 
 def upsert_progress(updates: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep per user and article the last update in a parquet table at path/batch=N, a folder a micro-batch: the latest N
-    counts for each key. A batch that is run again after a failure overwrites its own folder, so nothing counts twice."""
+    """Keep per user and article the last update in a parquet table at path/batch=N, a folder a micro-batch: each
+    row has the last percent of its batch and when it was told, which need not be when the last update came. A batch that
+    is run again after a failure overwrites its own folder, so nothing counts twice."""
 
     def write(batch: DataFrame, number: int) -> None:
         at = F.struct("ts", "event_id")
-        last = batch.groupBy("user_id", "article_id").agg(F.max_by("percent", F.when(F.col("percent").isNotNull(), at)).alias("percent"), F.max("ts").alias("updated_at"))
+        told = F.when(F.col("percent").isNotNull(), at)
+        last = batch.groupBy("user_id", "article_id").agg(F.max_by("percent", told).alias("percent"), F.max(told).alias("percent_at"), F.max("ts").alias("updated_at"))
         last.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return updates.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -66,4 +68,4 @@ def upsert_progress(updates: DataFrame, path: str, checkpoint: str) -> Streaming
 def merged_progress(spark: SparkSession, path: str) -> DataFrame:
     """The table that upsert_progress keeps, as of now."""
     rows = spark.read.parquet(path)
-    return rows.groupBy("user_id", "article_id").agg(F.max_by("percent", F.when(F.col("percent").isNotNull(), F.struct("updated_at", "batch"))).alias("percent"), F.max("updated_at").alias("updated_at"))
+    return rows.groupBy("user_id", "article_id").agg(F.max_by("percent", "percent_at").alias("percent"), F.max("updated_at").alias("updated_at"))

@@ -72,22 +72,25 @@ def pieces(text: str, most: int = MOST_CHARS) -> list[str]:
     return [*out, text]
 
 
-def translate(df: DataFrame, text: str, translator: Translator, into: str = "translated", clamp: bool = False) -> DataFrame:
-    """Add translations, batch by batch; a batch that fails keeps its source. Texts beyond the model's length are translated
+def translate(df: DataFrame, text: str, translator: Translator, into: str = "translated", clamp: bool = False, failed: str | None = None) -> DataFrame:
+    """Add translations, batch by batch; a batch that fails keeps its source, which `failed`, a column of that name, tells. Texts beyond the model's length are translated
     in pieces and joined; with `clamp` only their first MOST_CHARS characters are, as the reference does with lines."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             parts = [[(x or "")[:MOST_CHARS]] if clamp else pieces(x or "") for x in batch[text]]
             source = [p.rstrip() if i + 1 < len(ps) else p for ps in parts for i, p in enumerate(ps)]
+            lost = False
             try:
                 out = translator(source)
             except Exception:  # a plug-in may raise anything; the source text stands in
-                out = source
+                out, lost = source, True
             done = iter([t or s for s, t in zip(source, out, strict=True)])
-            yield batch.assign(**{into: ["".join(next(done) + (p[len(p.rstrip()) :] if i + 1 < len(ps) else "") for i, p in enumerate(ps)) for ps in parts]})
+            told = {failed: lost} if failed else {}
+            yield batch.assign(**told, **{into: ["".join(next(done) + (p[len(p.rstrip()) :] if i + 1 < len(ps) else "") for i, p in enumerate(ps)) for ps in parts]})
 
-    return df.mapInPandas(work, df.withColumn(into, F.lit("")).schema)
+    shape = df.withColumn(failed, F.lit(False)) if failed else df
+    return df.mapInPandas(work, shape.withColumn(into, F.lit("")).schema)
 
 
 def line_memory(texts: DataFrame, key: str, text: str, translator: Translator) -> DataFrame:

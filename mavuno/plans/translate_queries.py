@@ -56,11 +56,11 @@ def tr_segment_sentences(spark, sf_dir):
 
 
 @query(
-    r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(substring(text, 1, 6000), '\s+'), lambda x: x <> '') AS ws FROM documents), k AS (SELECT doc_id, ws, unnest(range(0, CAST(floor((len(ws) - 1) / 480.0) + 1 AS BIGINT))) AS place FROM w WHERE len(ws) > 0)
+    r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws FROM documents), k AS (SELECT doc_id, ws, unnest(range(0, CAST(floor((len(ws) - 1) / 480.0) + 1 AS BIGINT))) AS place FROM w WHERE len(ws) > 0)
  SELECT doc_id, CAST(place AS INT) AS place, array_to_string(ws[place * 480 + 1:place * 480 + 480], ' ') AS segment FROM k"""
 )
 def tr_segment_windows(spark, sf_dir):
-    return R.word_windows(documents(spark, sf_dir), "doc_id", "text", most_chars=6000)
+    return R.word_windows(documents(spark, sf_dir), "doc_id", "text")
 
 
 _STRUCT = r"^\s*([#>\-*\d.)]+)\s*$"
@@ -71,9 +71,9 @@ def tr_line_memory(spark, sf_dir):
     return R.line_memory(documents(spark, sf_dir), "doc_id", "text", shout)
 
 
-@query("SELECT doc_id, replace(upper(substring(text, 1, 4500)), 'ẞ', 'SS') AS translated FROM documents")
+@query("SELECT doc_id, replace(upper(text), 'ẞ', 'SS') AS translated FROM documents")
 def tr_translate(spark, sf_dir):
-    return R.translate(documents(spark, sf_dir).select("doc_id", "text"), "text", shout, clamp=True).select("doc_id", "translated")
+    return R.translate(documents(spark, sf_dir).select("doc_id", "text"), "text", shout).select("doc_id", "translated")
 
 
 @query("SELECT doc_id, text AS restored FROM documents")

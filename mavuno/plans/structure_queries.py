@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import structure as S
+from ..operators.ordered import numbered
 from .inputs import BOOK, BOOK_PAGES, ITEMS, book_lines, book_pages, documents, items
 from .registry import ORACLES, query
 from .text_queries import _BLOCK, SQUASH, STRIP
@@ -14,9 +15,11 @@ _N = lambda x: f"length(regexp_replace({x}, '[^A-Za-z]', '', 'g'))"  # noqa: E73
 INITCAP = lambda x: f"array_to_string(list_transform(string_split(lower({x}), ' '), lambda w: upper(substring(w, 1, 1)) || substring(w, 2)), ' ')"
 
 
-@query(f"WITH {BOOK_PAGES} SELECT source, page_no, length(text) AS n FROM book_pages WHERE page_no BETWEEN 100 AND 400")
+@query(f"WITH {BOOK_PAGES}, n AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY page_no) AS page_no, text FROM book_pages) SELECT source, page_no, length(text) AS n FROM n WHERE page_no BETWEEN 10 AND 40")
 def st_page_range(spark, sf_dir):
-    return S.page_range(book_pages(spark, sf_dir), 100, 400).select("source", "page_no", F.length("text").cast("long").alias("n"))
+    """Pages 10 to 40 of every book, counted from its first page."""
+    pages = book_pages(spark, sf_dir).select("source", F.col("page_no").alias("_page"), F.length("text").cast("long").alias("n"))
+    return S.page_range(numbered(pages, ["source"], ["_page"], "page_no"), 10, 40).select("source", "page_no", "n")
 
 
 _TOP = f"list_filter(list_transform(regexp_split_to_array(text, '\\r\\n|[\\n\\r]'), lambda x: {SQUASH('x')}), lambda x: x <> '')[1:5]"

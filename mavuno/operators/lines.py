@@ -21,7 +21,19 @@ def sections(lines: Column, is_head: Mark, head: Mark | None = None) -> Column:
     give the text after the head on its own line by returning `head STX rest`; by default the whole line is the head.
     """
     put = head or (lambda x: F.concat(x, F.lit(_BODY)))
-    marked = F.transform(lines, lambda x: F.when(is_head(x), F.concat(F.lit(_HEAD), put(x))).otherwise(x))
+    return _cut(F.transform(lines, lambda x: F.when(is_head(x), F.concat(F.lit(_HEAD), put(x))).otherwise(x)))
+
+
+def labelled(lines: Column, key: Mark, rest: Mark) -> Column:
+    """As `sections`, where `key` names the block that a line starts, null for other lines, and is computed once a line."""
+
+    def mark(x: Column) -> Column:
+        return F.element_at(F.transform(F.array(key(x)), lambda k: F.when(k.isNotNull(), F.concat(F.lit(_HEAD), label_then_text(k, rest(x)))).otherwise(x)), 1)
+
+    return _cut(F.transform(lines, mark))
+
+
+def _cut(marked: Column) -> Column:
     parts = F.split(F.array_join(marked, "\n"), _HEAD)
     return F.transform(
         parts,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .lines import blocks, joined, label_then_text, sections
+from .lines import blocks, joined, label_then_text, labelled, sections
 from .ordered import carried
 
 # Labels of sub-sections, their merged names, line patterns, bilingual section headings, and keyword rules in order.
@@ -201,7 +201,15 @@ def split_children(items: DataFrame, content: str = "content_en") -> DataFrame:
     return children.unionByName(parents)
 
 
+_ANY_HEADING = rf"(?mui)^(?:{T.SPACE})*" + r"(?:\d+[\).\s-]+|[-–—•]\s*)?(?:" + "|".join(w for words in HEADINGS.values() for w in words) + r")\s*(?:[:\-–—].*)?" + rf"(?:{T.SPACE})*$"
+
+
 def _heading_key(line: Column) -> Column:
+    """The section that a line is a heading of, or null. One pattern over all words comes first, as few lines are headings."""
+    return F.when(line.rlike(_ANY_HEADING), _named_heading(line))
+
+
+def _named_heading(line: Column) -> Column:
     bare = F.regexp_replace(F.lower(T.strip(line)), r"^(?:\d+[\).\s-]+|[-–—•]\s*)", "")
     out = None
     for key, words in HEADINGS.items():
@@ -215,8 +223,10 @@ def find_blocks(text: Column | str) -> Column:
     belongs to its block."""
     t = F.replace(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), F.lit("\r\n"), F.lit("\n"))
     rest = lambda x: F.regexp_extract(T.strip(x), r"[:\-–—]\s*(.+)$", 1)
-    found = sections(F.split(t, "\n"), lambda x: _heading_key(x).isNotNull(), lambda x: label_then_text(_heading_key(x), rest(x)))
-    return merged_sections(F.transform(found, lambda x: F.struct(F.coalesce(x["head"], F.lit("overview")).alias("head"), x["body"].alias("body"))))
+    found = labelled(F.split(t, "\n"), _heading_key, rest)
+    many = merged_sections(F.transform(found, lambda x: F.struct(F.coalesce(x["head"], F.lit("overview")).alias("head"), x["body"].alias("body"))))
+    plain = T.let(T.strip(t), lambda x: F.when(x == "", F.create_map().cast("map<string,string>")).otherwise(F.create_map(F.lit("overview"), x)))
+    return F.when(t.rlike(_ANY_HEADING), many).otherwise(plain)  # a text without any heading is not cut into lines
 
 
 def rebuild_sections(text: Column | str) -> Column:

@@ -54,9 +54,11 @@ def fast_search(items: DataFrame, queries: DataFrame, synonyms: DataFrame, lang:
     body = F.lower(F.coalesce(T.language_body(F.lit(lang)), F.lit("")))
     texts = items.select("id", "title", F.lower("title").alias("_title"), body.alias("_body"))
     bundle = terms.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "original"))).alias("_terms"))  # a query's own few terms
-    rows = found.join(bundle, "query_id").join(texts, "id")
+    asked = found.join(bundle, "query_id").groupBy("id").agg(F.collect_list(F.struct("query_id", "_terms")).alias("_asked"))  # of the stated queries; each body travels once
+    rows = asked.join(texts, "id")
     part = lambda t: F.when(F.contains("_title", t["term"]), F.when(t["original"], 3.0).otherwise(2.0)).otherwise(0.0) + F.when(F.contains("_body", t["term"]), F.when(t["original"], 1.0).otherwise(0.5)).otherwise(0.0)
-    scored = rows.select("query_id", "id", "title", F.aggregate("_terms", F.lit(0.0), lambda a, t: a + part(t)).alias("score")).filter("score > 0")
+    told = F.transform("_asked", lambda q: F.struct(q["query_id"].alias("query_id"), F.aggregate(q["_terms"], F.lit(0.0), lambda a, t: a + part(t)).alias("score")))
+    scored = rows.select("id", "title", F.explode(told).alias("_one")).select("_one.query_id", "id", "title", "_one.score").filter("score > 0")
     return rank(scored, ["query_id"], [F.desc("score"), F.col("title"), F.col("id")], k).select("query_id", "rank", "id", "score")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import activity as A
 from ..operators import vectors as V
 from .inputs import ITEMS, documents, items, table
 from .registry import query
@@ -136,29 +137,31 @@ def em_hybrid_full(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_NAMED}, r AS ({_TOP(_DOTS, 5)}), k AS (SELECT r.query_id, r.rank, n.id, n.title FROM r JOIN named n ON n.doc_id = r.id WHERE r.query_id % 200 = 0),
- w AS (SELECT vec_id AS query_id, CAST(1 AS INT) AS rank, 'herb-0' AS id FROM embeddings WHERE vec_id % 100 = 0)
+    f"""WITH {_NAMED}, r AS ({_TOP(_DOTS, 5)}), k AS (SELECT r.query_id, r.rank, n.id, n.title FROM r JOIN named n ON n.doc_id = r.id),
+ w AS (SELECT vec_id AS query_id, CAST(1 AS INT) AS rank, 'herb-0' AS id FROM embeddings WHERE vec_id % 50 = 0)
  SELECT * FROM k UNION ALL SELECT w.query_id, w.rank, w.id, i.title FROM w JOIN items i ON i.id = w.id WHERE w.query_id NOT IN (SELECT query_id FROM k)"""
 )
 def em_materialize(spark, sf_dir):
     named = _named(spark, sf_dir)
-    ranked = V.top_k(index(spark, sf_dir), questions(spark, sf_dir), 5).filter(F.col("query_id") % 200 == 0).withColumnRenamed("id", "doc_id")
+    ranked = V.top_k(index(spark, sf_dir), questions(spark, sf_dir), 5).withColumnRenamed("id", "doc_id")
     ranked = ranked.join(named.select("doc_id", "id"), "doc_id").select("query_id", "rank", "id")
-    fallback = questions(spark, sf_dir).select("query_id", F.lit(1).alias("rank"), F.lit("herb-0").alias("id"))
+    fallback = index(spark, sf_dir).filter(F.col("id") % 50 == 0).select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.lit("herb-0").alias("id"))
     return V.materialize(ranked, items(spark, sf_dir), fallback)
 
 
 @query(
-    f"""WITH p AS (SELECT user_id, value, event_id % (SELECT count(*) FROM embeddings) AS vec_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events),
- q AS (SELECT p.user_id, e.embedding FROM p JOIN embeddings e USING (vec_id) WHERE r = 1), s AS (SELECT q.user_id, e.vec_id AS id, round({_DOT} / ({_QN} * {_EN} + 1e-9), 12) AS score FROM q, embeddings e),
+    f"""WITH p AS (SELECT user_id, event_id % (SELECT count(*) FROM embeddings) AS vec_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1 AS back, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+ u AS (SELECT user_id, pow(0.85, back) * CASE WHEN back = n - 1 THEN 1 ELSE 0.15 END AS w, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM p JOIN embeddings USING (vec_id)),
+ q AS (SELECT user_id, list(value ORDER BY dim) AS embedding FROM (SELECT user_id, dim, sum(w * x) AS value FROM u GROUP BY ALL) GROUP BY user_id), s AS (SELECT q.user_id, e.vec_id AS id, round({_DOT} / ({_QN} * {_EN} + 1e-9), 12) AS score FROM q, embeddings e),
  k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, id) AS rank FROM s) SELECT user_id, CAST(rank AS INT) AS rank, id, round(score, 6) AS score FROM k WHERE rank <= 8"""
 )
 def em_for_you(spark, sf_dir):
-    """The profile of a user is here the vector of what they read last."""
+    """What is nearest to the moving average of what a user has read."""
     idx = index(spark, sf_dir)
     n = idx.count()
-    last = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
-    profiles = last.select("user_id", (F.col("event_id") % n).alias("id")).join(idx, "id").select("user_id", "embedding")
+    reads = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % n).alias("id"), "ts", "event_id")
+    values = F.array_sort(F.collect_list(F.struct("dim", "value")))
+    profiles = A.profiles(reads, idx).groupBy("user_id").agg(F.transform(values, lambda x: x["value"]).alias("embedding"))
     return V.top_k(idx, profiles, 8, "cosine", query_key="user_id").withColumn("score", F.round("score", 6))
 
 

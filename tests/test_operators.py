@@ -165,3 +165,23 @@ def test_packs_stay_bounded_in_a_larger_table(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     sizes = [r["count"] for r in io_queries.P.read_packs(spark, io_queries._pack_folder(spark, str(tmp_path))).groupBy("source_file").count().collect()]
     assert sum(sizes) == 120_000 and max(sizes) <= 1000
+
+
+def test_progress_keeps_the_last_percent_told_over_several_batches(spark, tmp_path):
+    t = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
+    batches = [[(1, "a", t(5), 1, 0.5), (1, "a", t(10), 2, None)], [(1, "a", t(7), 3, 0.7), (2, "b", t(1), 4, None)], [(1, "a", t(6), 5, 0.9)]]
+    schema = "user_id long, article_id string, ts timestamp, event_id long, percent double"
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        S.upsert_progress(S.read_events(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema, 1), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    got = {r["user_id"]: (r["percent"], r["updated_at"]) for r in S.merged_progress(spark, f"{tmp_path}/out").collect()}
+    assert got == {1: (0.7, t(10)), 2: (None, t(1))}
+
+
+def test_failed_translations_are_told(spark):
+    def fails(texts):
+        raise RuntimeError("no model")
+
+    row = R.translate(spark.createDataFrame([("x",)], "text string"), "text", fails, failed="lost").first()
+    assert (row["translated"], row["lost"]) == ("x", True)
+    assert R.translate(spark.createDataFrame([("x",)], "text string"), "text", lambda xs: xs, failed="lost").first()["lost"] is False

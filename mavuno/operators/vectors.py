@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .search import rank
 
-QUERY_BLOCK, INDEX_BLOCK = 1024, 16_384  # queries and index rows that a task holds at a time
+QUERY_BLOCK, INDEX_BLOCK = 2048, 4096  # queries and index rows that a task compares at a time
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -83,32 +83,48 @@ def mean_pool(tokens: DataFrame, key: str, vector: str, mask: str) -> DataFrame:
 def top_k(index: DataFrame, queries: DataFrame, k: int, metric: str = "dot", key: str = "id", query_key: str = "query_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): the exact k best of the whole index for every query.
 
-    Queries are dealt into blocks of about QUERY_BLOCK, the index into parts of about INDEX_BLOCK; each part meets each block once. A task keeps
-    k rows for each query of its block, so only those are ranked over all parts. Ties go to the smaller id.
+    The index stays where it lies: each block of about QUERY_BLOCK queries, whose size is known, is broadcast and compared
+    with every part of it, and a task keeps the k best of each query, so only those are shuffled. Ties go to the smaller
+    id. Blocks follow each other as branches of one plan; their number grows with the queries, not with the index.
     """
-    n = queries.count()
-    n_blocks = max(1, -(-n // QUERY_BLOCK))
-    parts = max(1, -(-index.count() // INDEX_BLOCK))
-    id_type = dict(index.dtypes)[key]
-    q_type = dict(queries.dtypes)[query_key]
-    rows = index.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part"))
-    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    asks = queries.select(F.col(query_key).alias("q"), F.col(vector).alias("v"), F.pmod(F.xxhash64(query_key), F.lit(n_blocks)).cast("int").alias("block"))
-    asks = asks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"q": [], "id": [], "score": []})
-        left = left.sort_values("id", ignore_index=True)
-        x, y = np.stack(list(left["v"])).astype(np.float64), np.stack(list(right["v"])).astype(np.float64)
-        scores = y @ x.T
-        if metric == "cosine":
-            scores /= np.linalg.norm(y, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :] + 1e-9
-        scores = scores.round(12)  # equal vectors tie whatever their place in a block
-        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"q": np.repeat(right["q"].to_numpy(), best.shape[1]), "id": left["id"].to_numpy()[best.ravel()], "score": np.take_along_axis(scores, best, axis=1).ravel()})
-
-    found = rows.groupBy("part", "block").cogroup(asks.groupBy("part", "block")).applyInPandas(meet, f"q {q_type}, id {id_type}, score double")
+    spark = index.sparkSession
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    id_type, q_type = dict(index.dtypes)[key], dict(queries.dtypes)[query_key]
+    asks = queries.select(F.col(query_key).alias("q"), F.col(vector).alias("v"))
+
+    def searched(block: list) -> DataFrame:
+        sent = spark.sparkContext.broadcast(([r["q"] for r in block], np.array([r["v"] for r in block], np.float64)))
+
+        def best(found: list[pd.DataFrame]) -> pd.DataFrame:
+            return pd.concat(found, ignore_index=True).sort_values(["q", "score", "id"], ascending=[True, False, True]).groupby("q", sort=False).head(k)
+
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names, y = sent.value
+            lengths = np.linalg.norm(y, axis=1)[:, None]
+            kept: list[pd.DataFrame] = []
+            for batch in batches:
+                for i in range(0, len(batch), INDEX_BLOCK):
+                    part = batch.iloc[i : i + INDEX_BLOCK].sort_values("id", ignore_index=True)
+                    x = np.stack(list(part["v"])).astype(np.float64)
+                    scores = y @ x.T
+                    if metric == "cosine":
+                        scores /= lengths * np.linalg.norm(x, axis=1)[None, :] + 1e-9
+                    scores = scores.round(12)  # equal vectors tie whatever their place
+                    near = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                    kept.append(pd.DataFrame({"q": np.repeat(np.array(names), near.shape[1]), "id": part["id"].to_numpy()[near.ravel()], "score": np.take_along_axis(scores, near, axis=1).ravel()}))
+                if len(kept) >= 8:
+                    kept = [best(kept)]
+            if kept:
+                yield best(kept)
+
+        return index.select(F.col(key).alias("id"), F.col(vector).alias("v")).mapInPandas(work, f"q {q_type}, id {id_type}, score double")
+
+    found = None
+    for i in range(blocks):
+        block = asks.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i).collect()
+        if block or found is None and i == blocks - 1:
+            part = searched(block) if block else spark.createDataFrame([], f"q {q_type}, id {id_type}, score double")
+            found = part if found is None else found.unionByName(part)
     return rank(found, ["q"], [F.desc("score"), F.col("id")], k).select(F.col("q").alias(query_key), "rank", F.col("id").alias(key), "score")
 
 

@@ -178,6 +178,7 @@ def rake(cells: DataFrame, keep: float = KEEP, targets: dict[str, dict[str, floa
     whole = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     fitted = cells.withColumn("taken", F.lit(keep) * F.col("tokens"))
     wanted = {m: cut(goals(cells, m, (targets or {}).get(m), keep, temper)) for m in MARGINS}
+    every = reduce(DataFrame.unionByName, [wanted[m].select(F.lit(m).alias("_margin"), F.col(m).alias("_category"), "_goal") for m in MARGINS])
     few = {m: wanted[m].count() <= MOST_BROADCAST for m in MARGINS}
     if not whole:
         return fitted, 0.0
@@ -192,17 +193,17 @@ def rake(cells: DataFrame, keep: float = KEEP, targets: dict[str, dict[str, floa
             ratio = F.when(F.col("_goal") < F.col("_full") + F.col("_free"), F.col("_goal") / (F.col("_full") + F.col("_free"))).otherwise(up)
             fitted = fitted.select(*MARGINS, "tokens", F.least(F.col("tokens").cast("double"), F.col("taken") * ratio).alias("taken"))
         fitted = cut(fitted)
-        left = reduce(DataFrame.unionByName, [gaps(fitted, wanted[m], m).select(F.abs(F.col("_now") - F.col("_goal")).alias("gap")) for m in MARGINS])
-        residual = (left.agg(F.max("gap")).first()[0] or 0.0) / (keep * whole)
+        residual = (gaps(fitted, every).agg(F.max(F.abs(F.col("_now") - F.col("_goal")))).first()[0] or 0.0) / (keep * whole)
         if residual < CLOSE or last is not None and residual > 0.9 * last:
             break
         last = residual
     return fitted, residual
 
 
-def gaps(fitted: DataFrame, wanted: DataFrame, margin: str) -> DataFrame:
-    """What a margin's categories should hold (`_goal`) and do hold (`_now`)."""
-    return fitted.groupBy(margin).agg(F.sum("taken").alias("_now")).join(wanted, margin)
+def gaps(fitted: DataFrame, goals: DataFrame) -> DataFrame:
+    """What the categories (_margin, _category) should hold (`_goal`) and do hold (`_now`)."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("_margin"), F.col(m).alias("_category")) for m in MARGINS])).alias("_one")
+    return fitted.select(each, "taken").groupBy("_one._margin", "_one._category").agg(F.sum("taken").alias("_now")).join(goals, ["_margin", "_category"])
 
 
 def mix(df: DataFrame, text: str = "text", key: str = "doc_id", keep: float = KEEP, targets: dict[str, dict[str, float]] | None = None, keep_text: bool = True) -> DataFrame:

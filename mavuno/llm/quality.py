@@ -58,7 +58,11 @@ def _unit_rows(rows: np.ndarray, space: Space) -> np.ndarray:
 
 
 def score(df: DataFrame, voter: Voter, text: str = "text", into: str = "score") -> DataFrame:
-    """Add `into`, the quality of each whole text from 0 to 1, to df. A column of that name is replaced; all others stay."""
+    """Add `into`, the quality of each whole text from 0 to 1, to df.
+
+    Null and empty texts score 0, and so do all without labels; very long texts are read whole, and equal texts score alike
+    whatever batch they are in. A column named `into` is replaced, all others stay; an empty df gives none.
+    """
     arrow_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(voter)  # bounded by the labelled sample
     df = df.drop(into)

@@ -39,9 +39,19 @@ def em_passage_text(spark, sf_dir):
     )
 
 
-@query()
+_UNITS = "CASE WHEN unicode(c) > 65535 THEN [55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024] ELSE [unicode(c)] END"  # of UTF-16
+
+
+@query(
+    rf"""WITH u AS (SELECT doc_id, flatten(list_transform(regexp_extract_all(coalesce(text, ''), '(?s).'), lambda c: {_UNITS})) AS us FROM documents),
+ p AS (SELECT doc_id, unnest(us) AS code, (generate_subscripts(us, 1) - 1) % 384 AS place FROM u), s AS (SELECT doc_id, place, sum((code % 31) / 31.0::DOUBLE) AS x FROM p GROUP BY ALL),
+ a AS (SELECT u.doc_id, r.place, coalesce(s.x, 0) AS x FROM u CROSS JOIN (SELECT unnest(range(384)) AS place) r LEFT JOIN s ON s.doc_id = u.doc_id AND s.place = r.place), n AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM a GROUP BY doc_id)
+ SELECT doc_id, string_agg(CAST(round(CAST(CAST(x / (norm + 1e-9) AS FLOAT) AS DOUBLE) * 10000) AS INT), ',' ORDER BY place) AS embedding FROM a JOIN n USING (doc_id) GROUP BY doc_id"""
+)
 def em_encode(spark, sf_dir):
-    return V.encode(documents(spark, sf_dir).select("doc_id", "text"), "text").select("doc_id", F.transform("embedding", lambda x: F.round(x, 5)).alias("embedding"))
+    """Vectors of the fallback encoder, in ten thousandths."""
+    coded = V.encode(documents(spark, sf_dir).select("doc_id", "text"), "text")
+    return coded.select("doc_id", F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double") * 10000).cast("int").cast("string")), ",").alias("embedding"))
 
 
 @query("SELECT label AS text_id, round(avg(embedding[1]), 6) AS first, round(avg(embedding[64]), 6) AS last, 64 AS dims FROM embeddings WHERE vec_id % 3 > 0 GROUP BY label")

@@ -45,11 +45,11 @@ def pick_of_day(items: DataFrame, day: Column, shifts: dict[str, int] | None = N
 def quiz(items: DataFrame, seed: int = 0, choices: int = 4, pool: int = 16) -> DataFrame:
     """(id, place, choice, correct): each item with choices - 1 others, shuffled by a seeded hash. Families of fewer items than
     choices give none. Others come from the `pool` items that follow in a seeded order of the family, never from all pairs."""
-    rows = items.select(family().alias("family"), "id").withColumn("_h", F.xxhash64(F.lit(seed), "id"))
+    rows = items.select(family().alias("family"), "id").withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), "id")))
     rows = cut(numbered(rows, ["family"], ["_h", "id"], "_place", "_n").withColumn("_at", F.col("_place") - 1).filter(F.col("_n") >= choices))
     ask = rows.withColumn("_step", F.explode(F.sequence(F.lit(1), F.least(F.col("_n") - 1, F.lit(pool)).cast("int"))))
     ask = ask.select("family", "id", F.pmod(F.col("_at") + F.col("_step"), F.col("_n")).alias("_other"))
     others = ask.join(rows.select("family", F.col("_at").alias("_other"), F.col("id").alias("choice")), ["family", "_other"])
-    drawn = others.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64(F.lit(seed + 1), "id", "choice"), "choice"))).filter(F.col("_r") < choices)
+    drawn = others.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy(F.md5(F.concat_ws(":", F.lit(seed + 1), "id", "choice")), "choice"))).filter(F.col("_r") < choices)
     both = drawn.select("id", "choice", F.lit(False).alias("correct")).unionByName(rows.select("id", F.col("id").alias("choice"), F.lit(True).alias("correct")))
-    return both.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64(F.lit(seed + 2), "id", "choice"), "choice")))
+    return both.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.md5(F.concat_ws(":", F.lit(seed + 2), "id", "choice")), "choice")))

@@ -41,9 +41,15 @@ def br_pick_of_day(spark, sf_dir):
     return B.pick_of_day(items(spark, sf_dir), F.to_date(F.lit("2024-01-15")))
 
 
-@query()
+@query(
+    f"""WITH {ITEMS}, a AS (SELECT split_part(id, '-', 1) AS family, id FROM items), r AS (SELECT family, id, row_number() OVER (PARTITION BY family ORDER BY md5('0:' || id), id) - 1 AS place, count(*) OVER (PARTITION BY family) AS n FROM a),
+ s AS (SELECT family, id, (place + unnest(range(1, CAST(least(n - 1, 16) AS BIGINT) + 1))) % n AS other FROM r WHERE n >= 4), o AS (SELECT s.id, r.id AS choice FROM s JOIN r ON r.family = s.family AND r.place = s.other),
+ d AS (SELECT id, choice FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY md5('1:' || id || ':' || choice), choice) AS r FROM o) WHERE r < 4),
+ b AS (SELECT id, choice, false AS correct FROM d UNION ALL SELECT id, id, true FROM r WHERE n >= 4)
+ SELECT id, choice, correct, CAST(row_number() OVER (PARTITION BY id ORDER BY md5('2:' || id || ':' || choice), choice) AS INT) AS place FROM b"""
+)
 def br_quiz(spark, sf_dir):
-    return B.quiz(items(spark, sf_dir).filter(F.col("id").startswith("herb-")))
+    return B.quiz(items(spark, sf_dir))
 
 
 @query("SELECT event_id, user_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type IN ('view', 'click') AND user_id % 4 > 0")

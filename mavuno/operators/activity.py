@@ -74,12 +74,14 @@ def profiles(reads: DataFrame, vectors: DataFrame, keep: float = 0.85) -> DataFr
     """(user_id, dim, value): the moving average v = keep v + (1 - keep) x over a user's reads in order, the first as v = x.
 
     In closed form read i of n weighs (1 - keep) keep^(n - i), the first keep^(n - 1), so sums pre-aggregate. Reads so
-    old that they weigh less than 1e-14 are dropped before the join. reads: user_id, id, ts, event_id; vectors: id, embedding.
+    old that they weigh less than 1e-14 are dropped before the join, which moves no value by more than that times the
+    largest number in a vector; so each task sends a user's last few hundred reads at most, however many there are. reads: user_id, id, ts, event_id; vectors: id, embedding.
     """
-    back = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))) - 1
-    n = F.count(F.lit(1)).over(Window.partitionBy("user_id"))
-    most = int(np.ceil(np.log(1e-14) / np.log(keep)))
-    rows = reads.select("user_id", "id", back.alias("back"), n.alias("n")).filter(F.col("back") <= most)
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
+    most = int(np.ceil(np.log(1e-14) / np.log(keep))) + 1
+    counts = reads.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    last = reads.select("user_id", "id", "ts", "event_id").withColumn("_place", place).filter(F.col("_place") <= most)  # limited in each task before the shuffle
+    rows = last.join(counts, "user_id").select("user_id", "id", (F.col("_place") - 1).alias("back"), "n")
     weight = F.pow(F.lit(keep), F.col("back")) * F.when(F.col("back") == F.col("n") - 1, F.lit(1.0)).otherwise(F.lit(1 - keep))
     parts = rows.join(vectors.select("id", "embedding"), "id").select("user_id", weight.alias("w"), F.posexplode("embedding").alias("dim", "x"))
     return parts.groupBy("user_id", "dim").agg(F.sum(F.col("w") * F.col("x")).alias("value"))

@@ -71,7 +71,7 @@ def learn_topics(docs: DataFrame, text: str = "text", lang: str = "lang", topics
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x, some = projected(list(batch[text]))
-            yield pd.DataFrame({"x": list(x[some]), "g": np.array([groups.get(v, 0) for v in batch[lang]], int)[some]})
+            yield pd.DataFrame({"x": pd.Series(list(x[some]), dtype=object), "g": np.array([groups.get(v, 0) for v in batch[lang]], int)[some]})
 
     vectors = cut(docs.select(text, F.col(lang).cast("string").alias(lang)).mapInPandas(project, "x array<double>, g int"))
 

@@ -1,5 +1,8 @@
 """The pipeline stage by stage, each against plain Python on what the stage was given."""
 
+import tiktoken
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from mavuno.llm import bpe
 
@@ -38,7 +41,7 @@ def test_every_stage_does_its_work(spark):
     mixed = P.mix_sources(spark, clean, SF).cache()
     assert mixed.columns == COLUMNS and 0 < mixed.count() <= clean.count()
 
-    encoding, _, _ = bpe.vocabulary(P.RANKS, P.PATTERN)
+    encoding = tiktoken.Encoding("ranks", pat_str=P.PATTERN, mergeable_ranks={t: i for i, t in enumerate(bpe.vocabulary(P.RANKS, P.PATTERN).tokens) if t}, special_tokens={})
     last = rows(P.encode_bytes(spark, mixed, SF))
     for k, r in rows(mixed).items():
         assert list(last[k]["ids"]) == encoding.encode_ordinary(r["text"]) and last[k]["round_trip"]
@@ -57,6 +60,12 @@ def test_repeated_and_missing_ids(spark):
     df = spark.createDataFrame([(1, text, "en", "s", 3), (1, text, "en", "s", 3), (None, text, "en", "s", 3), (2, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted((r["doc_id"] or 0) for r in P.keep_one_of_each(spark, df, SF).collect()) == [0, 1, 2]
     assert P.redact_secrets(spark, df, SF).count() == 4
+    other = spark.createDataFrame([(1, text, "en", "s", 3), (1, "quite another text of more than five words", "en", "s", 3)], df.schema)
+    assert P.keep_one_of_each(spark, other, SF).count() == 2  # different texts under one id
+    clash = df.withColumn("base", F.lit("own")).withColumn("spans", F.lit("own")).withColumn("p", F.lit("own")).withColumn("_score", F.lit("own"))
+    for stage in (P.redact_secrets, P.mix_sources):
+        out = stage(spark, clash, SF)
+        assert out.columns == clash.columns and {r["base"] + r["spans"] + r["p"] for r in out.collect()} <= {"ownownown"}
     empty = df.limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, empty, SF).count() == 0

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .near_join import LEAST, WORDS
+from .phrases import LEAST as LEAST_PHRASE
+from .phrases import PARTS
 from .secret_scan import ALLOWED, CANDIDATE, KINDS, LEAST_LETTERS, LEAST_ONE_CASE, WINDOW
 from .secret_scan import LEAST as LEAST_ENTROPY
 
@@ -61,4 +63,16 @@ MAIN_TEXT = r"""WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''
  t AS (SELECT page_id, url, replace(replace(replace(replace(replace(regexp_replace(regexp_replace(h, '</?(?:b|i|em|strong|a|span)(?: [^>]*)?>', '', 'g'), '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS t FROM a),
  s AS (SELECT page_id, url, trim(regexp_replace(t, '[\s\p{Z}]+', ' ', 'g')) AS text FROM t) SELECT *, length(text) AS n_chars FROM s"""
 
-ORACLES = {"op8_main_text": MAIN_TEXT, "op3_secret_scan": SECRETS, "op4_byte_shards": SHARDS, "op5_near_duplicates": NEAR}
+_CUT = "(1000000::HUGEINT * a * a) // (CAST({l} AS HUGEINT) * {r})"
+PHRASES = rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+ w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+ g AS (SELECT lang, w[i:i + k - 1] AS g FROM w, unnest(range(1, len(w) + 1)) AS s(i), (VALUES (1), (2), (3)) AS t(k) WHERE i + k - 1 <= len(w)),
+ f AS MATERIALIZED (SELECT lang, g, count(*) AS a FROM g GROUP BY ALL), n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE len(g) = 1 GROUP BY lang),
+ c AS MATERIALIZED (SELECT * FROM f WHERE a >= {LEAST_PHRASE} AND len(g) > 1),
+ held AS (SELECT lang, h, max(a) AS most FROM (SELECT lang, g[1:2] AS h, a FROM c WHERE len(g) = 3 UNION ALL SELECT lang, g[2:3], a FROM c WHERE len(g) = 3) GROUP BY ALL),
+ s AS (SELECT c.lang, c.g, c.a, x.a AS l1, y.a AS r1, u.a AS l2, v.a AS r2 FROM c JOIN f x ON x.lang = c.lang AND x.g = c.g[1:1] JOIN f y ON y.lang = c.lang AND y.g = c.g[2:] LEFT JOIN f u ON len(c.g) = 3 AND u.lang = c.lang AND u.g = c.g[1:2] LEFT JOIN f v ON len(c.g) = 3 AND v.lang = c.lang AND v.g = c.g[3:3] LEFT JOIN held h ON h.lang = c.lang AND h.h = c.g WHERE coalesce(100 * most < {PARTS} * c.a, true)),
+ t AS (SELECT *, {_CUT.format(l="l1", r="r1")} AS s1, {_CUT.format(l="l2", r="r2")} AS s2 FROM s),
+ b AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, CASE WHEN s2 < s1 THEN l2 ELSE l1 END AS l, CASE WHEN s2 < s1 THEN r2 ELSE r1 END AS r, CAST(CASE WHEN s2 < s1 THEN s2 ELSE s1 END AS BIGINT) AS score FROM t)
+ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM b JOIN n USING (lang) QUALIFY rank <= 2000"""
+
+ORACLES = {"op8_main_text": MAIN_TEXT, "op3_secret_scan": SECRETS, "op4_byte_shards": SHARDS, "op5_near_duplicates": NEAR, "op11_collocations": PHRASES}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import ann, bpe, fingerprints, html_text, language, mixing, near_join, quality, secret_scan, shards
+from . import ann, bpe, fingerprints, html_text, language, mixing, near_join, phrases, quality, secret_scan, shards
 from .common import held_out, table
 from .oracles import ORACLES
 
@@ -90,9 +90,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 most exclusive phrases of two and three words of each language of all documents."""
+    return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"), top=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_syncmer_fingerprints, op2_quality_votes, op3_secret_scan, op4_byte_shards, op5_near_duplicates, op6_language, op7_mixing, op8_main_text, op9_neighbours, op10_byte_bpe)
+    for f in (op1_syncmer_fingerprints, op2_quality_votes, op3_secret_scan, op4_byte_shards, op5_near_duplicates, op6_language, op7_mixing, op8_main_text, op9_neighbours, op10_byte_bpe, op11_collocations)
 }
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .hard_negatives import FROM, NEGATIVES, OF, POSITIVES, TO, UNIT
 from .near_join import LEAST, WORDS
 from .phrases import LEAST as LEAST_PHRASE
 from .phrases import PARTS
@@ -75,4 +76,11 @@ PHRASES = rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_sp
  b AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, CASE WHEN s2 < s1 THEN l2 ELSE l1 END AS l, CASE WHEN s2 < s1 THEN r2 ELSE r1 END AS r, CAST(CASE WHEN s2 < s1 THEN s2 ELSE s1 END AS BIGINT) AS score FROM t)
  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM b JOIN n USING (lang) QUALIFY rank <= 2000"""
 
-ORACLES = {"op8_main_text": MAIN_TEXT, "op3_secret_scan": SECRETS, "op4_byte_shards": SHARDS, "op5_near_duplicates": NEAR, "op11_collocations": PHRASES}
+NEGATIVE_EXAMPLES = f"""WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor({UNIT} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_sum(list_transform(range(1, least(len(a.v), len(b.v)) + 1), lambda i: a.v[i] * b.v[i])) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+ p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {POSITIVES}),
+ n AS (SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score FROM p JOIN s USING (anchor_id) WHERE NOT same AND {FROM} * positive_score <= {OF} * score AND {OF} * score <= {TO} * positive_score)
+ SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY negative_score DESC, negative_id) AS INT) AS rank, negative_id, positive_score, negative_score FROM n QUALIFY rank <= {NEGATIVES}"""
+
+ORACLES = {"op12_hard_negatives": NEGATIVE_EXAMPLES, "op8_main_text": MAIN_TEXT, "op3_secret_scan": SECRETS, "op4_byte_shards": SHARDS, "op5_near_duplicates": NEAR, "op11_collocations": PHRASES}

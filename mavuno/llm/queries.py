@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import ann, bpe, fingerprints, html_text, language, mixing, near_join, phrases, quality, secret_scan, shards
+from . import ann, bpe, fingerprints, hard_negatives, html_text, language, mixing, near_join, phrases, quality, secret_scan, shards
 from .common import held_out, table
 from .oracles import ORACLES
 
@@ -95,9 +95,15 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"), top=2000)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector for its five best positives, among all vectors; every seventh label is moved on."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_syncmer_fingerprints, op2_quality_votes, op3_secret_scan, op4_byte_shards, op5_near_duplicates, op6_language, op7_mixing, op8_main_text, op9_neighbours, op10_byte_bpe, op11_collocations)
+    for f in (op1_syncmer_fingerprints, op2_quality_votes, op3_secret_scan, op4_byte_shards, op5_near_duplicates, op6_language, op7_mixing, op8_main_text, op9_neighbours, op10_byte_bpe, op11_collocations, op12_hard_negatives)
 }
 
 __all__ = ["ORACLES", "QUERIES"]

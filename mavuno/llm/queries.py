@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import ann, bpe, fingerprints, hard_negatives, html_text, language, mixing, near_join, phrases, quality, secret_scan, shards
+from . import ann, bpe, fingerprints, hard_negatives, html_text, language, mixing, near_join, packing, phrases, quality, secret_scan, shards
 from .common import held_out, table
 from .oracles import ORACLES
 
 #: Target weights of languages; whatever else occurs gets a fiftieth together.
 LANGUAGES = {"en": 0.48, "de": 0.17, "es": 0.15, "fr": 0.18, mixing.OTHERS: 0.02}
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
@@ -101,9 +102,15 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2,048 tokens, each with every source in its share of all tokens."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return packing.pack(docs, VOCABULARY).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_syncmer_fingerprints, op2_quality_votes, op3_secret_scan, op4_byte_shards, op5_near_duplicates, op6_language, op7_mixing, op8_main_text, op9_neighbours, op10_byte_bpe, op11_collocations, op12_hard_negatives)
+    for f in (op1_syncmer_fingerprints, op2_quality_votes, op3_secret_scan, op4_byte_shards, op5_near_duplicates, op6_language, op7_mixing, op8_main_text, op9_neighbours, op10_byte_bpe, op11_collocations, op12_hard_negatives, op13_packing)
 }
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -20,7 +20,7 @@ from .common import arrow_batches, cut, joined
 
 WINDOW, END = 2048, 1  # tokens of a sequence; the id that ends a document
 PACKET = 128  # tokens that a source sends at once at least, unless a document ends before
-LANE, MOST_LANES = 1 << 22, 65_536  # tokens that a task packs; beyond 275 billion tokens lanes grow, as they are streamed
+LANE, MOST_LANES = 1 << 20, 1 << 18  # tokens that a task packs; beyond 275 billion tokens lanes grow, as they are streamed
 MOST_QUEUES = 1024  # sources with a queue of their own, the most frequent ones; the others share one
 _AT_ONCE = 1 << 20  # characters that are encoded at a time
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""  # fixed: the pre-tokenizer of byte-level BPE files

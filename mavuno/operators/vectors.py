@@ -6,13 +6,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .grid import dealt, every, meet
+from .ordered import cut
 from .search import rank
 
-QUERY_BLOCK, INDEX_BLOCK = 2048, 4096  # queries and index rows that a task compares at a time
+QUERY_BLOCK, INDEX_BLOCK = 2048, 16_384  # queries and index rows of a cell
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -80,52 +84,118 @@ def mean_pool(tokens: DataFrame, key: str, vector: str, mask: str) -> DataFrame:
     return means.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("pooled"))
 
 
-def top_k(index: DataFrame, queries: DataFrame, k: int, metric: str = "dot", key: str = "id", query_key: str = "query_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, rank, id, score): the exact k best of the whole index for every query.
-
-    The index stays where it lies: each block of about QUERY_BLOCK queries, whose size is known, is broadcast and compared
-    with every part of it, and a task keeps the k best of each query, so only those are shuffled. Ties go to the smaller
-    id. Blocks follow each other as branches of one plan; their number grows with the queries, not with the index.
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors as the rows of a matrix; shorter ones are filled with zeros."""
+    lengths = np.diff(column.offsets.to_numpy())
+    flat = np.asarray(column.flatten(), np.float64)
+    if len(lengths) and (lengths == lengths[0]).all():
+        return flat.reshape(len(lengths), -1)
+    out = np.zeros((len(lengths), max(lengths, default=0)))
+    out[np.arange(out.shape[1]) < lengths[:, None]] = flat
+    return out
+
+
+class _Nearest:
+    """The best rows of a cell for each of its queries."""
+
+    def __init__(self, queries: pa.Table, k: int, metric: str):
+        self.k, self.metric = k, metric
+        self.names = queries.column("q").combine_chunks()
+        self.y = _matrix(queries.column("y").combine_chunks())
+        self.lengths = np.linalg.norm(self.y, axis=1)[:, None]
+        self.least = np.full(len(self.names), -np.inf)
+        self.kept: list[pa.Table] = []
+
+    def add(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids, x = batch.column("id"), _matrix(batch.column("x"))
+        dims = min(x.shape[1], self.y.shape[1])
+        scores = self.y[:, :dims] @ x[:, :dims].T
+        if self.metric == "cosine":
+            scores /= self.lengths * np.linalg.norm(x, axis=1)[None, :] + 1e-9
+        scores = scores.round(12)  # equal vectors tie whatever their place
+        if scores.shape[1] >= self.k:  # what is less than the k-th best of this batch, or of an earlier one, is out
+            np.maximum(self.least, np.partition(scores, -self.k, axis=1)[:, -self.k], out=self.least)
+        q, at = np.nonzero(scores >= self.least[:, None])
+        self.kept.append(pa.table({"q": pa.array(q), "id": ids.take(pa.array(at)), "score": scores[q, at]}))
+        if sum(map(len, self.kept)) > 4 * self.k * len(self.names) + 65_536:
+            self.kept = [self._best()]
+        return iter(())
+
+    def _best(self) -> pa.Table:
+        found = pa.concat_tables(self.kept)
+        found = found.take(pa.compute.sort_indices(found, sort_keys=[("q", "ascending"), ("score", "descending"), ("id", "ascending")]))
+        q = found.column("q").to_numpy()
+        return found.filter(pa.array(np.arange(len(q)) - np.searchsorted(q, q) < self.k))
+
+    def result(self) -> Iterator[pa.RecordBatch]:
+        found = self._best()
+        out = pa.table({"q": self.names.take(found.column("q").combine_chunks()), "id": found.column("id"), "score": found.column("score")})
+        yield from out.to_batches(max_chunksize=65_536)
+
+
+def _bands(norms: DataFrame, rows_each: int, bands_each: int = 8) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """Blocks of rows with about equal norms, the longest vectors first: (norms with `block`, [(band, blocks up to its end)]).
+
+    A band holds the norms between two powers of 2 ** (1 / bands_each), so there are few at any size of the table.
+    """
+    band = F.coalesce(F.floor(F.log2(F.when(F.col("norm") > 0, F.col("norm"))) * bands_each), F.lit(-10_000)).cast("int")
+    rows = norms.withColumn("band", band)
+    counts = sorted(((r["band"], -(-r["count"] // rows_each)) for r in rows.groupBy("band").count().collect()), reverse=True)
+    starts, done = [], 0
+    for b, n in counts:
+        starts.append((b, done, n))
+        done += n
+    told = F.broadcast(norms.sparkSession.createDataFrame(starts, "band int, _start long, _n long"))  # a row for each band
+    rows = rows.join(told, "band").withColumn("block", F.col("_start") + F.pmod(F.xxhash64("id"), F.col("_n"))).drop("band", "_start", "_n", "norm")
+    return rows, [(b, start + n) for b, start, n in starts]
+
+
+def top_k(index: DataFrame, queries: DataFrame, k: int, metric: str = "dot", key: str = "id", query_key: str = "query_id", vector: str = "embedding", query_block: int = QUERY_BLOCK, index_block: int = INDEX_BLOCK) -> DataFrame:
+    """(query_id, rank, id, score): the exact k best of the whole index for every query. Ties go to the smaller id.
+
+    A grid of query blocks and index blocks: each cell keeps the k best of each of its queries, and these are ranked over
+    the cells. No query passes the driver, and the plan is the same for any number of blocks.
+    With `metric="dot"` the index lies in blocks by length of its vectors, the longest first. The first blocks give each query a k-th best
+    score to begin with; as no score exceeds the product of the two lengths, a query meets only the blocks
+    that could better it, and cells without such queries are not made. Null vectors take no part; shorter ones count as filled with zeros.
     """
-    spark = index.sparkSession
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    id_type, q_type = dict(index.dtypes)[key], dict(queries.dtypes)[query_key]
-    asks = queries.select(F.col(query_key).alias("q"), F.col(vector).alias("v"))
-
-    def searched(block: list) -> DataFrame:
-        sent = spark.sparkContext.broadcast(([r["q"] for r in block], np.array([r["v"] for r in block], np.float64)))
-
-        def best(found: list[pd.DataFrame]) -> pd.DataFrame:
-            return pd.concat(found, ignore_index=True).sort_values(["q", "score", "id"], ascending=[True, False, True]).groupby("q", sort=False).head(k)
-
-        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            names, y = sent.value
-            lengths = np.linalg.norm(y, axis=1)[:, None]
-            kept: list[pd.DataFrame] = []
-            for batch in batches:
-                for i in range(0, len(batch), INDEX_BLOCK):
-                    part = batch.iloc[i : i + INDEX_BLOCK].sort_values("id", ignore_index=True)
-                    x = np.stack(list(part["v"])).astype(np.float64)
-                    scores = y @ x.T
-                    if metric == "cosine":
-                        scores /= lengths * np.linalg.norm(x, axis=1)[None, :] + 1e-9
-                    scores = scores.round(12)  # equal vectors tie whatever their place
-                    near = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                    kept.append(pd.DataFrame({"q": np.repeat(np.array(names), near.shape[1]), "id": part["id"].to_numpy()[near.ravel()], "score": np.take_along_axis(scores, near, axis=1).ravel()}))
-                if len(kept) >= 8:
-                    kept = [best(kept)]
-            if kept:
-                yield best(kept)
-
-        return index.select(F.col(key).alias("id"), F.col(vector).alias("v")).mapInPandas(work, f"q {q_type}, id {id_type}, score double")
-
-    found = None
-    for i in range(blocks):
-        block = asks.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i).collect()
-        if block or found is None and i == blocks - 1:
-            part = searched(block) if block else spark.createDataFrame([], f"q {q_type}, id {id_type}, score double")
-            found = part if found is None else found.unionByName(part)
-    return rank(found, ["q"], [F.desc("score"), F.col("id")], k).select(F.col("q").alias(query_key), "rank", F.col("id").alias(key), "score")
+    y = queries.select(F.col(query_key).alias("q"), F.col(vector).cast("array<double>").alias("y")).filter("y is not null")
+    x = index.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("x")).filter("x is not null")
+    schema = f"q {dict(y.dtypes)['q']}, id {dict(x.dtypes)['id']}, score double"
+    q_blocks = max(1, -(-y.count() // query_block))
+    y = y.withColumn("qb", dealt("q", q_blocks))
+    x, bands = _bands(x.withColumn("norm", norm("x") if metric == "dot" else F.lit(1.0)), index_block)
+    blocks = bands[-1][1] if bands else 1
+
+    def search(asks: DataFrame, rows: DataFrame) -> DataFrame:
+        """asks: q, y, qb, from, to (blocks that the query meets); rows: id, x, block."""
+        left = asks.withColumn("block", F.explode(F.sequence("from", F.col("to") - 1)))
+        right = rows
+        if q_blocks > 1:
+            reach = asks.groupBy("qb").agg(F.max("to").alias("_to"))  # a row for each block of queries
+            right = right.withColumn("qb", every(q_blocks)).join(reach, "qb").filter(F.col("block") < F.col("_to")).drop("_to")
+        else:
+            right = right.withColumn("qb", F.lit(0).cast("long"))
+        cell = (F.col("qb") * blocks + F.col("block")).alias("cell")
+        return meet(left.select(cell, "q", "y"), right.select(cell, "id", "x"), lambda t: _Nearest(t, k, metric), schema)
+
+    order = [F.desc("score"), F.col("id")]
+    first = next((end for _, end in bands if end * index_block >= 4 * k), blocks)
+    if metric != "dot" or blocks <= 2 * first:
+        found = search(y.withColumn("from", F.lit(0).cast("long")).withColumn("to", F.lit(blocks).cast("long")), x)
+    else:
+        seed = y.withColumn("from", F.lit(0).cast("long")).withColumn("to", F.lit(first).cast("long"))
+        some = cut(rank(search(seed, x.filter(F.col("block") < first)), ["q"], order, k).drop("rank"))
+        least = some.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
+        # the lowest band whose longest vectors reach the score, and the blocks down to it
+        span = range(bands[-1][0], bands[0][0] + 1)
+        down_to = {b: max((end for band, end in bands if band >= b), default=0) for b in span}
+        told = F.broadcast(index.sparkSession.createDataFrame(list(down_to.items()), "band int, to long"))
+        need = F.when((F.col("n") < k) | (F.col("least") <= 0) | (norm("y") == 0), bands[-1][0]).otherwise(F.floor(F.log2((F.col("least") - 1e-9) / norm("y")) * 8 - 1e-6))
+        asks = y.join(least, "q", "left").withColumn("band", F.least(F.lit(bands[0][0] + 1), F.greatest(F.lit(bands[-1][0]), F.coalesce(need, F.lit(bands[-1][0]))))).withColumn("band", F.col("band").cast("int"))
+        asks = asks.join(told, "band").filter(F.col("to") > first).select("q", "y", "qb", F.lit(first).cast("long").alias("from"), "to")
+        found = some.unionByName(search(asks, x.filter(F.col("block") >= first)))
+    return rank(found, ["q"], order, k).select(F.col("q").alias(query_key), "rank", F.col("id").alias(key), "score")
 
 
 def lexical_score(query: Column, title: Column, id: Column, kind: str = "phrase", title_sw: Column | None = None, aliases: Column | None = None) -> Column:

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .substrings import occurrences
+
+HOT_WORD, HOT_EACH = 100, 6  # titles beyond which a word is hot, and hot words of a title whose sets are looked up
 
 
 def rank(df: DataFrame, by: list[str], order: list[Column], k: int | None = None, into: str = "rank") -> DataFrame:
@@ -65,8 +68,7 @@ def fast_search(items: DataFrame, queries: DataFrame, synonyms: DataFrame, lang:
 def phrase_search(items: DataFrame, queries: DataFrame, synonyms: DataFrame, lang: str = "en", k: int = 20) -> DataFrame:
     """(query_id, rank, id, score): the whole query and its synonyms as phrases, in the title 3, in the body 1.
 
-    A phrase that occurs inside words cannot be found by tokens, so every text is read once against all phrases of the
-    stated queries, which are few: they are the broadcast side while Spark finds them small enough, else a block loop.
+    A phrase that occurs inside words cannot be found by tokens: each text is read once by an automaton of all phrases.
     """
     phrase = F.lower(F.trim("query"))
     own = queries.select("query_id", phrase.alias("term"))
@@ -74,32 +76,53 @@ def phrase_search(items: DataFrame, queries: DataFrame, synonyms: DataFrame, lan
     terms = own.unionByName(alts).distinct().filter("term <> ''")
     body = F.lower(F.coalesce(T.language_body(F.lit(lang)), F.lit("")))
     texts = items.select("id", "title", F.lower("title").alias("_title"), body.alias("_body"))
-    hits = texts.join(terms, F.contains("_title", F.col("term")) | F.contains("_body", F.col("term")))
-    score = F.sum(F.when(F.contains("_title", F.col("term")), 3).otherwise(0) + F.when(F.contains("_body", F.col("term")), 1).otherwise(0))
+    hits = occurrences(texts, ["_title", "_body"], terms).join(terms, "term")
+    score = F.sum(F.when(F.col("n_title") > 0, 3).otherwise(0) + F.when(F.col("n_body") > 0, 1).otherwise(0))
     scored = hits.groupBy("query_id", "id", "title").agg(score.alias("score"))
     return rank(scored, ["query_id"], [F.desc("score"), F.col("title"), F.col("id")], k).select("query_id", "rank", "id", "score")
 
 
-def related(items: DataFrame, k: int = 3) -> DataFrame:
+def _subsets(words: Column) -> Column:
+    """All subsets of an array of few words, each joined into a text."""
+    return F.aggregate(words, F.array(F.lit("")), lambda acc, w: F.concat(acc, F.transform(acc, lambda s: F.concat(s, F.lit(" "), w))))
+
+
+def related(items: DataFrame, k: int = 3, hot: int = HOT_WORD, most: int = HOT_EACH) -> DataFrame:
     """(id, rank, other, score): items of the same family score 2, each shared title word 1; order by score, title, id.
 
-    Two branches instead of all pairs. Pairs that share a title word meet in the postings of titles. What shares the
-    family alone always scores 2, so of those only the first by title can be wanted: the k + 1 first of each family
-    are enough, next to the pairs that share a word.
+    Two titles that share a word of at most `hot` titles meet in its postings: such pairs grow with the number of
+    titles, not with its square. Pairs that share hot words alone are not made. For each set of hot words the first k + 1 of all
+    titles that hold them are found, within each family and at all; a title looks up every set of its own hot words. Among
+    pairs that share exactly such a set, and the family or not, only the first by title and id can be wanted: k others
+    of at least their score go before all the rest. The empty set serves what shares the family alone. A word in all titles so costs as many rows as titles.
+
+    A title of more than `most` hot words meets the others through postings for the rarest of them, so that its sets stay few.
     """
-    its = items.select("id", "title", F.split_part("id", F.lit("-"), F.lit(1)).alias("family"), T.tokens("title", "word").alias("_words"))
-    words = its.select("id", F.explode("_words").alias("word"))
-    pairs = words.join(words.withColumnRenamed("id", "other"), "word").filter(F.col("id") != F.col("other")).groupBy("id", "other").agg(F.count(F.lit(1)).alias("shared"))
-    names = its.select(F.col("id").alias("other"), F.col("title").alias("other_title"), F.col("family").alias("other_family"))
-    shared = pairs.join(its.select("id", "family"), "id").join(names, "other")
-    shared = shared.select("id", "other", "other_title", (F.col("shared") + F.when(F.col("family") == F.col("other_family"), 2).otherwise(0)).alias("score"))
-    # The first of a family may already be pairs, and so may as many of the next: a pair is met twice and its larger score counts.
-    fill = rank(its, ["family"], [F.col("title"), F.col("id")]).select("family", F.col("id").alias("other"), F.col("title").alias("other_title"), F.col("rank").alias("_place"))
-    taken = shared.filter("score > 2").groupBy("id").agg(F.count(F.lit(1)).alias("_n"))
-    wanted = its.select("id", "family").join(taken, "id", "left").filter(F.coalesce("_n", F.lit(0)) < k).select("id", "family")
-    first = wanted.join(fill.filter(F.col("_place") <= 2 * k + 1).drop("_place"), "family").filter(F.col("id") != F.col("other")).select("id", "other", "other_title", F.lit(2).cast("long").alias("score"))
-    both = shared.unionByName(first).groupBy("id", "other", "other_title").agg(F.max("score").alias("score"))
-    return rank(both, ["id"], [F.desc("score"), F.col("other_title"), F.col("other")], k).select("id", "rank", "other", "score")
+    its = items.select("id", "title", F.split_part("id", F.lit("-"), F.lit(1)).alias("family"), F.coalesce(F.array_distinct(T.tokens("title", "word")), F.array().cast("array<string>")).alias("words"))
+    words = its.select("id", F.explode("words").alias("word"))
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    words = words.join(counts, "word")
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "word"))  # the few words of one title
+    words = words.withColumn("is_hot", (F.col("n") > hot) & (place <= most))
+    # Pairs by postings: one of the two takes the word for rare.
+    met = words.filter(~F.col("is_hot")).select("word", "id").join(words.select("word", F.col("id").alias("other")), "word").filter("id <> other").select("id", "other")
+    met = met.unionByName(met.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct()
+    facts = lambda c: its.select(F.col("id").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("title", "family", "words")])
+    met = met.join(facts("id"), "id").join(facts("other"), "other")
+    # Pairs by sets of hot words.
+    sets = words.filter("is_hot").groupBy("id").agg(F.array_sort(F.collect_list("word")).alias("_hot"))  # at most `most` of one title
+    keyed = its.join(sets, "id", "left").withColumn("_set", F.explode(_subsets(F.coalesce("_hot", F.array().cast("array<string>")))))
+    keyed = keyed.withColumn("_in", F.explode(F.array("family", F.lit(None).cast("string")))).filter("_in is not null or _set <> ''").drop("_hot")
+    keyed = keyed.withColumn("_in", F.coalesce("_in", F.lit("")))
+    first = rank(keyed, ["_set", "_in"], [F.col("title"), F.col("id")], k + 1)
+    first = first.select("_set", "_in", *[F.col(x).alias("other" if x == "id" else f"other_{x}") for x in its.columns])
+    # A set that very many titles look up has k + 1 rows on the other side, so an adaptive skew join splits it.
+    asking = keyed.select("_set", "_in", *[F.col(x).alias("id" if x == "id" else f"id_{x}") for x in its.columns])
+    looked = asking.join(first, ["_set", "_in"]).filter("id <> other").drop("_set", "_in")
+    score = F.size(F.array_intersect("id_words", "other_words")) + F.when(F.col("id_family") == F.col("other_family"), 2).otherwise(0)
+    pairs = met.unionByName(looked).select("id", "other", "other_title", score.cast("long").alias("score")).filter("score > 0")
+    order = [F.desc("score"), F.col("other_title"), F.col("other")]
+    return rank(pairs.distinct(), ["id"], order, k).select("id", "rank", "other", "score")
 
 
 def tf_answers(items: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
@@ -110,7 +133,7 @@ def tf_answers(items: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
     asked = queries.select("query_id", F.explode(T.tokens("query", "answer")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     in_body = asked.join(index, "term").select("query_id", "id", (F.col("times") * F.col("tf")).cast("double").alias("part"))
     titles = items.select("id", F.lower("title").alias("_title"))
-    in_title = titles.join(asked, F.contains("_title", F.col("term"))).select("query_id", "id", (F.col("times") * 0.75).alias("part"))
+    in_title = occurrences(titles, ["_title"], asked).join(asked, "term").select("query_id", "id", (F.col("times") * 0.75).alias("part"))
     scored = in_body.unionByName(in_title).groupBy("query_id", "id").agg(F.sum("part").alias("score"))
     return rank(scored, ["query_id"], [F.desc("score"), F.col("id")], k).select("query_id", "rank", "id", "score")
 
@@ -120,9 +143,9 @@ def phrase_prefilter(items: DataFrame, queries: DataFrame, lang: str = "en", k:
     text = F.lower(F.concat(F.col("title"), F.lit(" "), F.coalesce(T.language_body(F.lit(lang)), F.lit(""))))
     texts = items.select("id", F.lower("title").alias("_title"), text.alias("_text"))
     asked = queries.select("query_id", F.lower("query").alias("_q")).filter("_q <> ''")
-    hits = texts.join(asked, F.contains("_text", F.col("_q")))
-    count = ((F.length("_text") - F.length(F.replace("_text", F.col("_q"), F.lit("")))) / F.length("_q")).cast("long")
-    scored = hits.select("query_id", "id", (count + F.when(F.contains("_title", F.col("_q")), 1).otherwise(0)).alias("score"))
+    terms = asked.withColumnRenamed("_q", "term")
+    hits = occurrences(texts, ["_title", "_text"], terms).join(terms, "term")
+    scored = hits.select("query_id", "id", (F.col("n_text") + F.when(F.col("n_title") > 0, 1).otherwise(0)).alias("score"))
     return rank(scored, ["query_id"], [F.desc("score"), F.col("id")], k).select("query_id", "rank", "id", "score")
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -210,7 +210,7 @@ def lexical_score(query: Column, title: Column, id: Column, kind: str = "phrase"
             low = F.lower(F.coalesce(title, F.lit("")))
             hits = hits + F.when((low != "") & F.contains(F.lower(query), low), 4.0).otherwise(0.0)
         else:
-            hits = hits + 3.0 * shared(title_sw) + 3.0 * shared(F.array_join(aliases, " "))
+            hits = sum(w * shared(c) for c, w in _fields(title, id, title_sw, aliases))
         return F.when(F.size(q) > 0, hits / F.size(q)).otherwise(F.lit(0.0))
 
     return T.let(T.tokens(query, "hybrid"), score)
@@ -227,6 +227,49 @@ def hybrid(candidates: DataFrame, queries: DataFrame, meta: DataFrame, weight: f
     return out.select("query_id", "rank", "id", "score", "semantic_score", "lexical_score")
 
 
+def _fields(title: Column, id: Column, title_sw: Column, aliases: Column) -> list[tuple[Column, float]]:
+    """What `aliases` scores by: the texts of an item and the weight of a word in each."""
+    return [(title, 2.0), (title_sw, 3.0), (F.array_join(aliases, " "), 3.0), (F.replace(id, F.lit("-"), F.lit(" ")), 1.0)]
+
+
+def promising(near: DataFrame, queries: DataFrame, meta: DataFrame, weight: float, k: int) -> DataFrame:
+    """(query_id, id): items besides the `near` ones that can be among the k best by score + weight * lexical score.
+
+    Two orders meet as in the threshold algorithm. `near` holds the first items of each query by score, so what is not in it
+    scores at most what its last one does; and its k-th best by the whole score is to be beaten. The gap gives the
+    lexical score that an item needs. A query's words are taken from the rarest on, by the postings of names, and each
+    gives at most its largest weight: once the words that are left cannot make up the need, items that hold only those
+    are out, so the postings of frequent words are not read.
+    """
+    ranked = hybrid(near, queries, meta, weight, k, "aliases")
+    bound = near.groupBy("query_id").agg(F.min("score").alias("_last"))
+    goal = ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_kth"))
+    need = F.when(F.col("_n") >= k, (F.col("_kth") - F.col("_last")) / F.lit(weight) - 1e-9).otherwise(F.lit(0.0))
+    need = bound.join(goal, "query_id", "left").select("query_id", F.coalesce(need, F.lit(0.0)).alias("_need"))
+    parts = [F.transform(T.tokens(c, "hybrid"), lambda t, w=w: F.struct(t.alias("term"), F.lit(w).alias("w"))) for c, w in _fields(F.col("title"), F.col("id"), F.col("title_sw"), F.col("aliases_sw"))]
+    one = F.explode(F.concat(*[F.coalesce(F.array_distinct(p), F.array().cast("array<struct<term:string,w:double>>")) for p in parts]))
+    postings = meta.select("id", one.alias("p")).groupBy("p.term", "id").agg(F.sum("p.w").alias("w"))
+    asked = queries.select("query_id", T.tokens("query", "hybrid").alias("_t")).select("query_id", F.size("_t").alias("_size"), F.explode("_t").alias("term"))
+    words = postings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("_df"), F.max("w").alias("_most"))
+    rest = Window.partitionBy("query_id").orderBy(F.desc("_df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)  # a query's few words, the rarest last
+    asked = asked.join(words, "term").withColumn("_can", F.sum(F.col("_most") / F.col("_size")).over(rest))
+    useful = asked.join(need, "query_id").filter(F.col("_can") >= F.col("_need")).select("query_id", "term", "_need")
+    found = useful.join(postings.select("term", "id"), "term").select("query_id", "id", "_need").distinct()
+    found = found.join(near.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    lexical = found.join(queries.select("query_id", "query"), "query_id").join(meta, "id")
+    lexical = lexical.withColumn("_lexical", lexical_score(F.col("query"), F.col("title"), F.col("id"), "aliases", title_sw=F.col("title_sw"), aliases=F.col("aliases_sw")))
+    return lexical.filter(F.col("_lexical") >= F.col("_need")).select("query_id", "id")
+
+
+def hybrid_full(index: DataFrame, queries: DataFrame, meta: DataFrame, weight: float, k: int, ahead: int = 20) -> DataFrame:
+    """`hybrid` with `aliases` over the whole index: the k best of all items, exactly. index: id, embedding; queries: query_id, query,
+    embedding. The ahead * k nearest are met by their vectors; of the rest only the `promising` are."""
+    near = cut(top_k(index, queries, ahead * k).select("query_id", "id", "score"))
+    more = promising(near, queries, meta, weight, k).join(index.select("id", "embedding"), "id").join(queries.select("query_id", F.col("embedding").alias("_q")), "query_id")
+    more = more.select("query_id", "id", F.round(dot("_q", "embedding"), 12).alias("score"))
+    return hybrid(near.unionByName(more), queries, meta, weight, k, "aliases")
+
+
 def score_map(ranked: DataFrame, most: int = 200) -> DataFrame:
     """Scores clamped to 0..1, the best `most` of each query."""
     return ranked.filter(F.col("rank") <= most).withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))))

@@ -135,15 +135,8 @@ def em_hybrid_rerank(spark, sf_dir):
 
 @query(_hybrid_sql(_LEX_B, 0.08, None, 10))
 def em_hybrid_full(spark, sf_dir):
-    """The score over the whole index: what has no word in common scores by its vector alone, so the k nearest and the items
-    that share a word with the query hold all of the best k."""
     named, typed = _named(spark, sf_dir), _typed(spark, sf_dir)
-    near = V.top_k(named, typed, 10)
-    names = named.select("id", "embedding", F.explode(F.array_distinct(F.concat(*[T.tokens(c, "hybrid") for c in ("title", "title_sw", F.array_join("aliases_sw", " "), F.replace("id", F.lit("-"), F.lit(" ")))]))).alias("term"))
-    met = names.join(typed.select("query_id", F.col("embedding").alias("_q"), F.explode(T.tokens("query", "hybrid")).alias("term")), "term")
-    met = met.select("query_id", "id", F.round(V.dot("_q", "embedding"), 12).alias("score")).distinct()
-    both = near.select("query_id", "id", "score").unionByName(met).groupBy("query_id", "id").agg(F.max("score").alias("score"))
-    return _rounded(V.hybrid(both, typed, named.select("id", "title", "title_sw", "aliases_sw"), 0.08, 10, "aliases"))
+    return _rounded(V.hybrid_full(named, typed, named.select("id", "title", "title_sw", "aliases_sw"), 0.08, 10))
 
 
 @query(

@@ -63,11 +63,21 @@ def bookmarks(toggles: DataFrame) -> DataFrame:
     return rows.groupBy("user_id", "article_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n % 2 = 1").select("user_id", "article_id")
 
 
-def saved_answers(saves: DataFrame) -> DataFrame:
-    """The newest save of each question, source and answer; blank answers are ignored. Keyed by a sha-256 of the three."""
-    key = F.sha2(F.concat_ws("|", "question", F.coalesce("source_id", F.lit("")), "answer"), 256)
-    rows = saves.filter(F.trim("answer") != "").withColumn("id", key)
-    return rank(rows, ["id"], [F.desc("saved_at"), F.col("question")], 1, "_r").drop("_r")
+def saved_answers(changes: DataFrame) -> DataFrame:
+    """(user_id, id, question, source_id, answer, saved_at): what each user has saved after all changes in order of saved_at.
+
+    changes: user_id, action, question, source_id, answer, saved_at. `save` puts an answer, `remove` takes one out, both by the sha-256 of question, source and answer
+    without outer blanks; `clear` takes out all that the user saved before. Blank answers are ignored. Of changes at one time a removal counts after a save.
+    A null user is a user. The last change of each answer is kept, wherever it comes from, so changes may come in any order.
+    """
+    last = F.struct("saved_at", (F.col("action") == "remove").alias("gone"))
+    question, answer = F.trim("question"), F.trim("answer")
+    key = F.sha2(F.concat_ws("|", question, F.coalesce("source_id", F.lit("")), answer), 256)
+    rows = changes.filter(F.col("action").isin("save", "remove") & (answer != "")).select("user_id", key.alias("id"), question.alias("question"), "source_id", answer.alias("answer"), "saved_at", last.alias("_at"))
+    rows = rows.groupBy("user_id", "id").agg(F.max("_at").alias("_at"), *[F.max_by(c, "_at").alias(c) for c in ("question", "source_id", "answer")])
+    cleared = changes.filter("action = 'clear'").groupBy(F.col("user_id").alias("_user")).agg(F.max("saved_at").alias("_cleared"))
+    rows = rows.join(cleared, F.col("user_id").eqNullSafe(F.col("_user")), "left").filter(~F.col("_at.gone") & (F.col("_cleared").isNull() | (F.col("_at.saved_at") > F.col("_cleared"))))
+    return rows.select("user_id", "id", "question", "source_id", "answer", F.col("_at.saved_at").alias("saved_at"))
 
 
 def profiles(reads: DataFrame, vectors: DataFrame, keep: float = 0.85) -> DataFrame:
@@ -115,12 +125,15 @@ def throttle(positions: DataFrame, step: float = 0.05, millis: int = 1500, settl
         key, last = None, None
         for batch in batches:
             ms = batch["ts"].to_numpy("datetime64[ms]").astype(np.int64)
-            out = []
-            for k, at in batch.groupby(keys, sort=False).indices.items():
-                take, last = accepted(ms[at], batch["percent"].to_numpy()[at], last if k == key else None, step, millis)
-                key = k
+            names = [tuple(None if pd.isna(x) else x for x in row) for row in batch[keys].itertuples(index=False, name=None)]
+            out, begin = [], 0
+            while begin < len(names):
+                end = next((i for i in range(begin + 1, len(names)) if names[i] != names[begin]), len(names))
+                at = np.arange(begin, end)
+                take, last = accepted(ms[at], batch["percent"].to_numpy()[at], last if names[begin] == key else None, step, millis)
+                key, begin = names[begin], end
                 out.append(at[take])
-            yield batch.iloc[np.sort(np.concatenate(out))] if out else batch[:0]
+            yield batch.iloc[np.concatenate(out)] if out else batch[:0]
 
     kept = rows.mapInPandas(walk, rows.schema)
     following = F.lead("ts").over(Window.partitionBy(*keys).orderBy("ts", "event_id"))

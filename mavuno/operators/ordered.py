@@ -38,9 +38,9 @@ def numbered(df: DataFrame, by: list[str], order: list[str], into: str = "place"
     dealt = cut(df.repartitionByRange(n, *by, *order).withColumn("_range", F.spark_partition_id()))
     sizes = dealt.groupBy("_range", *by).agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a key
-    offsets = sizes.select("_range", *by, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"), F.sum("_rows").over(Window.partitionBy(*by)).alias("_all"))
+    offsets = sizes.select(F.col("_range").alias("_r"), *[F.col(b).alias(f"_k{i}") for i, b in enumerate(by)], F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"), F.sum("_rows").over(Window.partitionBy(*by)).alias("_all"))
     inside = F.row_number().over(Window.partitionBy("_range", *by).orderBy(*order))
-    out = dealt.withColumn("_inside", inside).join(offsets, ["_range", *by]).withColumn(into, F.col("_before") + F.col("_inside"))
+    out = dealt.withColumn("_inside", inside).join(offsets, _same(by)).withColumn(into, F.col("_before") + F.col("_inside"))
     kept = [*df.columns, into]
     if count:
         out, kept = out.withColumn(count, F.col("_all")), [*kept, count]
@@ -53,15 +53,20 @@ def _ranged(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return cut(df.repartitionByRange(n, *by, *order).withColumn("_range", F.spark_partition_id()))
 
 
+def _same(by: list[str]) -> Column:
+    """The same range, as `_r`, and the same key, as `_k0` and so on; null keys are a key like others."""
+    same = F.col("_range") == F.col("_r")
+    for i, b in enumerate(by):
+        same &= F.col(b).eqNullSafe(F.col(f"_k{i}"))
+    return same
+
+
 def _before(dealt: DataFrame, by: list[str], total: Column, added) -> DataFrame:
     """dealt with `_before`: what the ranges before a row's own give for its key. Null keys count as a key."""
     ends = dealt.groupBy("_range", *by).agg(total.alias("_end"))
     earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a key
     ends = ends.select(F.col("_range").alias("_r"), *[F.col(b).alias(f"_k{i}") for i, b in enumerate(by)], added(F.col("_end")).over(earlier).alias("_before"))
-    same = F.col("_range") == F.col("_r")
-    for i, b in enumerate(by):
-        same &= F.col(b).eqNullSafe(F.col(f"_k{i}"))
-    return dealt.join(ends, same, "left").drop("_r", *[f"_k{i}" for i in range(len(by))])
+    return dealt.join(ends, _same(by), "left").drop("_r", *[f"_k{i}" for i in range(len(by))])
 
 
 def carried(df: DataFrame, by: list[str], order: list[str], value: Column, into: str) -> DataFrame:

@@ -7,10 +7,12 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .ordered import cut
 
 Translator = Callable[[list[str]], list[str]]
 MOST_CHARS = 4500
@@ -72,13 +74,13 @@ def pieces(text: str, most: int = MOST_CHARS) -> list[str]:
     return [*out, text]
 
 
-def translate(df: DataFrame, text: str, translator: Translator, into: str = "translated", clamp: bool = False, failed: str | None = None) -> DataFrame:
+def translate(df: DataFrame, text: str, translator: Translator, into: str = "translated", failed: str | None = None) -> DataFrame:
     """Add translations, batch by batch; a batch that fails keeps its source, which `failed`, a column of that name, tells. Texts beyond the model's length are translated
-    in pieces and joined; with `clamp` only their first MOST_CHARS characters are, as the reference does with lines."""
+    in pieces and joined."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = [[(x or "")[:MOST_CHARS]] if clamp else pieces(x or "") for x in batch[text]]
+            parts = [pieces(x or "") for x in batch[text]]
             source = [p.rstrip() if i + 1 < len(ps) else p for ps in parts for i, p in enumerate(ps)]
             lost = False
             try:
@@ -93,38 +95,63 @@ def translate(df: DataFrame, text: str, translator: Translator, into: str = "tra
     return df.mapInPandas(work, shape.withColumn(into, F.lit("")).schema)
 
 
-def line_memory(texts: DataFrame, key: str, text: str, translator: Translator) -> DataFrame:
+def remembered(spark: SparkSession, path: str) -> DataFrame:
+    """(line, translated) rows of a stored memory; none where nothing has been stored."""
+    try:
+        return spark.read.schema("line string, translated string").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "line string, translated string")
+
+
+def line_memory(texts: DataFrame, key: str, text: str, translator: Translator, memory: str | None = None) -> DataFrame:
     """Translate texts line by line, each distinct line once: (key, translated). Lines of marks alone stay as they are.
 
-    Lines are joined back on their hash and text; a heading that stands in very many texts makes a hot key there, which
-    is left to adaptive skew joins, as the join is a plain equi join of two shuffled sides.
+    With `memory`, a table that lasts, lines that it knows are not translated again, and those translated now are added to it, so a
+    run over the same texts translates nothing. Lines of a batch that failed are not remembered; they stand as they are until the next run.
+
+    Distinct lines are counted. Those that hold more than 1 / (8 p) of all lines, p the number of shuffle partitions, are at
+    most 8 p, and their translations are broadcast; the others are joined by hash and line, so no line makes a long task.
     """
+    spark = texts.sparkSession
     lines = texts.select(key, F.posexplode(F.split(text, "\n")).alias("place", "line"))
-    hashed = lines.withColumn("_h", F.xxhash64("line"))
     plain = (F.trim("line") != "") & ~F.col("line").rlike(STRUCTURE)
-    memory = translate(hashed.filter(plain).select("_h", "line").distinct(), "line", translator, clamp=True)
-    joined = hashed.join(memory, ["_h", "line"], "left")
-    return stitch(joined.select(key, "place", F.coalesce("translated", "line").alias("translated")), key, "translated")
+    counts = cut(lines.filter(plain).groupBy("line").agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    least = max(1000, total // (8 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    if memory:
+        fresh = counts.join(remembered(spark, memory), "line", "left_anti").select("line")
+        made = translate(fresh, "line", translator, failed="failed").filter("NOT failed").select("line", "translated")
+        made.write.mode("append").parquet(memory)
+        known = remembered(spark, memory).dropDuplicates(["line"])  # two runs at a time may add a line each
+        known = counts.join(known, "line")
+    else:
+        known = cut(translate(counts, "line", translator))
+    hot = F.broadcast(known.filter(F.col("n") > least).select("line", F.col("translated").alias("_hot")))
+    cold = known.filter(F.col("n") <= least).select("line", "translated", F.lit(0).cast("long").alias("_part"))
+    marked = lines.join(hot, "line", "left").withColumn("_part", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64("place", "_hot"), F.lit(1024))).cast("long"))
+    done = marked.join(cold, ["line", "_part"], "left")
+    return stitch(done.select(key, "place", F.coalesce("_hot", "translated", "line").alias("translated")), key, "translated")
 
 
 def protector(terms: list[str]) -> Callable[[list[str]], tuple[list[str], list[list[tuple[str, str]]]]]:
     """Replace terms by [[T0]], [[T1]], ... in order of term, then of match, whatever the case."""
-    patterns = [re.compile(re.escape(t), re.I) for t in terms]
+    splitters = [re.compile(f"({re.escape(t)})", re.IGNORECASE) for t in terms if t]
+
+    def one(text: str) -> tuple[str, list[tuple[str, str]]]:
+        marks: list[tuple[str, str]] = []
+        for splitter in splitters:
+            parts = splitter.split(text)  # what stands between, and every second part a match
+            tokens = [f"[[T{len(marks) + i}]]" for i in range(len(parts) // 2)]
+            marks += zip(tokens, parts[1::2], strict=True)
+            parts[1::2] = tokens
+            text = "".join(parts)
+        return text, marks
 
     def protect(texts: list[str]) -> tuple[list[str], list[list[tuple[str, str]]]]:
-        out, kept = [], []
-        for text in texts:
-            marks: list[tuple[str, str]] = []
-
-            def mark(m: re.Match, marks: list = marks) -> str:
-                marks.append((f"[[T{len(marks)}]]", m[0]))
-                return marks[-1][0]
-
-            for p in patterns:
-                text = p.sub(mark, text)
-            out.append(text)
-            kept.append(marks)
-        return out, kept
+        done = [one(t) for t in texts]
+        return [t for t, _ in done], [m for _, m in done]
 
     return protect
 
@@ -178,19 +205,34 @@ def match_files(files: DataFrame) -> DataFrame:
     return files.filter("rows > 0").withColumn("file_key", file_key(F.col("stem"))).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
-def translate_sections(items: DataFrame, translator: Translator) -> DataFrame:
-    """(id, sections_sw, content_sw, needs_review): titles and bodies of `sections` through the line memory, and the text as
-    titled blocks. Review is over when both sides are there."""
-    parts = items.select("id", F.posexplode("sections").alias("place", "s")).select("id", "place", F.explode(F.array(F.struct(F.lit("title").alias("k"), F.col("s.title").alias("v")), F.struct(F.lit("body").alias("k"), F.col("s.body").alias("v")))).alias("x")).select("id", "place", "x.k", "x.v")
-    keyed = parts.withColumn("_key", F.concat_ws("\u0001", "id", "place", "k"))
-    done = keyed.join(line_memory(keyed.select("_key", F.coalesce("v", F.lit("")).alias("v")), "_key", "v", translator), "_key")
-    rows = done.groupBy("id", "place").agg(F.max(F.when(F.col("k") == "title", F.col("translated"))).alias("title"), F.max(F.when(F.col("k") == "body", F.col("translated"))).alias("body"))
-    built = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", "title", "body"))).alias("_s"))
-    content = F.array_join(F.transform("_s", lambda s: F.concat(s["title"], F.lit("\n"), s["body"])), "\n\n")
-    out = items.select("id", "content_en").join(built, "id")
-    return out.select("id", F.transform("_s", lambda s: F.struct(s["title"].alias("title"), s["body"].alias("body"))).alias("sections_sw"), content.alias("content_sw"), (T.blank_to_null("content_en").isNull() | (F.trim(content) == "")).alias("needs_review"))
-
+def translate_sections(items: DataFrame, translator: Translator, glossary: list[tuple[str, str]] = (), memory: str | None = None) -> DataFrame:
+    """(id, sections_sw, content_sw, needs_review) of every item, through the line memory.
 
-def backcheck_sample(items: DataFrame, order: str, most: int = 50) -> DataFrame:
-    """Translations among the first `most` items in order, for a translator back."""
-    return items.orderBy(order).limit(most).filter(T.blank_to_null("content_sw").isNotNull())
+    items: id, content_en, content_sw, sections (titles and bodies, null or empty where there are none), needs_review. Where there are
+    sections, their translations are the text, as blocks of a title, a blank line and a body, empty parts left out; else a text that is there
+    stays, and a missing one is translated from content_en. The glossary is applied last. Review is over when both sides are
+    there; otherwise it stays as it was.
+    """
+    parts = items.select("id", F.posexplode("sections").alias("place", "s"))
+    parts = parts.select("id", "place", F.explode(F.create_map(F.lit("title"), F.trim("s.title"), F.lit("body"), T.strip(F.col("s.body")))).alias("k", "v"))
+    whole = items.filter(T.blank_to_null("content_sw").isNull()).select("id", F.lit(-1).alias("place"), F.lit("text").alias("k"), F.col("content_en").alias("v"))
+    keyed = parts.unionByName(whole).withColumn("v", F.coalesce("v", F.lit(""))).withColumn("_key", F.struct("id", "place", "k"))
+    done = line_memory(keyed, "_key", "v", translator, memory).select("_key.*", apply_glossary("translated", list(glossary)).alias("v"))
+    rows = done.groupBy("id", "place").pivot("k", ["title", "body", "text"]).agg(F.first("v"))
+    section = F.when(F.col("place") >= 0, F.struct("place", F.struct("title", "body").alias("s")))
+    built = rows.groupBy("id").agg(F.array_sort(F.collect_list(section)).alias("_s"), F.max("text").alias("_text"))  # of one item
+    made = F.transform("_s", lambda x: x["s"])
+    block = lambda s: T.strip(F.when(s["title"] != "", F.concat(s["title"], F.lit("\n\n"), s["body"])).otherwise(s["body"]))
+    blocks = F.array_join(F.filter(F.transform(made, block), lambda x: x != ""), "\n\n")
+    rebuilt = F.when(T.blank_to_null(blocks).isNotNull(), blocks)
+    out = items.join(built, "id", "left")
+    own = F.when(T.blank_to_null("content_sw").isNotNull(), apply_glossary("content_sw", list(glossary)))
+    out = out.withColumn("_sw", F.coalesce(rebuilt, own, F.col("_text"), F.lit("")))
+    both = T.blank_to_null("content_en").isNotNull() & T.blank_to_null("_sw").isNotNull()
+    return out.select("id", F.when(F.size("_s") > 0, made).alias("sections_sw"), F.col("_sw").alias("content_sw"), F.when(both, F.lit(False)).otherwise(F.col("needs_review")).alias("needs_review"))
+
+
+def backcheck(items: DataFrame, order: str, translator: Translator, most: int = 50) -> DataFrame:
+    """The translations among the first `most` items in order, translated back, for whoever checks the quality."""
+    sample = items.orderBy(order).limit(most).filter(T.blank_to_null("content_sw").isNotNull())
+    return translate(sample, "content_sw", translator, into="back")

@@ -81,10 +81,10 @@ def ac_progress_merge(spark, sf_dir):
 
 @query(
     f"""WITH {_UPDATES}, m AS ({_MERGED}), l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY updated_at DESC, article_id DESC) AS r FROM m) WHERE r = 1)
- SELECT l.user_id, l.article_id, CASE WHEN d.doc_id IS NOT NULL THEN d.source ELSE l.article_id END AS title, CAST(round(greatest(0, least(1, coalesce(l.percent, 0))) * 100) AS INT) AS percent FROM l LEFT JOIN documents d ON 'article-' || d.doc_id = l.article_id AND d.doc_id < 20"""
+ SELECT l.user_id, l.article_id, CASE WHEN d.doc_id IS NOT NULL THEN d.source ELSE l.article_id END AS title, CAST(round(greatest(0, least(1, coalesce(l.percent, 0))) * 100) AS INT) AS percent FROM l LEFT JOIN documents d ON 'article-' || d.doc_id = l.article_id"""
 )
 def ac_continue(spark, sf_dir):
-    named = table(spark, sf_dir, "documents").filter("doc_id < 20").select(F.concat(F.lit("article-"), "doc_id").alias("id"), F.col("source").alias("title"))
+    named = table(spark, sf_dir, "documents").select(F.concat(F.lit("article-"), "doc_id").alias("id"), F.col("source").alias("title"))
     return A.continue_reading(A.merge_progress(updates(spark, sf_dir)), named)
 
 
@@ -109,14 +109,21 @@ _TURNS = "t AS (SELECT conv_id, turn, role, text, lead(role) OVER (PARTITION BY
 
 
 @query(
-    f"""WITH {_TURNS}, s AS (SELECT text AS question, CAST(conv_id % 50 AS VARCHAR) AS source_id, answer, conv_id * 100 + turn AS saved_at FROM t WHERE role = 'user' AND next_role = 'assistant' AND trim(answer) <> '')
- SELECT sha256(question || '|' || source_id || '|' || answer) AS id, question, source_id, answer, saved_at FROM (SELECT *, row_number() OVER (PARTITION BY question, source_id, answer ORDER BY saved_at DESC) AS r FROM s) WHERE r = 1"""
+    f"""WITH {_TURNS}, s AS (SELECT conv_id % 10 AS user_id, trim(text) AS question, CAST(conv_id % 50 AS VARCHAR) AS source_id, trim(answer) AS answer, conv_id * 100 + turn AS saved_at FROM t WHERE role = 'user' AND next_role = 'assistant' AND trim(answer) <> ''),
+ c AS (SELECT user_id, question, source_id, answer, saved_at, 0 AS gone FROM s UNION ALL SELECT user_id, question, source_id, answer, saved_at + 250, 1 FROM s WHERE saved_at % 7 = 0), w AS (SELECT conv_id % 10 AS user_id, max(conv_id * 100) AS cleared FROM conversations WHERE conv_id % 23 = 0 GROUP BY 1),
+ l AS (SELECT *, row_number() OVER (PARTITION BY user_id, question, source_id, answer ORDER BY saved_at DESC, gone DESC) AS r FROM c)
+ SELECT l.user_id, sha256(question || '|' || source_id || '|' || answer) AS id, question, source_id, answer, saved_at FROM l LEFT JOIN w USING (user_id) WHERE r = 1 AND gone = 0 AND (cleared IS NULL OR saved_at > cleared)"""
 )
 def ac_saved_qa(spark, sf_dir):
+    """Answers of ten users: every seventh is removed a little later, and some conversations begin by clearing all."""
     w = Window.partitionBy("conv_id").orderBy("turn", "text")
-    turns = table(spark, sf_dir, "conversations").withColumn("next_role", F.lead("role").over(w)).withColumn("answer", F.lead("text").over(w))
-    saves = turns.filter("role = 'user' AND next_role = 'assistant'").select(F.col("text").alias("question"), (F.col("conv_id") % 50).cast("string").alias("source_id"), "answer", (F.col("conv_id") * 100 + F.col("turn")).alias("saved_at"))
-    return A.saved_answers(saves)
+    said = table(spark, sf_dir, "conversations")
+    turns = said.withColumn("next_role", F.lead("role").over(w)).withColumn("answer", F.lead("text").over(w))
+    user, at = (F.col("conv_id") % 10).alias("user_id"), F.col("conv_id") * 100 + F.col("turn")
+    saves = turns.filter("role = 'user' AND next_role = 'assistant'").select(user, F.lit("save").alias("action"), F.col("text").alias("question"), (F.col("conv_id") % 50).cast("string").alias("source_id"), "answer", at.alias("saved_at"))
+    removes = saves.filter("saved_at % 7 = 0").withColumn("action", F.lit("remove")).withColumn("saved_at", F.col("saved_at") + 250)
+    clears = said.filter("conv_id % 23 = 0").select(user, F.lit("clear").alias("action"), (F.col("conv_id") * 100).alias("saved_at")).distinct()
+    return A.saved_answers(saves.unionByName(removes).unionByName(clears, allowMissingColumns=True))
 
 
 @query(

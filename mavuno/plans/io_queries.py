@@ -52,11 +52,11 @@ def io_read_translation_csv(spark, sf_dir):
     return P.read_translation_csv(spark, folder).select("id", "title", "content_sw")
 
 
-@query("SELECT CASE WHEN n % 3 = 0 THEN 'preserve' ELSE 'map' END AS kind, source AS en, CASE WHEN n % 3 > 0 THEN 'sw ' || source END AS sw FROM (SELECT source, CAST(replace(source, 'src', '') AS INT) AS n FROM documents GROUP BY source)")
+@query("WITH s AS (SELECT source, CAST(replace(source, 'src', '') AS INT) AS n FROM documents GROUP BY source) SELECT 'preserve' AS kind, source AS en, NULL AS sw FROM s WHERE n % 3 = 0 UNION ALL SELECT 'map', source, 'sw ' || source FROM s WHERE n % 2 = 0")
 def io_read_glossary(spark, sf_dir):
     folder = _scratch(spark)
     n = F.replace("source", F.lit("src"), F.lit("")).cast("int")
-    rows = documents(spark, sf_dir).select("source").distinct().select(F.col("source").alias("en"), F.concat(F.lit("sw "), "source").alias("sw"), F.when(n % 3 == 0, F.lit("Yes")).otherwise(F.lit("")).alias("preserve"))
+    rows = documents(spark, sf_dir).select("source").distinct().select(F.when(n % 3 == 0, F.lit("Yes")).otherwise(F.lit("")).alias("preserve"), F.col("source").alias("en"), F.when(n % 2 == 0, F.concat(F.lit("sw "), "source")).alias("SW"))
     rows.write.options(header=True, quote='"', escape='"', quoteAll=True).csv(folder)
     kept, mapped = P.read_glossary(spark, folder)
     return kept.select(F.lit("preserve").alias("kind"), "en", F.lit(None).cast("string").alias("sw")).unionByName(mapped.select(F.lit("map").alias("kind"), "en", "sw"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import translate as R
+from ..operators.ordered import shared_folder
 from .inputs import BOOK_PAGES, ITEMS, book_pages, documents, items
 from .registry import query
 from .structure_queries import packed
@@ -66,9 +69,10 @@ def tr_segment_windows(spark, sf_dir):
 _STRUCT = r"^\s*([#>\-*\d.)]+)\s*$"
 
 
-@query(rf"WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents) SELECT doc_id, array_to_string(list_transform(ls, lambda x: CASE WHEN trim(x) <> '' AND NOT regexp_matches(x, '{_STRUCT}') THEN replace(upper(substring(x, 1, 4500)), 'ẞ', 'SS') ELSE x END), chr(10)) AS translated FROM l")
+@query(rf"WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents) SELECT doc_id, array_to_string(list_transform(ls, lambda x: CASE WHEN trim(x) <> '' AND NOT regexp_matches(x, '{_STRUCT}') THEN replace(upper(x), 'ẞ', 'SS') ELSE x END), chr(10)) AS translated FROM l")
 def tr_line_memory(spark, sf_dir):
-    return R.line_memory(documents(spark, sf_dir), "doc_id", "text", shout)
+    """Through a memory that lasts, which is empty at first."""
+    return R.line_memory(documents(spark, sf_dir), "doc_id", "text", shout, memory=f"{shared_folder(spark)}/memory-{uuid.uuid4().hex}")
 
 
 @query("SELECT doc_id, replace(upper(text), 'ẞ', 'SS') AS translated FROM documents")
@@ -76,10 +80,17 @@ def tr_translate(spark, sf_dir):
     return R.translate(documents(spark, sf_dir).select("doc_id", "text"), "text", shout).select("doc_id", "translated")
 
 
-@query("SELECT doc_id, text AS restored FROM documents")
+_TERMS = ("and", "the", "der die", "una")
+_MARKED = "text"
+for _term in _TERMS:
+    _MARKED = f"regexp_replace({_MARKED}, '(?i){_term}', '[[T#]]', 'g')"
+
+
+@query(f"SELECT doc_id, {_MARKED} AS protected, len(regexp_extract_all(coalesce({_MARKED}, ''), '\\[\\[T#\\]\\]')) AS n_marks, text AS restored FROM documents")
 def tr_protect(spark, sf_dir):
-    guarded = R.protect(documents(spark, sf_dir).select("doc_id", "text"), "text", ["and", "the", "der die", "una"])
-    return guarded.select("doc_id", R.restore("protected", "marks").alias("restored"))
+    """Places of protected terms, with the numbers of the marks left out, and the text that they give back."""
+    guarded = R.protect(documents(spark, sf_dir).select("doc_id", "text"), "text", list(_TERMS))
+    return guarded.select("doc_id", F.regexp_replace("protected", r"\[\[T\d+\]\]", "[[T#]]").alias("protected"), F.size("marks").cast("long").alias("n_marks"), R.restore("protected", "marks").alias("restored"))
 
 
 @query(r"SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)ther', '<T>', 'g'), '(?i)\b(?:of|de)\b', 'ya', 'g') AS text FROM documents")
@@ -112,17 +123,25 @@ def tr_match_files(spark, sf_dir):
     return R.match_files(files)
 
 
+_LINES = lambda x: f"array_to_string(list_transform(string_split({x}, chr(10)), lambda x: CASE WHEN trim(x) <> '' AND NOT regexp_matches(x, '{_STRUCT}') THEN replace(upper(x), 'ẞ', 'SS') ELSE x END), chr(10))"
+
+
 @query(
-    f"""WITH {BOOK_PAGES}, s AS (SELECT page_no, text, replace(upper('Page ' || page_no), 'ẞ', 'SS') AS t1, array_to_string(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN trim(x) <> '' AND NOT regexp_matches(x, '{_STRUCT}') THEN replace(upper(substring(x, 1, 4500)), 'ẞ', 'SS') ELSE x END), chr(10)) AS b1 FROM book_pages)
- SELECT page_no AS id, 2 AS n_sections, t1 || chr(10) || b1 || chr(10) || chr(10) || 'END' || chr(10) || 'END' AS content_sw, false AS needs_review FROM s"""
+    f"""WITH {BOOK_PAGES}, i AS (SELECT page_no AS id, page_no % 3 AS kind, text, nullif({STRIP('text')}, '') AS body, CASE WHEN page_no % 2 = 0 THEN 'the hand' END AS sw FROM book_pages),
+ s AS (SELECT id, kind, text, CASE WHEN kind = 0 THEN concat_ws(chr(10) || chr(10), 'PAGE ' || id, {_LINES('body')}) || chr(10) || chr(10) || 'END' WHEN sw IS NOT NULL THEN sw ELSE {_LINES('text')} END AS c FROM i),
+ g AS (SELECT *, regexp_replace(c, '(?i)the', '<T>', 'g') AS g FROM s)
+ SELECT id, CASE WHEN kind = 0 THEN 2 ELSE -1 END AS n_sections, g AS content_sw, coalesce({STRIP('text')}, '') = '' OR coalesce({STRIP('g')}, '') = '' AS needs_review FROM g"""
 )
 def tr_sections(spark, sf_dir):
+    """Every third page in two sections, the others without; some have a translation of their own."""
     pages = book_pages(spark, sf_dir)
     part = lambda t, b: F.struct(t.alias("title"), b.alias("body"))
-    its = pages.select(F.col("page_no").alias("id"), F.col("text").alias("content_en"), F.array(part(F.concat(F.lit("Page "), F.col("page_no")), F.col("text")), part(F.lit("End"), F.lit("end"))).alias("sections"))
-    return R.translate_sections(its, shout).select("id", F.size("sections_sw").alias("n_sections"), "content_sw", "needs_review")
+    own = F.when(F.col("page_no") % 3 == 0, F.array(part(F.concat(F.lit("Page "), F.col("page_no")), F.col("text")), part(F.lit(""), F.lit("end")))).otherwise(F.when(F.col("page_no") % 3 == 1, F.array().cast("array<struct<title:string,body:string>>")))
+    its = pages.select(F.col("page_no").alias("id"), F.col("text").alias("content_en"), F.when(F.col("page_no") % 2 == 0, F.lit("the hand")).alias("content_sw"), own.alias("sections"), F.lit(True).alias("needs_review"))
+    done = R.translate_sections(its, shout, [("the", "<T>")])
+    return done.select("id", F.when(F.col("sections_sw").isNull(), -1).otherwise(F.size("sections_sw")).alias("n_sections"), "content_sw", "needs_review")
 
 
-@query(f"WITH {_WORK} SELECT id, content_sw FROM (SELECT * FROM work ORDER BY doc_id LIMIT 50) WHERE NOT {_BLANK('content_sw')}")
+@query(f"WITH {_WORK} SELECT id, content_sw, replace(upper(content_sw), 'ẞ', 'SS') AS back FROM (SELECT * FROM work ORDER BY doc_id LIMIT 50) WHERE NOT {_BLANK('content_sw')}")
 def tr_backcheck_sample(spark, sf_dir):
-    return R.backcheck_sample(work(spark, sf_dir), "doc_id").select("id", "content_sw")
+    return R.backcheck(work(spark, sf_dir), "doc_id", shout).select("id", "content_sw", "back")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, MapType, StringType, StructField, StructType
@@ -60,7 +62,7 @@ def read_synonyms(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     falls back to the English ones."""
     out = None
     for lang, path in paths.items():
-        rows = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", MapType(_S, ArrayType(_S)))).alias("term", "alts"))
+        rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", MapType(_S, ArrayType(_S)))).alias("term", "alts"))
         rows = rows.select(F.lit(lang).alias("lang"), F.lower(F.trim("term")).alias("term"), F.posexplode("alts").alias("place", "alt")).withColumn("alt", F.lower(F.trim("alt")))
         out = rows if out is None else out.unionByName(rows)
     names = spark.createDataFrame([(k,) for k in paths], "lang string")
@@ -74,23 +76,42 @@ def delimiter(header: str) -> str:
     return max(",;\t", key=header.count)
 
 
+def _tables(spark: SparkSession, path: str) -> list[DataFrame]:
+    """The CSV tables under a path, those with one header line together; each is read by its own delimiter and order of columns."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    first = lines.filter("at = 0").groupBy("file").agg(F.min_by("value", F.monotonically_increasing_id()).alias("head"))
+    heads: dict[str, list[str]] = {}
+    for r in first.collect():  # a header for each file
+        heads.setdefault(r["head"], []).append(r["file"])
+    return [spark.read.options(**STYLE, sep=delimiter(head)).csv(sorted(files)) for head, files in sorted(heads.items()) if head.strip()]
+
+
+def _by_name(rows: DataFrame) -> Callable[[str], Column]:
+    """A column by its name in any case or style, with or without a byte order mark; null where there is none."""
+    named = {c.lstrip("\ufeff").strip().lower().replace("_", ""): c for c in rows.columns}
+    return lambda k: F.col(f"`{named[k]}`") if k in named else F.lit(None).cast("string")
+
+
 def read_translation_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(id, title, content_sw, source_file) of rows with an id and a text; header names in any case or style, with or without
-    a byte order mark; a missing title is the id. The delimiter comes from one header line."""
-    head = spark.read.text(path).limit(1).collect()
-    sep = delimiter(head[0]["value"] if head else "")
-    rows = spark.read.options(**STYLE, sep=sep).csv(path)
-    named = {c.lstrip("﻿").strip().lower().replace("_", ""): c for c in rows.columns}
-    get = lambda k: F.col(f"`{named[k]}`") if k in named else F.lit(None).cast("string")
-    rows = rows.select(T.blank_to_null(get("id")).alias("id"), T.blank_to_null(get("titlesw") if "titlesw" in named else get("title")).alias("title"), T.blank_to_null(get("contentsw")).alias("content_sw"), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("source_file"))
-    return rows.filter("id IS NOT NULL AND content_sw IS NOT NULL").withColumn("title", F.coalesce("title", "id"))
+    """(id, title, content_sw, source_file) of rows with an id and a text; a missing title is the id. Each file has a delimiter and an order of columns of its own."""
+    out = spark.createDataFrame([], "id string, title string, content_sw string, source_file string")
+    for rows in _tables(spark, path):
+        get = _by_name(rows)
+        name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("source_file")
+        out = out.unionByName(rows.select(T.blank_to_null(get("id")).alias("id"), T.blank_to_null(F.coalesce(get("titlesw"), get("title"))).alias("title"), T.blank_to_null(get("contentsw")).alias("content_sw"), name))
+    return out.filter("id IS NOT NULL AND content_sw IS NOT NULL").withColumn("title", F.coalesce("title", "id"))
 
 
 def read_glossary(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(preserved terms, mapped terms): `preserve` is yes, true or 1 for what is kept as it is."""
-    rows = spark.read.options(**STYLE).schema("en string, sw string, preserve string").csv(path).select(T.blank_to_null("en").alias("en"), T.blank_to_null("sw").alias("sw"), F.lower(F.trim(F.coalesce("preserve", F.lit("")))).isin("yes", "true", "1").alias("keep"))
+    """(preserved terms, mapped terms), columns taken by name: `preserve` is yes, true or 1 for what is kept as it is; a term with a translation is
+    mapped, preserved or not."""
+    rows = spark.createDataFrame([], "en string, sw string, keep boolean")
+    for part in _tables(spark, path):
+        get = _by_name(part)
+        keep = F.lower(F.trim(F.coalesce(get("preserve"), F.lit("")))).isin("yes", "true", "1")
+        rows = rows.unionByName(part.select(T.blank_to_null(get("en")).alias("en"), T.blank_to_null(get("sw")).alias("sw"), keep.alias("keep")))
     rows = rows.filter("en IS NOT NULL")
-    return rows.filter("keep").select("en"), rows.filter("NOT keep AND sw IS NOT NULL").select("en", "sw")
+    return rows.filter("keep").select("en").distinct(), rows.filter("sw IS NOT NULL").select("en", "sw")
 
 
 def read_events(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:

@@ -20,6 +20,25 @@ GAP_WORDS = {
     "habitat": "where found|habitat|inapatikana|hukua",
 }
 FALLBACK_IMAGES = {"herb": "images/fallback-herb.jpg", "disease": "images/fallback-disease.jpg", "principle": "images/fallback-principle.jpg"}
+#: Fixed: the documented shape of an item.
+ITEM_SCHEMA = {
+    "type": "object",
+    "required": ["id", "title"],
+    "properties": {
+        "id": {"type": "string", "minLength": 3},
+        "title": {"type": "string", "minLength": 2},
+        "contentEn": {"type": "string"},
+        "contentSw": {"type": "string"},
+        "tags": {"type": "array", "items": {"type": "string"}},
+        "image": {"type": "string"},
+        "imageMeta": {"type": "object"},
+        "category": {"type": "string"},
+        "source": {"type": "string"},
+        "needsReview": {"type": "boolean"},
+        "missingFields": {"type": "array", "items": {"type": "string"}},
+    },
+    "additionalProperties": True,
+}
 HELPER_FILES = ("synonyms.json", "sw_import.json")
 SKIP_IDS = ("principle-section-0",)
 
@@ -41,17 +60,6 @@ def item_errors(items: DataFrame) -> DataFrame:
     return items.select("id", F.explode(faults).alias("error"))
 
 
-def schema_errors(items: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """(id, rule) for each rule, a boolean column, that an item breaks; a null outcome counts as broken."""
-    broken = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))
-    return items.select("id", F.explode(broken).alias("rule"))
-
-
-def schema_rules() -> dict[str, Column]:
-    """The documented minimum lengths and types of an item."""
-    return {"id length": F.length("id") >= 3, "title length": F.length("title") >= 2, "content type": F.coalesce(F.length("content_en"), F.lit(0)) >= 0, "image form": F.col("image").isNull() | F.col("image").rlike(r"\.(jpg|png|webp)$")}
-
-
 def duplicate_ids(items: DataFrame, key: str = "id", order: tuple[str, ...] = ("source_file",), by: tuple[str, ...] = ()) -> DataFrame:
     """Ids seen more than once over all files and languages, how often, and where first. Only keys are shuffled. `by`, for
     instance the language, counts ids apart."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import json_schema as J
 from ..operators import quality as Q
 from .inputs import ITEMS, documents, items, table
 from .registry import query
@@ -36,11 +37,34 @@ def qa_validate_items(spark, sf_dir):
     return Q.item_errors(_flawed(spark, sf_dir))
 
 
+def _json_items(spark, sf_dir):
+    """Items as JSON texts, of which some have a value of another type than the schema says, lack a field, or are no JSON."""
+    n, quoted = F.col("doc_id"), lambda c: F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    fields = [
+        F.when(n % 17 > 0, F.concat(F.lit('"id":'), F.when(n % 13 == 0, n.cast("string")).otherwise(quoted(F.when(n % 29 == 0, F.lit("x")).otherwise(F.col("id")))))),
+        F.concat(F.lit('"title":'), quoted("title")),
+        F.concat(F.lit('"contentEn":'), F.coalesce(quoted("content_en"), F.lit("null"))),
+        F.concat(F.lit('"tags":'), F.when(n % 5 == 0, quoted("source_file")).when(n % 7 == 0, F.lit('["a",1,null]')).otherwise(F.lit('["a","b"]'))),
+        F.concat(F.lit('"needsReview":'), F.when(n % 11 == 0, F.lit('"yes"')).otherwise(F.lit("true"))),
+        F.concat(F.lit('"imageMeta":'), F.when(n % 19 == 0, F.lit("[]")).otherwise(F.lit('{"width":3}'))),
+        F.lit('"more":{"a":[1,2]}'),
+    ]
+    whole = F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
+    return items(spark, sf_dir).select("doc_id", F.when(n % 31 == 0, F.lit("{no json")).when(n % 37 == 0, F.lit("[1]")).otherwise(whole).alias("json"))
+
+
+_JSON_ERRORS = """[CASE WHEN doc_id % 17 = 0 THEN ('id', 'required') WHEN doc_id % 13 = 0 THEN ('id', 'type string') WHEN doc_id % 29 = 0 OR length(id) < 3 THEN ('id', 'minLength 3') END,
+ CASE WHEN title IS NULL THEN ('title', 'type string') WHEN length(title) < 2 THEN ('title', 'minLength 2') END, CASE WHEN content_en IS NULL THEN ('contentEn', 'type string') END,
+ CASE WHEN doc_id % 5 = 0 THEN ('tags', 'type array') WHEN doc_id % 7 = 0 THEN ('tags[1]', 'type string') END, CASE WHEN doc_id % 5 > 0 AND doc_id % 7 = 0 THEN ('tags[2]', 'type string') END,
+ CASE WHEN doc_id % 11 = 0 THEN ('needsReview', 'type boolean') END, CASE WHEN doc_id % 19 = 0 THEN ('imageMeta', 'type object') END]"""
+
+
 @query(
-    f"""WITH {_FLAWED}, e AS (SELECT id, unnest([CASE WHEN length(id) < 3 THEN 'id length' END, CASE WHEN coalesce(length(title), 0) < 2 THEN 'title length' END]) AS rule FROM flawed) SELECT * FROM e WHERE rule IS NOT NULL"""
+    f"""WITH {ITEMS}, e AS (SELECT doc_id, unnest(CASE WHEN doc_id % 31 = 0 THEN [('', 'json')] WHEN doc_id % 37 = 0 THEN [('', 'type object')] ELSE {_JSON_ERRORS} END) AS e FROM items)
+ SELECT doc_id, e[1] AS path, e[2] AS rule FROM e WHERE e IS NOT NULL"""
 )
 def qa_schema_check(spark, sf_dir):
-    return Q.schema_errors(_flawed(spark, sf_dir), Q.schema_rules())
+    return J.schema_errors(_json_items(spark, sf_dir), Q.ITEM_SCHEMA)
 
 
 @query(f"WITH {_FLAWED}, s AS (SELECT regexp_extract(title, '^[A-Za-z]*') AS id, source_file, doc_id FROM flawed) SELECT id, count(*) AS n, arg_min(source_file, (source_file, doc_id)) AS first_source_file, arg_min(doc_id, (source_file, doc_id)) AS first_doc_id FROM (SELECT id, source_file, doc_id FROM s) GROUP BY id HAVING count(*) > 1")
@@ -49,11 +73,20 @@ def qa_duplicate_ids(spark, sf_dir):
     return Q.duplicate_ids(named, order=("source_file", "doc_id"))
 
 
-@query("SELECT event_id, try_cast(props AS JSON) IS NOT NULL AND json_type(json_extract(props, '$.k')) IN ('BIGINT', 'UBIGINT') AS ok FROM events")
+_WORDS = "list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+')[1:3], lambda x: lower(x))"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), e AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'no JSON' WHEN doc_id % 7 = 0 THEN 'no object' WHEN doc_id % 5 = 0 THEN 'not a list' WHEN doc_id % 3 = 0 THEN 'not texts' END AS error, coalesce(w[1], 'none') AS term FROM d)
+ SELECT doc_id, CASE WHEN error IN ('not a list', 'not texts') THEN term END AS term, error FROM e WHERE error IS NOT NULL"""
+)
 def qa_synonyms_check(spark, sf_dir):
-    """The check reads a JSON map against its type; here the map of an event, whose values must be whole numbers."""
-    parsed = F.from_json("props", "map<string, bigint>", {"mode": "PERMISSIVE"})
-    return table(spark, sf_dir, "events").select("event_id", (parsed.isNotNull() & F.forall(F.map_values(parsed), lambda v: v.isNotNull())).alias("ok"))
+    """Synonym files made of the first words of each document, of which some are not what they should be."""
+    n, w = F.col("doc_id"), F.transform(F.slice(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0)), 1, 3), F.lower)
+    rows = documents(spark, sf_dir).select("doc_id", F.coalesce(F.get(w, F.lit(0)), F.lit("none")).alias("term"), F.to_json(w).alias("list"))
+    value = F.when(n % 5 == 0, F.lit('"text"')).when(n % 3 == 0, F.lit('["text",{"a":1}]')).otherwise(F.col("list"))
+    whole = F.concat(F.lit('{"'), "term", F.lit('":'), value, F.lit(',"zz zz":["a","b c"]}'))
+    return J.synonym_errors(rows.select("doc_id", F.when(n % 11 == 0, F.lit("{")).when(n % 7 == 0, F.col("list")).otherwise(whole).alias("json")))
 
 
 def _lacks(k: str) -> str:

@@ -198,6 +198,41 @@ def ac_windows_stream(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out").groupBy("start", "end", "event_type").agg(F.max_by("n", "batch").alias("n")).select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "event_type", "n")
 
 
+def _run_through(spark, name: str, rows: DataFrame, after: str, run) -> DataFrame:
+    """The whole table as a stream of several batches in the order of time, then a closing event, until all has come out."""
+    folder = f"{_scratch(spark)}-{name}"
+    rows.repartitionByRange(6, "ts").sortWithinPartitions("ts").write.parquet(f"{folder}/in")
+    out = None
+    for step in range(2):
+        query = run(S.read_events(spark, f"{folder}/in", rows.schema, 2)).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append")
+        query.trigger(availableNow=True).start().awaitTermination()
+        if step == 0:
+            S.closing(rows, after).write.mode("append").parquet(f"{folder}/in")
+        out = spark.read.parquet(f"{folder}/out")
+    return out
+
+
+@query(ORACLES["ac_debounce"])
+def ac_debounce_stream(spark, sf_dir):
+    rows = activity(spark, sf_dir).select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    out = _run_through(spark, "debounce", rows, "3 DAYS", lambda s: S.debounced(s, 3_600_000, "1 day"))
+    return out.filter("user_id IS NOT NULL").select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query(ORACLES["ac_throttle"])
+def ac_throttle_stream(spark, sf_dir):
+    rows = activity(spark, sf_dir).select("user_id", "article_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "percent")
+    before = {k: spark.conf.get(k) for k in S.STATE_STORE}
+    try:
+        for k, v in S.STATE_STORE.items():
+            spark.conf.set(k, v)
+        out = _run_through(spark, "throttle", rows, "3 DAYS", lambda s: S.throttled(s, 0.25, 36_000_000, 1000, "1 day"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    return out.filter("user_id IS NOT NULL").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 @query(f"WITH {_UPDATES} SELECT user_id, article_id, arg_max(percent, (ts, event_id)) FILTER (percent IS NOT NULL) AS percent, max(ts) AS updated_at FROM updates GROUP BY ALL")
 def ac_progress_stream(spark, sf_dir):
     rows = updates(spark, sf_dir).select("user_id", "article_id", "ts", "event_id", "percent")

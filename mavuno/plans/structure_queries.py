@@ -8,7 +8,7 @@ from ..operators import structure as S
 from ..operators.ordered import numbered
 from .inputs import BOOK, BOOK_PAGES, ITEMS, book_lines, book_pages, documents, items
 from .registry import ORACLES, query
-from .text_queries import _BLOCK, SQUASH, STRIP
+from .text_queries import LEAD, _BLOCK, SQUASH, STRIP
 
 _CAPS = lambda x: f"length(regexp_replace({x}, '[^A-Z]', '', 'g')) / greatest(length(regexp_replace({x}, '[^A-Za-z]', '', 'g')), 1)"
 _N = lambda x: f"length(regexp_replace({x}, '[^A-Za-z]', '', 'g'))"
@@ -185,13 +185,12 @@ _CHILD = r"(?s)^\s*(\d+)\s*[-–]\s*([A-Z][A-Z\s]+)[—-]?\s*(.*)$"
  s AS (SELECT *, 'herb-' || regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM n),
  i AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY slug ORDER BY parent_id, pos) > 1 THEN slug || '-' || substring(md5(title), 1, 6) ELSE slug END AS id FROM s)
  SELECT id, parent_id, title, body, '' AS children FROM i UNION ALL
- SELECT p.parent_id, NULL, 'List', 'x', string_agg(i.id, ',' ORDER BY pos) FROM i JOIN (SELECT DISTINCT parent_id FROM i) p USING (parent_id) GROUP BY p.parent_id"""
+ SELECT p.parent_id, NULL, 'List', any_value(p.lead), string_agg(i.id, ',' ORDER BY pos) FROM i JOIN (SELECT 'herb-list-' || doc_id AS parent_id, {LEAD} AS lead FROM (SELECT doc_id, '1 - GINGER— ' || text || ' 2 - WILD MINT— ' || text AS text FROM documents)) p USING (parent_id) GROUP BY p.parent_id"""
 )
 def st_split_children(spark, sf_dir):
     names = F.concat(F.lit("1 - GINGER— "), F.col("text"), F.lit(" 2 - WILD MINT— "), F.col("text"))
     d = documents(spark, sf_dir).select(F.concat(F.lit("herb-list-"), F.col("doc_id")).alias("id"), F.lit("List").alias("title"), names.alias("content_en"))
-    split = S.split_children(d)
-    return split.withColumn("body", F.when(F.col("parent_id").isNull(), F.lit("x")).otherwise(F.col("body")))
+    return S.split_children(d)
 
 
 _BARE = rf"regexp_replace(lower({STRIP('line')}), '^(?:\d+[\).\s-]+|[-–—•]\s*)', '')"

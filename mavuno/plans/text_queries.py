@@ -94,7 +94,10 @@ def _first(n: int) -> str:
     return rf"({s}) || CASE WHEN length({s}) < length({_ONE}) THEN '…' ELSE '' END"
 
 
-@query(rf"SELECT doc_id, {_first(160)} AS lead, {_first(120)} AS clue FROM documents")
+LEAD = _first(160)  # of a column named text
+
+
+@query(rf"SELECT doc_id, {LEAD} AS lead, {_first(120)} AS clue FROM documents")
 def tx_first_sentence(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.first_sentence("text").alias("lead"), T.first_sentence("text", 120).alias("clue"))
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 from pyspark.sql.types import StructType
 
 from ..operators.activity import accepted
@@ -21,51 +21,148 @@ def read_events(spark: SparkSession, path: str, schema: StructType | str, files_
 
 
 def debounced(inputs: DataFrame, millis: int = 150, late: str = "10 minutes") -> DataFrame:
-    """(user_id, ts, query): the last input of each session of inputs less than `millis` apart, once the watermark has passed."""
+    """(user_id, ts, event_id): the last input of each session of inputs less than `millis` apart, once the watermark has passed. In append
+    mode a session comes out once, so the last ones wait for later events; `closing` gives a stream such."""
     w = F.session_window("ts", f"{millis} milliseconds")
-    last = inputs.withWatermark("ts", late).groupBy("user_id", w.alias("w")).agg(F.max_by("query", "ts").alias("query"), F.max("ts").alias("ts"))
-    return last.select("user_id", "ts", "query")
-
-
-def throttled(positions: DataFrame, step: float = 0.05, millis: int = 1500, late: str = "10 minutes", forget: str = "1 hour") -> DataFrame:
-    """(user_id, article_id, ts, percent) of accepted positions. The state of a user and article is the last accepted position;
-    it is dropped when event time has gone on by `forget` without another."""
-
-    def walk(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = tuple(state.get) if state.exists else None
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "event_id"], ignore_index=True)
-        ms = rows["ts"].to_numpy("datetime64[ms]").astype(np.int64)
-        take, last = accepted(ms, rows["percent"].to_numpy(), last, step, millis)
-        state.update((int(last[0]), float(last[1])))
-        state.setTimeoutTimestamp(max(int(last[0]), state.getCurrentWatermarkMs()) + int(pd.Timedelta(forget).total_seconds() * 1000))
-        kept = rows[take]
-        yield pd.DataFrame({"user_id": key[0], "article_id": key[1], "ts": kept["ts"], "percent": kept["percent"]})
-
-    return (
-        positions.withWatermark("ts", late)
-        .groupBy("user_id", "article_id")
-        .applyInPandasWithState(walk, "user_id long, article_id string, ts timestamp, percent double", "at long, percent double", "append", GroupStateTimeout.EventTimeTimeout)
-    )
-
-
-def upsert_progress(updates: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep per user and article the last update in a parquet table at path/batch=N, a folder a micro-batch: each
-    row has the last percent of its batch and when it was told, which need not be when the last update came. A batch that
-    is run again after a failure overwrites its own folder, so nothing counts twice."""
+    last = inputs.withWatermark("ts", late).groupBy("user_id", w.alias("w")).agg(F.max(F.struct("ts", "event_id")).alias("last"))
+    return last.select("user_id", "last.ts", "last.event_id")
+
+
+def closing(events: DataFrame, after: str) -> DataFrame:
+    """One event of no user, `after` the last of a finished log: a stream that reads it passes the watermark over all the others."""
+    last = events.agg((F.max("ts") + F.expr(f"INTERVAL {after}")).alias("ts")).filter("ts IS NOT NULL")
+    return last.select(*[(F.col("ts") if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema])
+
+
+class _Throttle(StatefulProcessor):
+    """Reading positions of one user and article. Positions wait until the watermark has passed them, so that they are taken in the order
+    of time, whatever order they came in; an accepted one waits for its delayed write."""
+
+    def __init__(self, step: float, millis: int, settle: int):
+        self.step, self.millis, self.settle = step, millis, settle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long, event_id long, percent double")
+        self.last = handle.getValueState("last", "ms long, percent double")
+        self.pending = handle.getValueState("pending", "us long, event_id long, percent double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            us = batch["ts"].to_numpy("datetime64[us]").astype(np.int64)
+            self.waiting.appendList([(int(t), 0 if pd.isna(e) else int(e), float("nan") if pd.isna(p) else float(p)) for t, e, p in zip(us, batch["event_id"], batch["percent"], strict=True)])
+            self.handle.registerTimer(int(us.min()) // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(self.waiting.get())
+        ready, rest = [r for r in rows if r[0] < passed], [r for r in rows if r[0] >= passed]
+        pending = self.pending.get() if self.pending.exists() else None
+        last = tuple(self.last.get()) if self.last.exists() else None
+        out = []
+        for us, event_id, percent in ready:
+            take, last = accepted(np.array([us // 1000]), np.array([percent]), last, self.step, self.millis)
+            if take[0]:
+                if pending is not None:
+                    out.append((*pending, us - pending[0] > self.settle * 1000))
+                pending = (us, event_id, percent)
+        if pending is not None and pending[0] + self.settle * 1000 < passed and not (rest and rest[0][0] <= pending[0] + self.settle * 1000):
+            out.append((*pending, True))
+            pending = None
+        self.waiting.clear()
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(rest[0][0] // 1000 + 1)
+        if last is not None:
+            self.last.update((int(last[0]), float(last[1])))
+        if pending is None:
+            self.pending.clear()
+        else:
+            self.pending.update(tuple(pending))
+            self.handle.registerTimer(pending[0] // 1000 + self.settle + 1)
+        if out:
+            yield pd.DataFrame({"user_id": key[0], "article_id": key[1], "ts": [pd.Timestamp(r[0], unit="us") for r in out], "event_id": [r[1] for r in out], "percent": [r[2] for r in out], "written": [r[3] for r in out]})
+
+    def close(self) -> None:
+        pass
+
+
+#: What `throttled` needs of a session: a state store that keeps several states for a key.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def throttled(positions: DataFrame, step: float = 0.05, millis: int = 1500, settle: int = 250, late: str = "10 minutes") -> DataFrame:
+    """(user_id, article_id, ts, event_id, percent, written) as by `operators.activity.throttle`: accepted positions, once it is known whether
+    each is written `settle` milliseconds later or another was accepted before. Needs STATE_STORE. The state of a user and article holds what the
+    watermark has not passed, the last accepted position and the write that is due, which a timer lets out."""
+    rows = positions.select("user_id", "article_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "percent").withWatermark("ts", late)
+    schema = "user_id long, article_id string, ts timestamp, event_id long, percent double, written boolean"
+    return rows.groupBy("user_id", "article_id").transformWithStateInPandas(_Throttle(step, millis, settle), schema, "append", "eventTime")
+
+
+COMPACT = 8  # micro-batches after which what they wrote is put together
+
+
+def _folders(spark: SparkSession, path: str, name: str) -> list[int]:
+    """The numbers of the complete folders path/name=N."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(root):
+        return []
+    found = [x.getPath() for x in system.listStatus(root) if x.getPath().getName().startswith(f"{name}=")]
+    return sorted(int(x.getName().split("=")[1]) for x in found if system.exists(jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS")))
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
+
+
+def _stored(spark: SparkSession, path: str, up_to: int | None = None) -> DataFrame | None:
+    """The latest base and the batches after it, as far as `up_to`."""
+    bases = [n for n in _folders(spark, path, "base") if up_to is None or n <= up_to]
+    base = bases[-1] if bases else -1
+    parts = [f"{path}/base={base}"] if bases else []
+    parts += [f"{path}/batch={n}" for n in _folders(spark, path, "batch") if n > base and (up_to is None or n <= up_to)]
+    if not parts:
+        return None
+    rows = spark.read.schema("user_id long, article_id string, percent double, percent_at struct<ts:timestamp_ntz,event_id:bigint>, updated_at timestamp_ntz").parquet(*parts)
+    return rows.groupBy("user_id", "article_id").agg(F.max_by("percent", "percent_at").alias("percent"), F.max("percent_at").alias("percent_at"), F.max("updated_at").alias("updated_at"))
+
+
+def upsert_progress(updates: DataFrame, path: str, checkpoint: str, compact: int = COMPACT) -> StreamingQuery:
+    """Keep per user and article the last update: each micro-batch writes its own last percents, and when they were told, to path/batch=N; every
+    `compact` batches they are put together with what was there in path/base=N, and older folders go. So the folders are
+    bounded however long the stream runs.
+
+    A batch that is run again after a failure overwrites its own folder, or, if a base holds it, does nothing; a base
+    that was not finished is written anew. Nothing counts twice.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        at = F.struct("ts", "event_id")
-        told = F.when(F.col("percent").isNotNull(), at)
-        last = batch.groupBy("user_id", "article_id").agg(F.max_by("percent", told).alias("percent"), F.max(told).alias("percent_at"), F.max("ts").alias("updated_at"))
-        last.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        spark = batch.sparkSession
+        bases = _folders(spark, path, "base")
+        if not bases or bases[-1] < number:
+            at = F.struct(F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("event_id").cast("long").alias("event_id"))
+            told = F.when(F.col("percent").isNotNull(), at)
+            last = batch.groupBy("user_id", "article_id").agg(F.max_by("percent", told).alias("percent"), F.max(told).alias("percent_at"), F.max("ts").cast("timestamp_ntz").alias("updated_at"))
+            last.write.mode("overwrite").parquet(f"{path}/batch={number}")
+            if (number + 1) % compact == 0:
+                _stored(spark, path, number).write.mode("overwrite").parquet(f"{path}/base={number}")
+                bases = _folders(spark, path, "base")
+        for name in ("base", "batch"):  # what the latest base holds; a batch that reads at this moment may have to read again
+            for n in _folders(spark, path, name):
+                if bases and (n < bases[-1] or name == "batch" and n <= bases[-1]):
+                    _remove(spark, f"{path}/{name}={n}")
 
     return updates.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def merged_progress(spark: SparkSession, path: str) -> DataFrame:
     """The table that upsert_progress keeps, as of now."""
-    rows = spark.read.parquet(path)
-    return rows.groupBy("user_id", "article_id").agg(F.max_by("percent", "percent_at").alias("percent"), F.max("updated_at").alias("updated_at"))
+    found = _stored(spark, path)
+    if found is None:
+        return spark.createDataFrame([], "user_id long, article_id string, percent double, updated_at timestamp_ntz")
+    return found.drop("percent_at")

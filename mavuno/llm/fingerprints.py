@@ -100,7 +100,7 @@ def chained(docs: DataFrame) -> DataFrame:
     place = lambda r, guest: F.struct(r.alias("range"), F.lit(guest).alias("guest"))
     also = []
     if cuts.cuts:
-        starts = F.coalesce(cuts.number(F.col("doc_id")) > cuts.number(F.col("doc_id") - 1), F.lit(False))
+        starts = F.coalesce(cuts.number(F.col("doc_id")) > cuts.number(F.try_subtract("doc_id", F.lit(1))), F.lit(False))
         also.append(F.when(starts, place(F.col("_number") - 1, True)))
     if cuts.first is not None:
         also.append(F.when(F.col("doc_id") == cuts.first, place(F.lit(last), True)))

@@ -19,7 +19,6 @@ TABLES = 32  # substrings of a code, each indexed
 REACH = 0.98  # share of the sample's true neighbours that the radius must hold, and that probing must meet; more rows only bring them nearer
 UNSURE = 8  # bits of a substring that further probes flip
 CHUNK = 4096  # rows of a bucket that one task holds
-NEAREST = 64  # within a bucket's chunk the radius shrinks to where so many codes lie within, ties included
 QUERIES = 4096  # queries of a block that is compared with all rows
 
 
@@ -79,9 +78,18 @@ class Codes:
 
 
 def _units(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1."""
+    x = _scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings the largest component to about 1: cosines stay the same to the last bit, and squares of very small
+    or large components stay within the range of doubles."""
+    most = np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]
+    return np.ldexp(np.ldexp(x, -(most // 2)), most // 2 - most)
+
+
 def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32)
 
@@ -135,19 +143,15 @@ def met(bucket: np.ndarray, asks: np.ndarray, packed: np.ndarray, radius: int, a
         row = np.repeat(first[asking[step:upto]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         away = hamming(packed[q], packed[row])
         within = away <= radius
-        q, row, away = q[within], row[within], away[within]
-        which, starts, found = np.unique(q, return_index=True, return_counts=True)
-        keep = np.ones(len(q), bool)
-        for i in np.flatnonzero(found > NEAREST):
-            part = slice(starts[i], starts[i] + found[i])
-            keep[part] = away[part] <= np.partition(away[part], NEAREST - 1)[NEAREST - 1]
-        out.append((q[keep], row[keep]))
+        q, row = q[within], row[within]
+        out.append((q, row))
         step = upto
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row-wise cosines in double precision, with the same order of operations for every row."""
+    a, b = _scaled(np.atleast_2d(a)), _scaled(np.atleast_2d(b))
     return (b * a).sum(axis=-1) / (np.sqrt((a * a).sum(axis=-1)) * np.sqrt((b * b).sum(axis=-1)))
 
 

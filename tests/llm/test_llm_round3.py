@@ -263,3 +263,15 @@ def test_lanes_part_every_queue():
             where.append(j)
         assert at == total and where == sorted(where)
     assert int(lanes.lanes.sum()) <= 64
+
+
+def test_edge_values_of_ids_and_vectors(spark):
+    from mavuno.llm import ann, fingerprints
+
+    least = -(1 << 63)
+    docs = spark.createDataFrame([(least, "one two three"), (5, "four five"), ((1 << 63) - 1, "six")] + [(i, f"text {i}") for i in range(100, 160)], "doc_id long, text string")
+    assert fingerprints.chained(docs).count() == 63
+    rows = [(0, [1e-170, 2e-170]), (1, [1e-170, 2.0000001e-170]), (2, [3.0, 1.0]), (3, [1e300, 1e300]), (50, [5e-324, 0.0])]
+    got = ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+    scores = {(r["query_id"], r["vec_id"]): r["score"] for r in got}
+    assert len(scores) == 8 and abs(scores[0, 1] - 1) < 1e-9 and abs(scores[0, 3] - 3 / math.sqrt(10)) < 1e-12 and scores[50, 3] == pytest.approx(math.sqrt(0.5))

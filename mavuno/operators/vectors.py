@@ -133,21 +133,23 @@ class _Nearest:
         yield from out.to_batches(max_chunksize=65_536)
 
 
-def _bands(norms: DataFrame, rows_each: int, bands_each: int = 8) -> tuple[DataFrame, list[tuple[int, int]]]:
-    """Blocks of rows with about equal norms, the longest vectors first: (norms with `block`, [(band, blocks up to its end)]).
+def _bands(norms: DataFrame, rows_each: int, bands_each: int = 8) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+    """Blocks of rows with about equal norms, the longest vectors first: (norms with `block`, [(band, blocks up to its end, rows up to its end)]).
 
     A band holds the norms between two powers of 2 ** (1 / bands_each), so there are few at any size of the table.
     """
     band = F.coalesce(F.floor(F.log2(F.when(F.col("norm") > 0, F.col("norm"))) * bands_each), F.lit(-10_000)).cast("int")
     rows = norms.withColumn("band", band)
-    counts = sorted(((r["band"], -(-r["count"] // rows_each)) for r in rows.groupBy("band").count().collect()), reverse=True)
-    starts, done = [], 0
-    for b, n in counts:
+    counts = sorted(((r["band"], r["count"]) for r in rows.groupBy("band").count().collect()), reverse=True)  # a row for each band
+    starts, ends, done, seen = [], [], 0, 0
+    for b, count in counts:
+        n = -(-count // rows_each)
         starts.append((b, done, n))
-        done += n
+        done, seen = done + n, seen + count
+        ends.append((b, done, seen))
     told = F.broadcast(norms.sparkSession.createDataFrame(starts, "band int, _start long, _n long"))  # a row for each band
     rows = rows.join(told, "band").withColumn("block", F.col("_start") + F.pmod(F.xxhash64("id"), F.col("_n"))).drop("band", "_start", "_n", "norm")
-    return rows, [(b, start + n) for b, start, n in starts]
+    return rows, ends
 
 
 def top_k(index: DataFrame, queries: DataFrame, k: int, metric: str = "dot", key: str = "id", query_key: str = "query_id", vector: str = "embedding", query_block: int = QUERY_BLOCK, index_block: int = INDEX_BLOCK) -> DataFrame:
@@ -170,17 +172,13 @@ def top_k(index: DataFrame, queries: DataFrame, k: int, metric: str = "dot", key
     def search(asks: DataFrame, rows: DataFrame) -> DataFrame:
         """asks: q, y, qb, from, to (blocks that the query meets); rows: id, x, block."""
         left = asks.withColumn("block", F.explode(F.sequence("from", F.col("to") - 1)))
-        right = rows
-        if q_blocks > 1:
-            reach = asks.groupBy("qb").agg(F.max("to").alias("_to"))  # a row for each block of queries
-            right = right.withColumn("qb", every(q_blocks)).join(reach, "qb").filter(F.col("block") < F.col("_to")).drop("_to")
-        else:
-            right = right.withColumn("qb", F.lit(0).cast("long"))
+        reach = asks.groupBy("qb").agg(F.max("to").alias("_to"))  # a row for each block of queries
+        right = rows.withColumn("qb", every(q_blocks)).join(reach, "qb").filter(F.col("block") < F.col("_to")).drop("_to")
         cell = (F.col("qb") * blocks + F.col("block")).alias("cell")
         return meet(left.select(cell, "q", "y"), right.select(cell, "id", "x"), lambda t: _Nearest(t, k, metric), schema)
 
     order = [F.desc("score"), F.col("id")]
-    first = next((end for _, end in bands if end * index_block >= 4 * k), blocks)
+    first = next((end for _, end, seen in bands if seen >= max(4 * k, index_block)), blocks)
     if metric != "dot" or blocks <= 2 * first:
         found = search(y.withColumn("from", F.lit(0).cast("long")).withColumn("to", F.lit(blocks).cast("long")), x)
     else:
@@ -189,7 +187,7 @@ def top_k(index: DataFrame, queries: DataFrame, k: int, metric: str = "dot", key
         least = some.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
         # the lowest band whose longest vectors reach the score, and the blocks down to it
         span = range(bands[-1][0], bands[0][0] + 1)
-        down_to = {b: max((end for band, end in bands if band >= b), default=0) for b in span}
+        down_to = {b: max((end for band, end, _ in bands if band >= b), default=0) for b in span}
         told = F.broadcast(index.sparkSession.createDataFrame(list(down_to.items()), "band int, to long"))
         need = F.when((F.col("n") < k) | (F.col("least") <= 0) | (norm("y") == 0), bands[-1][0]).otherwise(F.floor(F.log2((F.col("least") - 1e-9) / norm("y")) * 8 - 1e-6))
         asks = y.join(least, "q", "left").withColumn("band", F.least(F.lit(bands[0][0] + 1), F.greatest(F.lit(bands[-1][0]), F.coalesce(need, F.lit(bands[-1][0]))))).withColumn("band", F.col("band").cast("int"))
@@ -246,8 +244,8 @@ def promising(near: DataFrame, queries: DataFrame, meta: DataFrame, weight: floa
     goal = ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_kth"))
     need = F.when(F.col("_n") >= k, (F.col("_kth") - F.col("_last")) / F.lit(weight) - 1e-9).otherwise(F.lit(0.0))
     need = bound.join(goal, "query_id", "left").select("query_id", F.coalesce(need, F.lit(0.0)).alias("_need"))
-    parts = [F.transform(T.tokens(c, "hybrid"), lambda t, w=w: F.struct(t.alias("term"), F.lit(w).alias("w"))) for c, w in _fields(F.col("title"), F.col("id"), F.col("title_sw"), F.col("aliases_sw"))]
-    one = F.explode(F.concat(*[F.coalesce(F.array_distinct(p), F.array().cast("array<struct<term:string,w:double>>")) for p in parts]))
+    weighed = lambda w: lambda t: F.struct(t.alias("term"), F.lit(w).alias("w"))
+    one = F.explode(F.concat(*[F.transform(T.tokens(c, "hybrid"), weighed(w)) for c, w in _fields(F.col("title"), F.col("id"), F.col("title_sw"), F.col("aliases_sw"))]))
     postings = meta.select("id", one.alias("p")).groupBy("p.term", "id").agg(F.sum("p.w").alias("w"))
     asked = queries.select("query_id", T.tokens("query", "hybrid").alias("_t")).select("query_id", F.size("_t").alias("_size"), F.explode("_t").alias("term"))
     words = postings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("_df"), F.max("w").alias("_most"))

@@ -198,18 +198,20 @@ def ac_windows_stream(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out").groupBy("start", "end", "event_type").agg(F.max_by("n", "batch").alias("n")).select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "event_type", "n")
 
 
-def _run_through(spark, name: str, rows: DataFrame, after: str, run) -> DataFrame:
-    """The whole table as a stream of several batches in the order of time, then a closing event, until all has come out."""
+def _run_through(spark, name: str, rows: DataFrame, after: str, run, slices: int = 3) -> DataFrame:
+    """The whole table as a log that grows in the order of time, by some slices and a closing event; the stream goes on from its
+    checkpoint after each."""
     folder = f"{_scratch(spark)}-{name}"
-    rows.repartitionByRange(6, "ts").sortWithinPartitions("ts").write.parquet(f"{folder}/in")
-    out = None
-    for step in range(2):
-        query = run(S.read_events(spark, f"{folder}/in", rows.schema, 2)).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append")
-        query.trigger(availableNow=True).start().awaitTermination()
-        if step == 0:
-            S.closing(rows, after).write.mode("append").parquet(f"{folder}/in")
-        out = spark.read.parquet(f"{folder}/out")
-    return out
+    cuts = rows.agg(F.percentile_approx(F.unix_micros("ts"), [i / slices for i in range(1, slices)]).alias("c")).first()["c"] or []
+    number = F.lit(0)
+    for c in cuts:
+        number = number + F.when(F.unix_micros("ts") > c, 1).otherwise(0)
+    parts = [rows.filter(F.coalesce(number, F.lit(0)) == i) for i in range(len(cuts) + 1)]
+    for part in [*parts, S.closing(rows, after)]:
+        part.write.mode("append").parquet(f"{folder}/in")
+        stream = run(S.read_events(spark, f"{folder}/in", rows.schema, 1000)).writeStream.format("parquet").option("path", f"{folder}/out")
+        stream.option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
 
 
 @query(ORACLES["ac_debounce"])

@@ -78,8 +78,8 @@ def delimiter(header: str) -> str:
 
 def _tables(spark: SparkSession, path: str) -> list[DataFrame]:
     """The CSV tables under a path, those with one header line together; each is read by its own delimiter and order of columns."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
-    first = lines.filter("at = 0").groupBy("file").agg(F.min_by("value", F.monotonically_increasing_id()).alias("head"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
+    first = lines.filter("at = 0").groupBy("file").agg(F.min_by("value", "n").alias("head"))
     heads: dict[str, list[str]] = {}
     for r in first.collect():  # a header for each file
         heads.setdefault(r["head"], []).append(r["file"])

@@ -285,9 +285,9 @@ def decide(page: Page, shared: np.ndarray, host: str = "", structure: bool = Tru
     """The texts that stay, and how many blocks each reason decided.
 
     `shared` are the sorted keys (`scoped`) of the repeated runs. 1. Blocks whose words they cover go; what a main element holds is
-    guarded, as copied articles are content. 2. Of the blocks that are left, side parts go, unless `structure` is False. What
-    stands beside a main element, is no side part and repeats nowhere, stays. A page without a main element whose every block is
-    repeated is a copy, and keeps them.
+    guarded, as copied articles are content. 2. Of the blocks that are left, side parts go, and so does what stands
+    beside a main element; with `structure` False they stay, so that the runs alone decide. A page without a main element whose
+    every block is repeated is a copy, and keeps them.
     """
     hashes = scoped(run_hashes(page.stream), host)
     starts = np.zeros(len(page.stream), bool)
@@ -300,7 +300,7 @@ def decide(page: Page, shared: np.ndarray, host: str = "", structure: bool = Tru
         covered = [c and not ok for c, ok in zip(covered, plain, strict=True)]
     kept, why = [], Counter()
     for (main, ok, text, _), gone in zip(page.blocks, covered, strict=True):
-        stays = main or (not gone and (ok or not structure))
+        stays = main or (not gone and (not structure or ok and not page.named))
         why["kept" if stays else "runs" if gone else "structure"] += 1
         if stays:
             kept.append(text)

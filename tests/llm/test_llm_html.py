@@ -74,18 +74,6 @@ def test_the_suffix_array_decides_the_given_pages(spark):
     assert all(x != y for x, y in zip(bare, given, strict=True))
 
 
-def test_runs_decide_beside_a_main_element(spark):
-    page = lambda i, extra="": f"<div><p>{PROMO}</p></div><article><p>Article {i} about {i} things.</p></article><div><p>By author number {i}{extra}</p></div>"
-    rows = [(i, f"https://one.example/{i}", page(i)) for i in range(6)]
-    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[3] == "Article 3 about 3 things. By author number 3"  # what repeats goes, what is unique and no side part stays
-    alone = html_text.main_texts([page(3)], "one.example")[0]
-    assert alone.startswith(PROMO)  # nothing repeats on a single page
-
-
-PROMO = "Read our daily letter with all the best stories of the whole week"
-
-
 def test_run_counts_equal_brute_force():
     rng = np.random.default_rng(7)
     pages = [list(rng.choice(["<p.>", "a", "b"], rng.integers(1, 60))) for _ in range(9)]

@@ -21,11 +21,12 @@ def read_events(spark: SparkSession, path: str, schema: StructType | str, files_
 
 
 def debounced(inputs: DataFrame, millis: int = 150, late: str = "10 minutes") -> DataFrame:
-    """(user_id, ts, event_id): the last input of each session of inputs less than `millis` apart, once the watermark has passed. In append
+    """The last input of each session of a user's inputs less than `millis` apart, with its columns, once the watermark has passed. In append
     mode a session comes out once, so the last ones wait for later events; `closing` gives a stream such."""
     w = F.session_window("ts", f"{millis} milliseconds")
-    last = inputs.withWatermark("ts", late).groupBy("user_id", w.alias("w")).agg(F.max(F.struct("ts", "event_id")).alias("last"))
-    return last.select("user_id", "last.ts", "last.event_id")
+    others = [c for c in inputs.columns if c not in ("user_id", "ts", "event_id")]
+    last = inputs.withWatermark("ts", late).groupBy("user_id", w.alias("w")).agg(F.max(F.struct("ts", "event_id", *others)).alias("last"))
+    return last.select("user_id", "last.*")
 
 
 def closing(events: DataFrame, after: str) -> DataFrame:

@@ -18,14 +18,14 @@ from .common import arrow_batches, cut
 
 WORDS = 3  # words of the longest phrase
 LEAST, PARTS = 10, 50  # occurrences of a candidate; percent of them inside a longer candidate that drop it
-RANGE_BYTES, MOST_RANGES = 8 << 20, 65_536  # of text behind a range of phrases; beyond 512 GB of text ranges grow instead
+RANGE_BYTES, MOST_RANGES = 4 << 20, 65_536  # of text behind a range of phrases; beyond 256 GB of text ranges grow instead
 SAMPLE, DRAWN = 4096, 32  # texts that the cuts between ranges are chosen from, and phrases of each; they decide sizes alone
-AT_ONCE, BYTES_AT_ONCE = 1 << 22, 1 << 26  # words that a task counts before it writes an automaton, and nodes that are united at a time; bytes of these words
+AT_ONCE, BYTES_AT_ONCE = 1 << 20, 1 << 24  # words that a task counts before it writes an automaton, and nodes that are united at a time; bytes of these words
 
 _MARK = b"\xff"  # stands in no UTF-8
 _CLEAN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + _MARK * 10)
 _BLANK = re.compile(rb"[ \t\n]")
-_PIECE = 1 << 22  # bytes of a text that are split at a time
+_PIECE = 1 << 20  # bytes of a text that are split at a time
 
 
 def split_words(raw: bytes) -> Iterator[list[bytes]]:
@@ -165,7 +165,7 @@ def count_phrases(docs: DataFrame, words: int = WORDS, least: int = LEAST, range
             for row in rows:
                 tries.append(automata.unpack(row["automaton"]))
                 waiting += tries[-1].nodes()
-                if waiting > max(AT_ONCE, 2 * tries[0].nodes()):
+                if waiting > max(AT_ONCE, tries[0].nodes()):
                     tries, waiting = [automata.union(tries)], 0
             found = automata.at_least(automata.union(tries), least)
             yield pd.DataFrame({"range": [j], "automaton": [automata.pack(found)]})

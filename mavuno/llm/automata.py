@@ -10,6 +10,7 @@ import pickle
 from bisect import bisect_left
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,13 @@ class Trie:
     def nodes(self) -> int:
         return sum(len(p) for p in self.parent)
 
-    def keys(self, d: int) -> np.ndarray:
-        return self.parent[d].astype(np.int64) << 32 | self.label[d]
+    @cached_property
+    def index(self) -> dict[bytes, int]:
+        return _index(self.words)
+
+    @cached_property
+    def keys(self) -> list[np.ndarray]:
+        return [p.astype(np.int64) << 32 | x for p, x in zip(self.parent, self.label, strict=True)]
 
     def starts(self, d: int) -> np.ndarray:
         """Where the children of each node of depth d start on the next, and their end."""
@@ -54,19 +60,22 @@ class Trie:
 
     def find(self, words: list[bytes], paths: np.ndarray) -> np.ndarray:
         """Nodes of the given paths, whose labels count within `words`; -1 where there is none."""
-        to = _places(words, self.words)
+        to = _places(words, self.index)
         node = np.zeros(len(paths), np.int64)
         for k in range(paths.shape[1]):
             label = to[paths[:, k]] if len(to) else np.full(len(paths), -1)
-            keys, want = self.keys(k), node << 32 | np.maximum(label, 0)
+            keys, want = self.keys[k], node << 32 | np.maximum(label, 0)
             at = np.minimum(np.searchsorted(keys, want), max(0, len(keys) - 1))
             hit = (keys[at] == want) & (label >= 0) & (node >= 0) if len(keys) else np.zeros(len(paths), bool)
             node = np.where(hit, at, -1)
         return node
 
 
-def _places(words: list[bytes], among: list[bytes]) -> np.ndarray:
-    index = {w: i for i, w in enumerate(among)}
+def _index(words: list[bytes]) -> dict[bytes, int]:
+    return {w: i for i, w in enumerate(words)}
+
+
+def _places(words: list[bytes], index: dict[bytes, int]) -> np.ndarray:
     return np.fromiter((index.get(w, -1) for w in words), np.int64, len(words))
 
 
@@ -123,7 +132,8 @@ def union(tries: list[Trie], by: Callable = np.add) -> Trie:
     if len(tries) == 1:
         return tries[0]
     words = sorted(set().union(*[t.words for t in tries]))
-    to = [_places(t.words, words) for t in tries]
+    index = _index(words)  # once for all automata, as there may be many small ones
+    to = [_places(t.words, index) for t in tries]
     nodes: list[np.ndarray] = [np.zeros(1, np.int64) for _ in tries]
     parents, labels, weights = [], [], []
     for d in range(max(t.depth for t in tries)):

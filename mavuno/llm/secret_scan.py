@@ -57,22 +57,40 @@ def _matches(text: Column, pattern: str, needs: Column) -> Column:
     return F.when(needs, some).otherwise(none)
 
 
-def running_sums(values: Column, block: int = 256) -> Column:
-    """Sums of a non-empty array's values up to each place, block by block, so that no long array is copied once a value."""
+def running(values: Column, join, block: int = 256) -> Column:
+    """Sums, maxima or the like (`join`, which has 0 as its neutral value) of a non-empty array's values up to each place, block by
+    block, so that no long array is copied once a value."""
 
     def walk(x: Column, start: Column) -> Column:
-        add = lambda acc, v: _let(acc["at"] + v, lambda at: F.struct(at.alias("at"), F.concat(acc["out"], F.array(at)).alias("out")))
+        add = lambda acc, v: _let(join(acc["at"], v), lambda at: F.struct(at.alias("at"), F.concat(acc["out"], F.array(at)).alias("out")))
         return F.aggregate(x, F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")), add)["out"]
 
-    def sums(v: Column) -> Column:
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int")), lambda k: F.slice(v, k * block + 1, F.lit(block)))
-        return _let(blocks, ends)
+    def blocks(v: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int")), lambda k: F.slice(v, k * block + 1, F.lit(block)))
+        return _let(parts, ends)
 
     def ends(b: Column) -> Column:
-        totals = F.transform(b, lambda x: F.aggregate(x, F.lit(0), lambda acc, v: acc + v))
+        totals = F.transform(b, lambda x: F.aggregate(x, F.lit(0), lambda acc, v: join(acc, v)))
         return _let(walk(totals, F.lit(0)), lambda end: F.flatten(F.transform(b, lambda x, k: walk(x, F.when(k > 0, F.get(end, k - 1)).otherwise(0)))))
 
-    return _let(values, sums)
+    return _let(values, blocks)
+
+
+def running_sums(values: Column) -> Column:
+    return running(values, lambda a, b: a + b)
+
+
+def _outside(spans: Column, base: Column) -> Column:
+    """The spans that lie in none of `base`: those that end behind all base spans that start no later. Both are sorted once."""
+    event = lambda own: lambda x: F.struct(x["s"].alias("s"), F.lit(own).alias("own"), x["e"].alias("e"), x["kind"].alias("kind"))
+    events = F.array_sort(F.concat(F.transform(base, event(False)), F.transform(spans, event(True))))
+
+    def kept(v: Column) -> Column:
+        reach = running(F.transform(v, lambda x: F.when(x["own"], 0).otherwise(x["e"])), F.greatest)
+        return _let(reach, lambda m: F.filter(v, lambda x, i: x["own"] & (F.get(m, i) < x["e"])))
+
+    own = F.transform(_let(events, kept), lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
+    return F.when((F.size(spans) == 0) | (F.size(base) == 0), spans).otherwise(own)
 
 
 _PACKED, _BITS = 12, 5  # counts in a long integer, and bits of each: a window has fewer than 32 characters
@@ -150,8 +168,7 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     while random in df.columns:
         random += "_"
     out = df.withColumn("base", ordered(base)).withColumn(random, _entropy_spans(t))
-    fresh = F.filter(random, lambda x: ~F.exists("base", lambda b: (b["s"] <= x["s"]) & (x["e"] <= b["e"])))
-    return out.withColumn("spans", ordered(F.concat("base", fresh))).drop(random)
+    return out.withColumn("spans", ordered(F.concat("base", _outside(F.col(random), F.col("base"))))).drop(random)
 
 
 def listed(spans: Column | str) -> Column:
@@ -159,18 +176,27 @@ def listed(spans: Column | str) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"], x["e"])), ",")
 
 
+_BLOCK = 1024  # code points of a text's blocks, from which the pieces between spans are cut
+
+
 def redact(df: DataFrame, text: str = "text", spans: str = "spans", mark: str = "[SECRET]") -> DataFrame:
-    """Replace what the spans cover, overlapping ones as one, by `mark`; texts without spans stay as they are."""
+    """Replace what the spans (by start) cover, overlapping ones as one, by `mark`; texts without spans stay as they are.
+
+    Texts are cut into blocks once, and each piece between spans is taken from its blocks, so that the work is linear in a
+    text and its spans."""
     t = F.col(text)
-    done = F.aggregate(
-        F.col(spans),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, x: F.when(x["e"] <= acc["at"], acc).otherwise(
-            F.struct(
-                x["e"].alias("at"),
-                F.when(x["s"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(t, acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))).alias("out"),
-            )
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.lit(2**31 - 1))),
-    )
-    return df.withColumn(text, F.when(F.size(spans) > 0, done).otherwise(t))
+
+    def piece(blocks: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / _BLOCK).cast("int")
+        part = F.array_join(F.slice(blocks, first + 1, F.floor(end / _BLOCK).cast("int") - first + 1), "")
+        return F.when(end > start, F.substring(part, start - first * _BLOCK + 1, end - start)).otherwise("")
+
+    def done(x: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.get(x["m"], i - 1)).otherwise(0)
+        pieces = F.transform(x["v"], lambda v, i: F.when(v["s"] >= before(i), F.concat(piece(x["b"], before(i), v["s"]), F.lit(mark))).otherwise(""))
+        return F.concat(F.array_join(pieces, ""), piece(x["b"], F.element_at(x["m"], -1), F.length(t)))
+
+    blocks = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+    reach = running(F.transform(spans, lambda v: v["e"]), F.greatest)
+    whole = _let(F.struct(F.col(spans).alias("v"), reach.alias("m"), blocks.alias("b")), done)
+    return df.withColumn(text, F.when(F.size(spans) > 0, whole).otherwise(t))

@@ -245,3 +245,39 @@ def test_running_sums(spark):
     rows = [([1],), (list(range(1000)),), ([0] * 256,), ([5] * 257,)]
     for r in spark.createDataFrame(rows, "v array<int>").select("v", secret_scan.running_sums(F.col("v")).alias("s")).collect():
         assert r["s"] == list(itertools.accumulate(r["v"]))
+
+
+def plain_redaction(text, spans):
+    at, out = 0, []
+    for start, end in spans:
+        if end > at:
+            out += [text[at:start], "[SECRET]"] if start >= at else []
+            at = end
+    return "".join(out) + text[at:]
+
+
+def test_redaction_equals_a_plain_one(spark):
+    rng = random.Random(5)
+    rows = []
+    for _ in range(60):
+        text = "".join(rng.choice("ab\U0001f600é\n ") for _ in range(rng.choice([1, 40, 1024, 2048, 5000])))
+        starts = sorted(rng.randrange(len(text)) for _ in range(rng.choice([1, 3, 40])))
+        rows.append((text, [(s, min(len(text), s + rng.choice([1, 5, 60, 1500]))) for s in starts]))
+    df = spark.createDataFrame(rows, "text string, spans array<struct<s:int,e:int>>").withColumn("was", F.col("text"))
+    for r in secret_scan.redact(df).collect():
+        assert r["text"] == plain_redaction(r["was"], [tuple(x) for x in r["spans"]])
+
+
+def test_many_random_spans_beside_many_base_spans_take_linear_time(spark):
+    rng = random.Random(4)
+    key = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(24))
+    text = " ".join(f"{rng.getrandbits(64):016x} {key()} token={key()}" for _ in range(16_000))
+    df = spark.createDataFrame([(text,)], "text string")
+    began = time.perf_counter()
+    found = secret_scan.scan(df).withColumn("was", F.col("text"))
+    row = secret_scan.redact(found).first()
+    assert time.perf_counter() - began < 40
+    assert len(row["base"]) == 32_000 and 40_000 < len(row["spans"]) <= 48_000
+    base = [(b["s"], b["e"]) for b in row["base"]]
+    assert sum(b["kind"].startswith("entropy") for b in row["spans"]) == len(row["spans"]) - len(base)
+    assert row["text"] == plain_redaction(text, [(x["s"], x["e"]) for x in row["spans"]])

@@ -19,20 +19,19 @@ from .common import arrow_batches
 
 LEAF = 512  # characters below which a range is not halved, and ids that are decoded at once
 CACHED = 1 << 18  # ids of so many matches of at most 64 characters are kept by a worker
+SETTLED = 256  # parts up to which a window inside one match grows on a side
 AT_ONCE = 1 << 19  # ids that a worker holds before it passes them on; Python's integers take about 36 bytes each
 
 
-def merged(raw: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one match of the pattern: of all neighbours the pair of least rank is joined, the first of equal ones, until no
-    pair has a rank. For long matches a heap of pairs makes that n log n."""
-    if raw in ranks:
-        return [ranks[raw]]
+def joined_pairs(raw: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """The parts that are left of raw: of all neighbours the pair of least rank is joined, the first of equal ones, until no
+    pair has a rank. From 33 bytes on a heap of pairs makes that n log n."""
     n = len(raw)
     if n <= 32:
         none, get, last = len(ranks) + 1, ranks.get, n - 2
         parts = [raw[i : i + 1] for i in range(n)]
         pairs = [get(raw[i : i + 2], none) for i in range(n - 1)]
-        while (least := min(pairs)) < none:
+        while pairs and (least := min(pairs)) < none:
             i = pairs.index(least)
             part = parts[i] = parts[i] + parts.pop(i + 1)
             del pairs[i]
@@ -40,10 +39,8 @@ def merged(raw: bytes, ranks: dict[bytes, int]) -> list[int]:
                 pairs[i] = get(part + parts[i + 1], none)
             if i:
                 pairs[i - 1] = get(parts[i - 1] + part, none)
-            if not last:
-                break
             last -= 1
-        return [ranks[x] for x in parts]
+        return parts
     end, before, alive = list(range(1, n + 1)), list(range(-1, n)), [True] * n
     heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(raw[i : i + 2])) is not None]
     heapify(heap)
@@ -59,11 +56,47 @@ def merged(raw: bytes, ranks: dict[bytes, int]) -> list[int]:
                 heappush(heap, (r, a, end[end[a]]))
     out, i = [], 0
     while i < n:
-        out.append(ranks[raw[i : end[i]]])
+        out.append(raw[i : end[i]])
         i = end[i]
     return out
 
 
+def tree_parts(raw: bytes, ranks: dict[bytes, int], leaf: int = LEAF) -> list[bytes] | None:
+    """What `joined_pairs` gives, by a tree of halves; None if a border does not settle within SETTLED parts.
+
+    At a border a window of parts on either side is joined anew. What lies outside of it is proven to stay once the window's
+    first and last part stand beside their outer neighbours, that is, if joining the bytes of the two gives these two parts again: a
+    list of parts is the result for its bytes if, and only if, this holds for each two neighbours. For before the first join
+    across a border between parts, the bytes of the two parts beside it are joined in the order in which they would be joined alone, and the
+    pair across the border would be the least there, too. Until then the window grows on the side that does not stand.
+    """
+    if len(raw) <= leaf:
+        return joined_pairs(raw, ranks)
+    half = len(raw) // 2
+    left = tree_parts(raw[:half], ranks, leaf)
+    right = tree_parts(raw[half:], ranks, leaf) if left else None
+    if not left or not right:
+        return None
+    i = j = 1
+    while True:
+        window = joined_pairs(b"".join(left[-i:] + right[:j]), ranks)
+        before = i == len(left) or joined_pairs(left[-i - 1] + window[0], ranks) == [left[-i - 1], window[0]]
+        after = j == len(right) or joined_pairs(window[-1] + right[j], ranks) == [window[-1], right[j]]
+        if before and after:
+            return left[:-i] + window + right[j:]
+        if max(0 if before else i, 0 if after else j) >= SETTLED:
+            return None
+        i, j = i if before else min(2 * i, len(left)), j if after else min(2 * j, len(right))
+
+
+def merged(raw: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one match of the pattern. A long match whose borders do not settle, such as one letter repeated, is joined in one piece."""
+    if raw in ranks:
+        return [ranks[raw]]
+    parts = joined_pairs(raw, ranks) if len(raw) <= LEAF else tree_parts(raw, ranks) or joined_pairs(raw, ranks)
+    return [ranks[x] for x in parts]
+
+
 class _Matches(dict):
     """The ids of each match of the pattern that was met lately."""
 
@@ -102,33 +135,37 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(lambda text: list(chain.from_iterable(map(matches.__getitem__, split(text)))), tokens, [len(t) for t in tokens])
 
 
-_STABLE = regex.compile(r"[^\W_][ \n]")
+_STABLE = regex.compile(r"\S(?= )|\p{L}(?=[^\p{L}\p{M}'’])|\p{N}(?=[^\p{N}\p{M}])")
 
 
 def _stable_near(text: str, start: int, middle: int, end: int) -> tuple[int, int]:
     """The last stable place up to `middle` and the first one from it, or start and end.
 
-    A place is stable if a letter or digit stands before it and a blank or line end at it: every match of the pattern ends
-    there, whatever stands around. No alternative holds a white space after another character, so no match crosses
-    it; none looks back, so what follows depends on the rest alone; and what stands before it ends with a match that
-    a blank cannot lengthen.
+    A place is stable if a blank follows something else there, or a run of letters or of digits ends, but not before a mark or an
+    apostrophe: every match of the pattern ends there, whatever stands around. No alternative holds a blank after
+    another character, or anything but letters after a letter, or but digits after a digit, so no match crosses it; none looks back,
+    so what follows depends on the rest alone; and what stands before it ends with a match that cannot be longer. The search
+    before `middle` grows by doubling.
     """
-    a = middle
-    while True:
-        a = max(text.rfind(" ", start + 1, a + 1), text.rfind("\n", start + 1, a + 1))
-        if a < 0 or text[a - 1].isalnum():
-            break
-        a -= 1
     after = _STABLE.search(text, max(start, middle - 1), end)
-    return (start if a < 0 else a), (after.start() + 1 if after else end)
+    b = after.end() if after and after.end() < end else end
+    if b == middle:
+        return b, b
+    width = 64
+    while True:
+        low = max(start, middle - width)
+        a = max((m.end() for m in _STABLE.finditer(text, low, middle) if m.end() < middle), default=start)
+        if a > start or low == start:
+            return a, b
+        width *= 2
 
 
 def encode_tree(text: str, start: int, end: int, encode: Callable[[str], list[int]], lengths: list[int], leaf: int = LEAF) -> list[int]:
     """Ids of text[start:end], equal to those of encoding it in one go.
 
     Halves are encoded by themselves. At their border a window is encoded anew; it grows on either side until it
-    reaches a stable place or the end of that half, beyond which no id can change. A range without any stable place
-    would be encoded anew as a whole, so it is not halved.
+    reaches a stable place or the end of that half, beyond which no id can change. A range without any stable place, mostly
+    a single match, is not halved here: long matches have a tree of their own (`tree_parts`).
     """
     if end - start <= leaf or not _STABLE.search(text, start, end):
         return encode(text[start:end])

@@ -280,7 +280,7 @@ def test_the_tree_encodes_as_one_piece(leaf):
     known, encoding = library()
     rng = random.Random(leaf)
     for _ in range(400):
-        t = "".join(rng.choice("ab '\n\t  sltdé中ß,.!9_ ") for _ in range(rng.randint(0, 70)))
+        t = "".join(rng.choice("ab '’\n\t  sltdé中ß,.!97_ \u0301\x1c\x85\xa0") for _ in range(rng.randint(0, 70)))
         ids = bpe.encode_tree(t, 0, len(t), known.encode, known.lengths, leaf)
         assert ids == encoding.encode_ordinary(t) and bpe.decode_tree(ids, known.tokens, leaf) == t.encode()
 
@@ -294,6 +294,34 @@ def test_matches_are_merged_as_the_library_does():
             assert known.encode(t) == encoding.encode_ordinary(t)
 
 
+@pytest.mark.parametrize("leaf", [1, 4, 33])
+def test_long_matches_are_joined_by_a_tree_as_in_one_piece(leaf):
+    known, _ = library()
+    ranks, rng, settled = {t: i for i, t in enumerate(known.tokens) if t}, random.Random(leaf), 0
+    for letters in ("ab", "etaoinshrdlu", "éßñ中日本", "x", "=-"):
+        for size in (2, 7, 40, 300, 1500):
+            raw = "".join(rng.choice(letters) for _ in range(size)).encode()
+            parts = bpe.tree_parts(raw, ranks, leaf)
+            settled += parts is not None
+            assert parts is None or parts == bpe.joined_pairs(raw, ranks)
+    assert settled >= 20  # a repeated letter shifts every part and is joined in one piece
+
+
+def test_texts_without_blanks_enter_the_tree(monkeypatch):
+    known, encoding = library()
+    rng, plain, longest = random.Random(3), bpe.joined_pairs, []
+    kana = "".join(rng.choice("あいうえおかきくけこ日本語学校の") for _ in range(46_000))
+    hexes = "".join(rng.choice("0123456789abcdef") for _ in range(60_000))
+    pauses = "".join(rng.choice("あいうえおかきくけこ日本語学校の。、") for _ in range(46_000))
+    monkeypatch.setattr(bpe, "joined_pairs", lambda raw, ranks: longest.append(len(raw)) or plain(raw, ranks))
+    for t in (kana, hexes, pauses, "".join(rng.choice("acgt") for _ in range(50_000))):
+        pieces = []
+        ids = bpe.encode_tree(t, 0, len(t), lambda x: pieces.append(len(x)) or known.encode(x), known.lengths)
+        assert ids == encoding.encode_ordinary(t)
+        assert t not in (hexes, pauses) or max(pieces) <= 2 * bpe.LEAF
+    assert max(longest) <= 4 * bpe.LEAF
+
+
 def test_every_kind_of_character_is_split_as_the_library_does():
     known, encoding = library()
     for c in [*range(0x3000), *range(0x3000, 0x110000, 97)]:

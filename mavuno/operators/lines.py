@@ -1,4 +1,4 @@
-"""Texts as ordered lines: blocks that start at some lines, within a text without a shuffle or across pages by windows."""
+"""Texts as ordered lines: blocks that start at some lines, within a text without a shuffle or across the pages of a book."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import let, strip
 from .ordered import counted
 
 _HEAD, _BODY = "\u0001", "\u0002"
@@ -54,7 +54,21 @@ def blocks(lines: DataFrame, text: list[str], order: list[str], starts: Column,
     return counted(lines, text, order, starts, into)
 
 
-def joined(lines: DataFrame, keys: list[str], order: list[str], line: Column, into: str = "body") -> DataFrame:
-    """The lines of each group of keys, joined in order; null lines are left out."""
-    ordered = F.array_sort(F.collect_list(F.struct(*order, line.alias("_line"))))
-    return lines.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x["_line"]), "\n").alias(into))
+def parts_at(lines: Column, is_head: Mark) -> Column:
+    """Blocks of an array of lines as structs (head, lines), in order; the first has a null head and may have no lines. They are
+    cut at the places of the heads, so nothing is put into the text; each line is tested once."""
+
+    def parts(l: Column, starts: Column) -> Column:
+        rest = lambda at, k: F.slice(l, at + 2, F.coalesce(F.get(starts, k + 1), F.size(l)) - at - 1)
+        return F.transform(starts, lambda at, k: F.struct(F.get(l, at).alias("head"), rest(at, k).alias("lines")))
+
+    def places(l: Column) -> Column:
+        return F.concat(F.array(F.lit(-1)), F.filter(F.transform(l, lambda x, i: F.when(is_head(x), i)), lambda i: i.isNotNull()))
+
+    return let(lines, lambda l: let(places(l), lambda starts: parts(l, starts)))
+
+
+def put_together(parts: DataFrame, keys: list[str], order: list[str], lines: str = "lines") -> DataFrame:
+    """The arrays of lines of each group of keys as one text `body`, in order; null lines are left out, groups without lines go."""
+    ordered = F.array_sort(F.collect_list(F.struct(*order, F.col(lines).alias("_lines"))))
+    return parts.filter(F.size(lines) > 0).groupBy(*keys).agg(F.array_join(F.flatten(F.transform(ordered, lambda x: x["_lines"])), "\n").alias("body"))

@@ -61,27 +61,36 @@ def _same(by: list[str]) -> Column:
     return same
 
 
-def _before(dealt: DataFrame, by: list[str], total: Column, added) -> DataFrame:
-    """dealt with `_before`: what the ranges before a row's own give for its key. Null keys count as a key."""
-    ends = dealt.groupBy("_range", *by).agg(total.alias("_end"))
+def running(df: DataFrame, by: list[str], order: list[str], last: dict[str, Column] | None = None, total: dict[str, Column] | None = None, own: bool = True) -> DataFrame:
+    """Add the last value that is not null, and the sum, up to each row of its key, for each named column; with `own` False
+    without the row itself. Null keys count as a key.
+
+    A key of any size is spread over many ranges; each range fills its own rows, and its first ones from the ends of the ranges before it.
+    """
+    last, total = last or {}, total or {}
+    dealt = _ranged(df.withColumns({f"_own_{n}": c for n, c in {**last, **total}.items()}), by, order)
+    ends = dealt.groupBy("_range", *by).agg(
+        *[F.max_by(f"_own_{n}", F.when(F.col(f"_own_{n}").isNotNull(), F.struct(*order))).alias(f"_end_{n}") for n in last],
+        *[F.sum(f"_own_{n}").alias(f"_end_{n}") for n in total],
+    )
     earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a key
-    ends = ends.select(F.col("_range").alias("_r"), *[F.col(b).alias(f"_k{i}") for i, b in enumerate(by)], added(F.col("_end")).over(earlier).alias("_before"))
-    return dealt.join(ends, _same(by), "left").drop("_r", *[f"_k{i}" for i in range(len(by))])
+    ends = ends.select(
+        F.col("_range").alias("_r"),
+        *[F.col(b).alias(f"_k{i}") for i, b in enumerate(by)],
+        *[F.last(f"_end_{n}", ignorenulls=True).over(earlier).alias(f"_end_{n}") for n in last],
+        *[F.coalesce(F.sum(f"_end_{n}").over(earlier), F.lit(0)).alias(f"_end_{n}") for n in total],
+    )
+    inside = Window.partitionBy("_range", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
+    new = {n: F.coalesce(F.last(f"_own_{n}", ignorenulls=True).over(inside), F.col(f"_end_{n}")) for n in last}
+    new |= {n: F.col(f"_end_{n}") + F.coalesce(F.sum(f"_own_{n}").over(inside), F.lit(0)) for n in total}
+    return dealt.join(ends, _same(by), "left").select(*[c for c in df.columns if c not in new], *[c.alias(n) for n, c in new.items()])
 
 
 def carried(df: DataFrame, by: list[str], order: list[str], value: Column, into: str) -> DataFrame:
-    """Add the last value that is not null up to each row of its key. A key of any size is spread over many ranges; each
-    range fills its own rows, and its first ones from the ends of the ranges before it."""
-    dealt = _ranged(df.withColumn("_value", value), by, order)
-    last = F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*order)))
-    inside = Window.partitionBy("_range", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = _before(dealt, by, last, lambda x: F.last(x, ignorenulls=True))
-    return out.withColumn(into, F.coalesce(F.last("_value", ignorenulls=True).over(inside), "_before")).drop("_range", "_value", "_before")
+    """Add the last value that is not null up to each row of its key."""
+    return running(df, by, order, last={into: value})
 
 
 def counted(df: DataFrame, by: list[str], order: list[str], mark: Column, into: str) -> DataFrame:
-    """Add the number of marked rows up to each row of its key, range by range as in `carried`."""
-    dealt = _ranged(df.withColumn("_value", F.when(mark, 1).otherwise(0)), by, order)
-    inside = Window.partitionBy("_range", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = _before(dealt, by, F.sum("_value"), F.sum)
-    return out.withColumn(into, F.coalesce("_before", F.lit(0)) + F.sum("_value").over(inside)).drop("_range", "_value", "_before")
+    """Add the number of marked rows up to each row of its key."""
+    return running(df, by, order, total={into: F.when(mark, 1).otherwise(0)})

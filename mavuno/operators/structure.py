@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .lines import blocks, joined, label_then_text, labelled, sections
-from .ordered import carried
+from .lines import label_then_text, labelled, parts_at, put_together, sections
+from .ordered import carried, running
 
 # Labels of sub-sections, their merged names, line patterns, bilingual section headings, and keyword rules in order.
 LABELS = ("SYMPTOMS", "CAUSES", "TREATMENT", "TREATMENTS", "REMEDIES", "DIET", "HYDROTHERAPY", "USES", "PREPARATION", "PREPARATIONS", "CAUTIONS", "WARNING", "NOTES", "OVERVIEW", "PREVENTION", "PROGNOSIS")
@@ -75,13 +75,30 @@ def wrapped_chunks(pages: DataFrame, text: str = "text", width: int = 600) -> Da
     return rows.select("source", "page_no", F.concat(F.lit("p"), F.col("page_no"), F.lit("-"), F.col("_at") + 1).alias("chunk_id"), "chunk")
 
 
-def segment_headings(lines: DataFrame, kind: str = "section") -> DataFrame:
-    """(source, heading, body) across the pages of a book; text before the first heading and headings without lines go."""
-    marked = blocks(lines.withColumn("line", F.trim("line")), ["source"], ["page_no", "pos"], T.is_heading("line", kind))
-    head = T.is_heading("line", kind)
-    heads = marked.filter(head & (F.col("block") > 0)).select("source", "block", F.col("line").alias("heading"))
-    bodies = joined(marked.filter(~head & (F.col("block") > 0)), ["source", "block"], ["page_no", "pos"], F.col("line"))
-    return heads.join(bodies, ["source", "block"]).select("source", "block", "heading", T.clean_block("body").alias("body"))
+def _page_states(found: DataFrame, n: Column, **last: Column) -> DataFrame:
+    """found with `_before`, the sum of n over the earlier pages of its book, and under each name the last value of those pages.
+
+    Only a few values a page are put in order; the pages' texts are met by (book, page). Pages of one number count once.
+    """
+    ends = found.groupBy("source", "page_no").agg(F.max(F.struct(n.alias("_n"), *[c.alias(k) for k, c in last.items()])).alias("_end")).select("source", "page_no", "_end.*")
+    states = running(ends, ["source"], ["page_no"], {k: F.col(k) for k in last}, {"_before": F.col("_n")}, own=False)
+    states = states.select(F.col("source").alias("_s"), F.col("page_no").alias("_p"), "_before", *last)
+    return found.join(states, F.col("source").eqNullSafe(F.col("_s")) & F.col("page_no").eqNullSafe(F.col("_p")))
+
+
+def segment_headings(pages: DataFrame, text: str = "text", kind: str = "section") -> DataFrame:
+    """(source, block, heading, body) across the pages of a book; text before the first heading and headings without lines go.
+
+    Pages are cut at their headings where they lie, then numbered on from the headings of the pages before; what goes on from the page
+    before is put together with it. Pages without text count for nothing; a null source is a book.
+    """
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
+    found = pages.filter(F.col(text).isNotNull()).select("source", "page_no", parts_at(lines, lambda x: T.is_heading(x, kind)).alias("_parts"))
+    states = _page_states(found, F.size("_parts") - 1, _open=F.element_at("_parts", -1)["head"])
+    rows = states.select("source", "page_no", "_before", "_open", F.posexplode("_parts").alias("_i", "_part"))
+    rows = rows.select("source", "page_no", "_i", (F.col("_before") + F.col("_i")).alias("block"), F.coalesce("_part.head", "_open").alias("heading"), "_part.lines")
+    bodies = put_together(rows.filter("block > 0"), ["source", "block", "heading"], ["page_no", "_i"])
+    return bodies.select("source", "block", "heading", T.clean_block("body").alias("body"))
 
 
 def canonical(label: Column) -> Column:
@@ -118,22 +135,25 @@ def parse_numbered(text: Column | str, anchor: str | None = None, named: bool =
     return F.filter(found, lambda x: x["head"].isNotNull() & (x["body"] != ""))
 
 
-def parse_conditions(lines: DataFrame, labels_first: bool = True) -> DataFrame:
+def parse_conditions(pages: DataFrame, text: str = "text", labels_first: bool = True) -> DataFrame:
     """(source, item, title, label, body): a line in capitals starts an item, a label line a part of it; parts come in order.
 
-    Labels are tested first by default, as in capitals they would start items; `labels_first=False` tests titles first.
+    Labels are tested first by default, as in capitals they would start items; `labels_first=False` tests titles first. Pages
+    are cut at titles and labels where they lie; item, title and label at the start of a page come from the pages before.
     """
-    full = lines.withColumn("line", T.strip("line")).filter("line <> ''")
-    noise = F.col("line").rlike(T.NOISE)
-    is_label = F.col("line").rlike(LABEL)
-    title = T.is_heading("line") & ~noise & (~is_label if labels_first else F.lit(True))
-    label = is_label & (F.lit(True) if labels_first else ~title)
-    order = ["page_no", "pos"]
-    rows = blocks(full, ["source"], order, title, "item")
-    rows = rows.withColumn("_title", title).withColumn("_label", F.when(title, F.lit("overview")).when(label, canonical(F.regexp_extract("line", LABEL, 1))))
-    w = Window.partitionBy("source", "item").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.filter("item > 0").withColumn("label", F.last("_label", ignorenulls=True).over(w)).withColumn("title", F.initcap(F.regexp_replace(F.first("line").over(w), r"\s+", " ")))
-    return joined(rows.filter(~F.col("_title") & F.col("_label").isNull()), ["source", "item", "title", "label"], order, F.col("line"))
+    lines = F.filter(F.transform(F.split(text, "\n"), T.strip), lambda x: x != "")
+    is_title = lambda x: T.is_heading(x) & ~x.rlike(T.NOISE) & (~x.rlike(LABEL) if labels_first else F.lit(True))
+    name = lambda x: canonical(F.regexp_extract(x, LABEL, 1))
+    found = pages.filter(F.col(text).isNotNull()).select("source", "page_no", parts_at(lines, is_title).alias("_items"))
+    end = F.element_at("_items", -1)
+    labels = F.filter(end["lines"], lambda x: x.rlike(LABEL))
+    label = F.when(F.size(labels) > 0, name(F.get(labels, F.size(labels) - 1))).when(end["head"].isNotNull(), F.lit("overview"))
+    rows = _page_states(found, F.size("_items") - 1, _title=end["head"], _label=label)
+    rows = rows.select("source", "page_no", "_before", "_title", "_label", F.posexplode("_items").alias("_i", "_item"))
+    first = F.when(F.col("_i") == 0, F.col("_label")).otherwise(F.lit("overview"))
+    rows = rows.select("source", "page_no", "_i", (F.col("_before") + F.col("_i")).alias("item"), F.coalesce("_item.head", "_title").alias("title"), first.alias("_first"), F.posexplode(parts_at(F.col("_item.lines"), lambda x: x.rlike(LABEL))).alias("_j", "_part"))
+    rows = rows.filter("item > 0").select("source", "page_no", "_i", "_j", "item", F.initcap(F.regexp_replace("title", r"\s+", " ")).alias("title"), F.coalesce(name(F.col("_part.head")), "_first").alias("label"), "_part.lines")
+    return put_together(rows, ["source", "item", "title", "label"], ["page_no", "_i", "_j"])
 
 
 def disease_entry(text: Column | str) -> Column:

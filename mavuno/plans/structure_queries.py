@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import structure as S
 from ..operators.ordered import numbered
-from .inputs import BOOK, BOOK_PAGES, ITEMS, book_lines, book_pages, documents, items
+from .inputs import BOOK, BOOK_PAGES, ITEMS, book_pages, documents, items
 from .registry import ORACLES, query
 from .text_queries import LEAD, _BLOCK, SQUASH, STRIP
 
@@ -66,7 +66,7 @@ _SECTION = f"(length(l) BETWEEN 1 AND 80 AND {_N('l')} >= 3 AND ({_CAPS('l')} >
  FROM b WHERE block > 0 GROUP BY source, block HAVING count(CASE WHEN NOT head THEN 1 END) > 0"""
 )
 def st_segment_headings(spark, sf_dir):
-    return S.segment_headings(book_lines(spark, sf_dir))
+    return S.segment_headings(book_pages(spark, sf_dir))
 
 
 _LABEL = rf"(?i)^\s*({'|'.join(S.LABELS)})\s*[:\-–—]?\s*$"
@@ -124,7 +124,7 @@ _NOISE = r"(?i)^(SECTION|PART|CHAPTER|BASIC PRINCIPLES|THE MOST IMPORTANT HERBS)
  SELECT source, CAST(item AS BIGINT) AS item, title, label, string_agg(line, chr(10) ORDER BY page_no, pos) AS body FROM l WHERE NOT ttl AND NOT lab GROUP BY ALL"""
 )
 def st_parse_conditions(spark, sf_dir):
-    return S.parse_conditions(book_lines(spark, sf_dir))
+    return S.parse_conditions(book_pages(spark, sf_dir))
 
 
 _DLAB = r"(?i)^\s*(SYMPTOMS?|CAUSES?|TREATMENTS?)\s*[:—-]?\s*$"

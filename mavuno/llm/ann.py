@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from .common import arrow_batches, cut, joined
 from .latent import sampled
-from .near_join import _bounds, _groups
+from .near_join import _bounds
 
 FIT_ROWS = 4096  # bound of the sample that the codes and the radius are fitted on
 TABLES = 32  # substrings of a code, each indexed
 REACH = 0.98  # share of the sample's true neighbours that the radius must hold, and that probing must meet; more rows only bring them nearer
 UNSURE = 8  # bits of a substring that further probes flip
 CHUNK = 4096  # rows of a bucket that one task holds
+CROWD = 16  # rows within the radius that a query meets in a chunk of a bucket; of more, the nearest are told there by their vectors
 QUERIES = 4096  # queries of a block that is compared with all rows
 
 
@@ -128,12 +129,11 @@ def fit(sample: np.ndarray, k: int, rows: int, seed: int = 13, rounds: int = 15)
     return Codes(mean, codes.rotation, bits, int(np.quantile(deep, REACH)), int(np.quantile(away, REACH)))
 
 
-def met(bucket: np.ndarray, asks: np.ndarray, packed: np.ndarray, radius: int, at_once: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
-    """Places (query, row) within the radius, for rows sorted by bucket, indexed ones before those that ask."""
+def meetings(bucket: np.ndarray, asks: np.ndarray, packed: np.ndarray, radius: int, at_once: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (query, row) within the radius, for rows sorted by bucket, indexed ones before those that ask; a query's are never split."""
     first = np.searchsorted(bucket, bucket, side="left")
     asking = np.flatnonzero(asks)
     counts = np.searchsorted(np.flatnonzero(~asks), asking) - np.searchsorted(np.flatnonzero(~asks), first[asking])
-    out = [(np.zeros(0, int), np.zeros(0, int))]
     step = 0
     ends = np.cumsum(counts)
     while step < len(asking):
@@ -143,16 +143,50 @@ def met(bucket: np.ndarray, asks: np.ndarray, packed: np.ndarray, radius: int, a
         row = np.repeat(first[asking[step:upto]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         away = hamming(packed[q], packed[row])
         within = away <= radius
-        q, row = q[within], row[within]
-        out.append((q, row))
+        yield q[within], row[within]
         step = upto
+
+
+def met(bucket: np.ndarray, asks: np.ndarray, packed: np.ndarray, radius: int, at_once: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """All `meetings` at once."""
+    out = [(np.zeros(0, int), np.zeros(0, int)), *meetings(bucket, asks, packed, radius, at_once)]
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
+def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by bucket, chunk and ask, re-cut so that all indexed rows of a chunk stand before each of its queries. Queries of
+    a chunk that has very many come in several parts, each behind the same indexed rows."""
+    rest: pd.DataFrame | None = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        last = ((rest["bucket"] == rest["bucket"].iloc[-1]) & (rest["chunk"] == rest["chunk"].iloc[-1])).to_numpy()
+        if not last.all():
+            yield rest[~last]
+            rest = rest[last].reset_index(drop=True)
+        if len(rest) > 4 * CHUNK and rest["ask"].iloc[-1]:
+            yield rest
+            rest = rest[~rest["ask"].to_numpy(bool)].reset_index(drop=True)
+    if rest is not None and len(rest):
+        yield rest
+
+
+def _codes(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What `meetings` needs of a frame: numbers of the buckets' chunks, which rows ask, and codes."""
+    starts = np.zeros(len(frame), int)
+    starts[_bounds(frame, ["bucket", "chunk"])] = 1
+    return np.cumsum(starts), frame["ask"].to_numpy(bool), np.frombuffer(b"".join(frame["code"]), np.uint64).reshape(len(frame), -1)
+
+
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row-wise cosines in double precision, with the same order of operations for every row."""
     a, b = _scaled(np.atleast_2d(a)), _scaled(np.atleast_2d(b))
-    return (b * a).sum(axis=-1) / (np.sqrt((a * a).sum(axis=-1)) * np.sqrt((b * b).sum(axis=-1)))
+    return (b * a).sum(axis=-1) / (_lengths(a) * _lengths(b))
+
+
+def _lengths(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x * x).sum(axis=-1))
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -165,48 +199,81 @@ def usable(vector: str) -> Column:
     return F.col(vector).isNotNull() & (F.size(vector) > 0) & F.coalesce(finite, F.lit(False)) & F.exists(vector, lambda v: v != 0)
 
 
-def candidates(base: DataFrame, asking: DataFrame, codes: Codes) -> DataFrame:
-    """Distinct (query_id, id) pairs that the substring indexes retrieve within the radius, other than a query and itself.
+def sent(rows: DataFrame, codes: Codes, asks: bool) -> DataFrame:
+    """bucket, id, ask, code: each row in the bucket of each of its substrings, or each query in the buckets that it probes."""
 
-    Each row of base is sent to the bucket of each of its substrings, each query to the buckets that it probes: the keys of
-    the shuffle are (substring, value). Buckets of more than CHUNK rows are dealt over chunks, and their probes go to each.
-    """
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(0, len(batch), 256):
+                part = batch.iloc[i : i + 256]
+                x = codes.projected(_units(_matrix(part["vector"])))
+                keys = codes.probes(x) if asks else codes.keys(x)[..., None]
+                buckets = (np.arange(TABLES)[None, :, None] << 32 | keys).reshape(len(part), -1)
+                packed = [c.tobytes() for c in codes.packed(x)]
+                n = buckets.shape[1]
+                yield pd.DataFrame({"bucket": buckets.ravel(), "id": np.repeat(part["id"].to_numpy(), n), "ask": asks, "code": np.repeat(np.array(packed, object), n)})
+
+    return rows.mapInPandas(work, "bucket long, id long, ask boolean, code binary")
 
-    def sent(asks: bool):
-        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for i in range(0, len(batch), 256):
-                    part = batch.iloc[i : i + 256]
-                    x = codes.projected(_units(_matrix(part["vector"])))
-                    keys = codes.probes(x) if asks else codes.keys(x)[..., None]
-                    buckets = (np.arange(TABLES)[None, :, None] << 32 | keys).reshape(len(part), -1)
-                    packed = [c.tobytes() for c in codes.packed(x)]
-                    n = buckets.shape[1]
-                    yield pd.DataFrame({"bucket": buckets.ravel(), "id": np.repeat(part["id"].to_numpy(), n), "ask": asks, "code": np.repeat(np.array(packed, object), n)})
-
-        return work
-
-    schema = "bucket long, id long, ask boolean, code binary"
-    index, probes = base.mapInPandas(sent(False), schema), asking.mapInPandas(sent(True), schema)
-    large = index.groupBy("bucket").agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > CHUNK)
+
+def dealt(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """Rows that were `sent`, with the chunk: large buckets are dealt over chunks of about CHUNK rows, and their probes go to each."""
     chunks = F.coalesce(F.ceil(F.col("_size") / CHUNK), F.lit(1)).cast("int")
-    rows = joined(index.unionByName(probes), large, ["bucket"], "_size", how="left", spread=F.col("id")).withColumn("_chunks", chunks)
+    rows = joined(rows, large, ["bucket"], "_size", how="left", spread=F.col("id"), keep=False).withColumn("_chunks", chunks)
     mine = F.array(F.pmod(F.xxhash64("id"), F.col("_chunks")).cast("int"))
     rows = rows.withColumn("chunk", F.explode(F.when(F.col("ask"), F.sequence(F.lit(0), F.col("_chunks") - 1)).otherwise(mine)))
+    return rows.select("bucket", "chunk", "id", "ask", "code")
+
+
+def _together(rows: DataFrame) -> DataFrame:
+    """The rows of each chunk in one task, indexed ones before those that ask. The keys of the shuffle are (substring, value) and the chunk."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "bucket", "chunk").sortWithinPartitions("bucket", "chunk", "ask")
+
+
+def candidates(rows: DataFrame, codes: Codes) -> DataFrame:
+    """What the queries meet within the radius, themselves left out: pairs (query_id, id), and for a query that meets more than CROWD
+    rows in a chunk of a bucket one row without an id, which names the chunk for `nearest_in_crowds`. So a group of near copies makes
+    no row for each pair in it."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in _groups(batches, ["bucket", "chunk"]):
-            starts = np.zeros(len(frame), int)
-            starts[_bounds(frame, ["bucket", "chunk"])] = 1
+        for frame in _cells(batches):
             ids = frame["id"].to_numpy()
-            packed = np.frombuffer(b"".join(frame["code"]), np.uint64).reshape(len(frame), -1)
-            q, row = met(np.cumsum(starts), frame["ask"].to_numpy(bool), packed, codes.radius)
-            pairs = pd.DataFrame({"query_id": ids[q], "id": ids[row]}).drop_duplicates()
-            yield pairs[pairs["query_id"] != pairs["id"]]
+            for q, row in meetings(*_codes(frame), codes.radius):
+                other = ids[q] != ids[row]
+                q, row = q[other], row[other]
+                crowded = np.bincount(q, minlength=len(frame)) > CROWD
+                few = ~crowded[q]
+                yield pd.DataFrame({"query_id": ids[q[few]], "id": ids[row[few]]}).drop_duplicates().assign(bucket=None, chunk=None, code=None)
+                crowds = frame[crowded]
+                yield pd.DataFrame({"query_id": crowds["id"], "id": None, "bucket": crowds["bucket"], "chunk": crowds["chunk"], "code": crowds["code"]})
+
+    return _together(rows).mapInPandas(work, "query_id long, id long, bucket long, chunk int, code binary")
+
+
+def nearest_in_crowds(index: DataFrame, crowds: DataFrame, base: DataFrame, asking: DataFrame, codes: Codes, k: int) -> DataFrame:
+    """The k nearest within the radius that a query meets in each chunk of a bucket where it meets a crowd: query_id, vec_id, score.
+
+    Only these chunks get vectors. What is not among the k nearest of its chunk cannot be among the k nearest of all, so nothing
+    is lost; the comparisons inside a chunk are made in numpy, in bounded steps.
+    """
+    index = index.join(crowds.select("bucket", "chunk").distinct(), ["bucket", "chunk"], "left_semi").join(base, "id")
+    asks = crowds.select("bucket", "chunk", F.col("query_id").alias("id"), F.lit(True).alias("ask"), "code").join(asking, "id")
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in _cells(batches):
+            ids, x = frame["id"].to_numpy(), _scaled(_matrix(frame["vector"]))
+            length = _lengths(x)
+            for q, row in meetings(*_codes(frame), codes.radius, at_once=max(1, (1 << 19) // x.shape[1])):
+                other = ids[q] != ids[row]
+                q, row = q[other], row[other]
+                score = (x[row] * x[q]).sum(axis=-1) / (length[q] * length[row])
+                order = np.lexsort((ids[row], -score, q))
+                q, row, score = q[order], row[order], score[order]
+                best = np.arange(len(q)) - np.searchsorted(q, q) < k
+                yield pd.DataFrame({"query_id": ids[q[best]], "vec_id": ids[row[best]], "score": score[best]})
 
-    parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("bucket", "chunk", "id", "ask", "code").repartition(parts, "bucket", "chunk").sortWithinPartitions("bucket", "chunk", "ask")
-    return dealt.mapInPandas(work, "query_id long, id long").distinct()
+    return _together(index.unionByName(asks)).mapInPandas(work, "query_id long, vec_id long, score double")
 
 
 def scanned(base: DataFrame, asking: list, k: int) -> DataFrame:
@@ -232,7 +299,8 @@ def neighbours(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
 
     Every usable row is indexed. Of equal vectors only the k + 1 rows of smallest key can be among the k nearest, so the
     others are left out before the search, which bounds what copies cost and is exact. `candidates` finds what lies
-    within the radius; their vectors are joined and reranked in double precision. Queries with fewer than k candidates
+    within the radius; their vectors are joined and reranked in double precision, and where a query meets a crowd of near copies,
+    `nearest_in_crowds` ranks them where they lie. Queries with fewer than k candidates
     are compared with all rows, in blocks of QUERIES. Rows without a key take no part; vectors of another length than
     the most frequent one do neither. Ties go to the smaller key; other columns are left out.
     """
@@ -248,7 +316,7 @@ def neighbours(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     codes = fit(_matrix(sample["vector"]), k, n)
 
     copies = Window.partitionBy(*[F.xxhash64(F.lit(s), "vector") for s in (0, 1)]).orderBy("id")
-    base = rows.withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") <= k + 1).select("id", "vector")
+    base = cut(rows.withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") <= k + 1).select("id", "vector"))
     asking = rows.filter("asks").select("id", "vector")
 
     def rerank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -256,10 +324,18 @@ def neighbours(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
             if len(batch):
                 yield pd.DataFrame({"query_id": batch["query_id"], "vec_id": batch["id"], "score": cosines(_matrix(batch["asked"]), _matrix(batch["vector"]))})
 
-    pairs = candidates(base, asking, codes).join(base, "id").join(asking.select(F.col("id").alias("query_id"), F.col("vector").alias("asked")), "query_id")
+    index = sent(base, codes, asks=False)
+    large = cut(index.groupBy("bucket").agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > CHUNK))
+    near = cut(candidates(dealt(index.unionByName(sent(asking, codes, asks=True)), large), codes))
+    pairs = near.filter(F.col("id").isNotNull()).select("query_id", "id").distinct()
+    pairs = pairs.join(base, "id").join(asking.select(F.col("id").alias("query_id"), F.col("vector").alias("asked")), "query_id")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = lambda found: found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-    found = cut(ranked(pairs.mapInPandas(rerank, "query_id long, vec_id long, score double")))
+    scored = pairs.mapInPandas(rerank, "query_id long, vec_id long, score double")
+    crowds = near.filter(F.col("id").isNull()).select("query_id", "bucket", "chunk", "code")
+    if not crowds.isEmpty():
+        scored = scored.unionByName(nearest_in_crowds(dealt(index, large), crowds, base, asking, codes, k)).distinct()
+    found = cut(ranked(scored))
     full = found.filter(F.col("rank") == min(k, n - 1)).select(F.col("query_id").alias("id"))
     lacking = cut(asking.join(full, "id", "left_anti"))
     found = found.join(lacking.select(F.col("id").alias("query_id")), "query_id", "left_anti")

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -270,6 +271,59 @@ def test_recall_and_share_of_what_is_looked_at(spark):
     assert within.mean() < 0.05 and probed.mean() < 0.6  # reranked, and met by probing; the vectors have no structure to learn
 
 
+def near_copies(spark, groups: int, each: int):
+    """id, vector, asks: groups of near copies among random vectors; every tenth row asks."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([c + 0.02 * rng.standard_normal((each, 32)) for c in rng.standard_normal((groups, 32))] + [rng.standard_normal((300, 32))])
+    return x, spark.createDataFrame([(i, v.tolist(), i % 10 == 0) for i, v in enumerate(x)], "id long, vector array<double>, asks boolean")
+
+
+def test_rows_made_for_near_copies_grow_with_their_number(spark):
+    made = []
+    for each in (200, 800):
+        x, df = near_copies(spark, 1, each)
+        codes, asking = ann.fit(x, 5, 1100), df.filter("asks")
+        index, none = ann.sent(df, codes, asks=False), spark.createDataFrame([], "bucket long, _size long")
+        rows = ann.dealt(index.unionByName(ann.sent(asking, codes, asks=True)), none)
+        near = ann.candidates(rows, codes)
+        assert near.filter("id is not null").groupBy("query_id").count().agg(F.max("count")).first()[0] <= ann.CROWD * ann.sent(asking.limit(1), codes, asks=True).count()
+        crowds = near.filter("id is null").select("query_id", "bucket", "chunk", "code")
+        best = ann.nearest_in_crowds(ann.dealt(index, none), crowds, df.select("id", "vector"), asking.select("id", "vector"), codes, 5)
+        assert crowds.count() and best.count() <= 5 * crowds.count()
+        made.append(near.count() + best.count())
+    assert made[1] < 6 * made[0]  # in proportion would be 4, with the square 16
+
+
+@pytest.mark.parametrize("chunk", [64, ann.CHUNK])
+def test_crowds_lose_no_neighbour(spark, monkeypatch, chunk):
+    x, df = near_copies(spark, 3, 300)
+    df = df.withColumnRenamed("id", "vec_id").withColumnRenamed("vector", "embedding")
+    found = lambda: [tuple(r) for r in ann.neighbours(df, F.col("asks")).orderBy("query_id", "rank").collect()]
+    with monkeypatch.context() as m:
+        m.setattr(ann, "CROWD", 1 << 40)  # a row for each pair
+        pairs = found()
+    monkeypatch.setattr(ann, "CHUNK", chunk)
+    got = found()
+    assert got == pairs and len(got) == 5 * 120
+    cosine = ann._units(x) @ ann._units(x).T
+    np.fill_diagonal(cosine, -2)
+    near = {(q, v) for q in range(0, 900, 10) for v in np.argsort(-cosine[q])[:5].tolist()}
+    assert len(near & {(q, v) for q, _, v, _ in got}) >= 0.95 * len(near)
+
+
+def test_queries_of_a_chunk_come_behind_its_rows(monkeypatch):
+    monkeypatch.setattr(ann, "CHUNK", 8)
+    rows = [(b, 0, 100 * b + i, i >= 6) for b, n in enumerate([3, 200, 6, 40]) for i in range(n)]
+    frame = pd.DataFrame(rows, columns=["bucket", "chunk", "id", "ask"])
+    parts = list(ann._cells(frame.iloc[i : i + 7] for i in range(0, len(frame), 7)))
+    assert all(len(p) <= 8 * 4 + 7 for p in parts)
+    asked = pd.concat([p[p["ask"]] for p in parts])
+    assert sorted(asked["id"]) == sorted(frame.loc[frame["ask"], "id"])
+    for p in parts:
+        for b in p.loc[p["ask"], "bucket"].unique():
+            assert p.loc[(p["bucket"] == b) & ~p["ask"], "id"].tolist() == frame.loc[(frame["bucket"] == b) & ~frame["ask"], "id"].tolist()
+
+
 def library():
     known = bpe.vocabulary(RANKS, PATTERN)
     return known, tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks={t: i for i, t in enumerate(known.tokens) if t}, special_tokens={})

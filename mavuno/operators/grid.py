@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import numpy as np
@@ -29,10 +29,10 @@ def every(blocks: int) -> Column:
     return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
 
 
-def meet(left: DataFrame, right: DataFrame, work: Callable[[pa.Table], Cell], schema: str) -> DataFrame:
+def meet(left: DataFrame, right: DataFrame, work: Callable[[pa.Table], Cell], schema: str, order: Sequence[str] = ()) -> DataFrame:
     """Both tables have a column `cell`; rows of one cell meet in one task.
 
-    A cell's rows of `left` are few by construction and are held, those of `right` stream past them. The
+    A cell's rows of `left` are few by construction and are held, those of `right` stream past them, sorted by `order`. The
     plan has one shuffle, whatever the number of cells.
     """
     names = [c for c in [*left.columns, *right.columns] if c != "cell"]
@@ -62,4 +62,4 @@ def meet(left: DataFrame, right: DataFrame, work: Callable[[pa.Table], Cell], sc
         if state is not None:
             yield from state.result()
 
-    return both.repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(run, schema)
+    return both.repartition("cell").sortWithinPartitions("cell", "kind", *order).mapInArrow(run, schema)

@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from mavuno.operators import activity
+from mavuno.operators import activity, search
 from mavuno.streaming import activity as streams
 
 
@@ -30,3 +30,21 @@ def test_the_throttled_stream_forgets_users(spark, tmp_path):
     more, less = got.exceptAll(want), want.exceptAll(got)
     assert (more.count(), less.count()) == (0, 0), (more.take(3), less.take(3))
     assert q.lastProgress["stateOperators"][0]["numRowsTotal"] < 50  # of 1,001 users and articles
+
+
+def test_titles_of_frequent_words_alone_make_no_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    titles = [" ".join(rng.sample([f"w{i}" for i in range(12)], rng.randrange(1, 10))) for _ in range(150)]
+    rows = [(f"{'ab'[i % 2]}-{i}", rng.choice(titles)) for i in range(400)] + [("c-1", "lone"), ("c-2", None)]
+    sent, meet = [], search.meet
+    monkeypatch.setattr(search, "TITLE_BLOCK", 64)
+    monkeypatch.setattr(search, "QUERY_PARTS", 3)
+    monkeypatch.setattr(search, "meet", lambda left, right, *rest: sent.append(left.count() + right.count()) or meet(left, right, *rest))
+    words = {i: set((t or "").split()) for i, t in rows}
+    want = set()
+    for i, _ in rows:
+        scored = sorted((-(len(words[i] & words[j]) + 2 * (i[0] == j[0])), t is not None, t or "", j) for j, t in rows if j != i)
+        want |= {(i, n, x[3], -x[0]) for n, x in enumerate(scored[:3], 1) if x[0]}
+    df = spark.createDataFrame(rows, "id string, title string")
+    assert {tuple(r) for r in search.related(df, hot=10, most=4).collect()} == want
+    assert sent[0] <= 4 * len(rows)  # each title once as a query and once for each of three blocks of queries, where pairs are 161,202

@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from mavuno.functions import text as T
 from mavuno.operators import activity, search
 from mavuno.streaming import activity as streams
 
@@ -48,3 +49,10 @@ def test_titles_of_frequent_words_alone_make_no_pairs(spark, monkeypatch):
     df = spark.createDataFrame(rows, "id string, title string")
     assert {tuple(r) for r in search.related(df, hot=10, most=4).collect()} == want
     assert sent[0] <= 4 * len(rows)  # each title once as a query and once for each of three blocks of queries, where pairs are 161,202
+
+
+def test_bullets_keep_what_a_line_ends_with(spark):
+    text = "• call 555-0\n- ends in 1\n– and 22 \n- tab\t\u00a0"
+    got = spark.createDataFrame([(text,)], "t string").select(T.bullet_items("t").alias("b"), T.dash_bullets("t").alias("d")).first()
+    assert got["b"] == ["call 555-0", "ends in 1", "and 22", "tab\t"]
+    assert got["d"] == "- call 555-0\n- ends in 1\n– and 22\n- tab\t"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from .ordered import cut, numbered
 from .structure import GROUPS, infer_group
 
@@ -20,10 +21,12 @@ def family_lists(items: DataFrame) -> DataFrame:
 
 def az_groups(items: DataFrame) -> DataFrame:
     """(letter, place, id, title): by the title's upper first letter, `#` for what is no letter A to Z; titles sorted regardless
-    of case."""
-    first = F.upper(F.substring(F.trim("title"), 1, 1))
-    rows = items.select(F.when(first.rlike("[A-Z]"), first).otherwise(F.lit("#")).alias("letter"), "id", "title")
-    return numbered(rows.withColumn("_low", F.lower("title")), ["letter"], ["_low", "id"]).drop("_low")
+    of case, null ones last."""
+    first = F.substring(T.trim_blanks("title"), 1, 1)
+    letter = F.when(first.rlike("[A-Za-zıſ]"), F.upper(first)).otherwise(F.lit("#"))  # tested before it is raised, as ß becomes SS
+    low = F.lower(F.translate("title", "İΣ", "iσ"))  # letter by letter, as lower() makes two of the one and looks at what follows the other
+    rows = items.select(letter.alias("letter"), "id", "title", F.col("title").isNull().alias("_none"), low.alias("_low"))
+    return numbered(rows, ["letter"], ["_none", "_low", "id"]).drop("_none", "_low")
 
 
 def group_buckets(items: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from mavuno.functions import text as T
-from mavuno.operators import activity, search
+from mavuno.operators import activity, browse, search
 from mavuno.streaming import activity as streams
 
 
@@ -56,3 +56,13 @@ def test_bullets_keep_what_a_line_ends_with(spark):
     got = spark.createDataFrame([(text,)], "t string").select(T.bullet_items("t").alias("b"), T.dash_bullets("t").alias("d")).first()
     assert got["b"] == ["call 555-0", "ends in 1", "and 22", "tab\t"]
     assert got["d"] == "- call 555-0\n- ends in 1\n– and 22\n- tab\t"
+
+
+def test_letters_that_upper_case_makes_longer_are_no_letters(spark):
+    titles = ["ßheit", "ﬁn", "ŉa", "éa", "apple", "İb", "ia", "ic", "\u00a0 Zinc", "ΑΣ", "ΑΣΑ", None]
+    rows = [(f"herb-{i}", t) for i, t in enumerate(titles)]
+    got = {r["title"]: (r["letter"], r["place"]) for r in browse.az_groups(spark.createDataFrame(rows, "id string, title string")).collect()}
+    assert got["apple"] == ("A", 1) and got["\u00a0 Zinc"] == ("Z", 1)
+    assert [got[t] for t in ("ia", "ic")] == [("I", 1), ("I", 2)]
+    others = sorted((x[1], t) for t, x in got.items() if x[0] == "#")
+    assert [t for _, t in others] == ["İb", "ßheit", "éa", "ŉa", "ΑΣ", "ΑΣΑ", "ﬁn", None]

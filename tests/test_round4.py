@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from mavuno.functions import text as T
-from mavuno.operators import activity, browse, search
+from mavuno.operators import activity, browse, search, structure
 from mavuno.streaming import activity as streams
 
 
@@ -66,3 +66,10 @@ def test_letters_that_upper_case_makes_longer_are_no_letters(spark):
     assert [got[t] for t in ("ia", "ic")] == [("I", 1), ("I", 2)]
     others = sorted((x[1], t) for t, x in got.items() if x[0] == "#")
     assert [t for _, t in others] == ["İb", "ßheit", "éa", "ŉa", "ΑΣ", "ΑΣΑ", "ﬁn", None]
+
+
+def test_sections_without_text_are_no_sections(spark):
+    rows = [(1, ""), (2, None), (3, "Causes:\n \nSIGNS:"), (4, "a\u0001b\nCauses:\nc\u0002d"), (5, "x:\u2028\n Risk  Factors : \ny")]
+    df = spark.createDataFrame(rows, "id int, t string")
+    got = {(r["id"], r["title"], r["body"], r["slug"]) for r in df.select("id", F.inline(structure.toc("t"))).collect()}
+    assert got == {(4, "Overview", "a\u0001b", "overview"), (4, "Causes", "c\u0002d", "causes"), (5, "Overview", "x:", "overview"), (5, "Risk Factors", "y", "risk-factors")}

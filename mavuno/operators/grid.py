@@ -19,7 +19,7 @@ class Cell(Protocol):
     def result(self) -> Iterator[pa.RecordBatch]: ...
 
 
-def dealt(key: str, blocks: int) -> Column:
+def dealt(key: Column | str, blocks: int) -> Column:
     """The block of a row among so many of about equal size."""
     return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("long")
 
@@ -63,3 +63,14 @@ def meet(left: DataFrame, right: DataFrame, work: Callable[[pa.Table], Cell], sc
             yield from state.result()
 
     return both.repartition("cell").sortWithinPartitions("cell", "kind", *order).mapInArrow(run, schema)
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """Vectors as the rows of a matrix; shorter ones are filled with zeros."""
+    lengths = np.diff(column.offsets.to_numpy())
+    flat = np.asarray(column.flatten(), np.float64)
+    if len(lengths) and (lengths == lengths[0]).all():
+        return flat.reshape(len(lengths), -1)
+    out = np.zeros((len(lengths), max(lengths, default=0)))
+    out[np.arange(out.shape[1]) < lengths[:, None]] = flat
+    return out

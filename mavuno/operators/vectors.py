@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .grid import dealt, every, meet
+from .grid import dealt, every, matrix, meet
 from .ordered import cut
 from .search import rank
 
-QUERY_BLOCK, INDEX_BLOCK = 2048, 16_384  # queries and index rows of a cell
+# Queries and index rows of a cell; of a cell with very many queries, and how many blocks of queries there are before cells grow; and scores held at a time.
+QUERY_BLOCK, INDEX_BLOCK = 2048, 16_384
+LARGE_QUERY_BLOCK, LARGE_INDEX_BLOCK, QUERY_BLOCKS, SCORES = 32_768, 131_072, 16, 8_388_608
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -84,30 +86,25 @@ def mean_pool(tokens: DataFrame, key: str, vector: str, mask: str) -> DataFrame:
     return means.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("pooled"))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Vectors as the rows of a matrix; shorter ones are filled with zeros."""
-    lengths = np.diff(column.offsets.to_numpy())
-    flat = np.asarray(column.flatten(), np.float64)
-    if len(lengths) and (lengths == lengths[0]).all():
-        return flat.reshape(len(lengths), -1)
-    out = np.zeros((len(lengths), max(lengths, default=0)))
-    out[np.arange(out.shape[1]) < lengths[:, None]] = flat
-    return out
-
-
 class _Nearest:
     """The best rows of a cell for each of its queries."""
 
     def __init__(self, queries: pa.Table, k: int, metric: str):
         self.k, self.metric = k, metric
         self.names = queries.column("q").combine_chunks()
-        self.y = _matrix(queries.column("y").combine_chunks())
+        self.y = matrix(queries.column("y").combine_chunks())
         self.lengths = np.linalg.norm(self.y, axis=1)[:, None]
         self.least = np.full(len(self.names), -np.inf)
         self.kept: list[pa.Table] = []
 
     def add(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids, x = batch.column("id"), _matrix(batch.column("x"))
+        step = max(SCORES // len(self.names), self.k, 1)
+        for at in range(0, len(batch), step):
+            self._score(batch.slice(at, step))
+        return iter(())
+
+    def _score(self, batch: pa.RecordBatch) -> None:
+        ids, x = batch.column("id"), matrix(batch.column("x"))
         dims = min(x.shape[1], self.y.shape[1])
         scores = self.y[:, :dims] @ x[:, :dims].T
         if self.metric == "cosine":
@@ -119,7 +116,6 @@ class _Nearest:
         self.kept.append(pa.table({"q": pa.array(q), "id": ids.take(pa.array(at)), "score": scores[q, at]}))
         if sum(map(len, self.kept)) > 4 * self.k * len(self.names) + 65_536:
             self.kept = [self._best()]
-        return iter(())
 
     def _best(self) -> pa.Table:
         found = pa.concat_tables(self.kept)
@@ -152,19 +148,24 @@ def _bands(norms: DataFrame, rows_each: int, bands_each: int = 8) -> tuple[DataF
     return rows, ends
 
 
-def top_k(index: DataFrame, queries: DataFrame, k: int, metric: str = "dot", key: str = "id", query_key: str = "query_id", vector: str = "embedding", query_block: int = QUERY_BLOCK, index_block: int = INDEX_BLOCK) -> DataFrame:
+def top_k(index: DataFrame, queries: DataFrame, k: int, metric: str = "dot", key: str = "id", query_key: str = "query_id", vector: str = "embedding", query_block: int | None = None, index_block: int | None = None) -> DataFrame:
     """(query_id, rank, id, score): the exact k best of the whole index for every query. Ties go to the smaller id.
 
     A grid of query blocks and index blocks: each cell keeps the k best of each of its queries, and these are ranked over
-    the cells. No query passes the driver, and the plan is the same for any number of blocks.
+    the cells. No query passes the driver, and the plan is the same for any number of blocks. Blocks grow with the number of queries up to a bound, so that few copies
+    of the index are shuffled, in the type that it has.
     With `metric="dot"` the index lies in blocks by length of its vectors, the longest first. The first blocks give each query a k-th best
     score to begin with; as no score exceeds the product of the two lengths, a query meets only the blocks
     that could better it, and cells without such queries are not made. Null vectors take no part; shorter ones count as filled with zeros.
     """
-    y = queries.select(F.col(query_key).alias("q"), F.col(vector).cast("array<double>").alias("y")).filter("y is not null")
-    x = index.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("x")).filter("x is not null")
+    y = queries.select(F.col(query_key).alias("q"), F.col(vector).alias("y")).filter("y is not null")
+    x = index.select(F.col(key).alias("id"), F.col(vector).alias("x")).filter("x is not null")
     schema = f"q {dict(y.dtypes)['q']}, id {dict(x.dtypes)['id']}, score double"
-    q_blocks = max(1, -(-y.count() // query_block))
+    y = cut(y)  # queries may be costly to make, and are copied for each block of the index
+    n = y.count()
+    query_block = query_block or min(LARGE_QUERY_BLOCK, max(QUERY_BLOCK, -(-n // QUERY_BLOCKS)))
+    q_blocks = max(1, -(-n // query_block))
+    index_block = index_block or (LARGE_INDEX_BLOCK if metric != "dot" and q_blocks >= QUERY_BLOCKS else INDEX_BLOCK)
     y = y.withColumn("qb", dealt("q", q_blocks))
     x, bands = _bands(x.withColumn("norm", norm("x") if metric == "dot" else F.lit(1.0)), index_block)
     blocks = bands[-1][1] if bands else 1

@@ -163,9 +163,7 @@ def em_for_you(spark, sf_dir):
     idx = index(spark, sf_dir)
     n = idx.count()
     reads = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % n).alias("id"), "ts", "event_id")
-    values = F.array_sort(F.collect_list(F.struct("dim", "value")))
-    profiles = A.profiles(reads, idx).groupBy("user_id").agg(F.transform(values, lambda x: x["value"]).alias("embedding"))
-    return V.top_k(idx, profiles, 8, "cosine", query_key="user_id").withColumn("score", F.round("score", 6))
+    return V.top_k(idx, A.profile_vectors(reads, idx), 8, "cosine", query_key="user_id").withColumn("score", F.round("score", 6))
 
 
 @query(

@@ -73,3 +73,22 @@ def test_sections_without_text_are_no_sections(spark):
     df = spark.createDataFrame(rows, "id int, t string")
     got = {(r["id"], r["title"], r["body"], r["slug"]) for r in df.select("id", F.inline(structure.toc("t"))).collect()}
     assert got == {(4, "Overview", "a\u0001b", "overview"), (4, "Causes", "c\u0002d", "causes"), (5, "Overview", "x:", "overview"), (5, "Risk Factors", "y", "risk-factors")}
+
+
+def test_profiles_are_summed_in_cells(spark, monkeypatch):
+    rng = random.Random(9)
+    vectors = {f"v{i}": [rng.random() for _ in range(5)] for i in range(40)}
+    reads = [(u, f"v{rng.randrange(42)}", dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rng.randrange(99)), 100 * u + i) for u in range(30) for i in range(u)]
+    sent, meet = [], activity.meet
+    monkeypatch.setattr(activity, "meet", lambda left, right, *rest: sent.append((left.count(), right.count())) or meet(left, right, *rest))
+    df = spark.createDataFrame(reads, "user_id long, id string, ts timestamp, event_id long")
+    index = spark.createDataFrame(list(vectors.items()), "id string, embedding array<float>")
+    for sizes in ({}, {"read_block": 100, "vector_block": 15}):
+        got = {r["user_id"]: r["embedding"] for r in activity.profile_vectors(df, index, **sizes).collect()}
+        for u in range(30):
+            own, want = sorted((r for r in reads if r[0] == u), key=lambda r: r[2:]), [0.0] * 5
+            for n, r in enumerate(own):
+                w = 0.85 ** (len(own) - 1 - n) * (0.15 if n else 1)
+                want = [a + w * b for a, b in zip(want, vectors.get(r[1], [0.0] * 5), strict=True)]
+            assert u not in got and not any(want) or all(abs(a - b) < 1e-6 for a, b in zip(got[u], want, strict=True))
+    assert sent == [(40, len(reads)), (40 * 5, len(reads))]  # a row for each read and for each copy of a vector, none for a number in it

@@ -92,3 +92,13 @@ def test_profiles_are_summed_in_cells(spark, monkeypatch):
                 want = [a + w * b for a, b in zip(want, vectors.get(r[1], [0.0] * 5), strict=True)]
             assert u not in got and not any(want) or all(abs(a - b) < 1e-6 for a, b in zip(got[u], want, strict=True))
     assert sent == [(40, len(reads)), (40 * 5, len(reads))]  # a row for each read and for each copy of a vector, none for a number in it
+
+
+def test_texts_are_cut_into_fields_once(spark):
+    rows = [("herb", "A", s, n, t) for s, n, t in [("b", 2, "Uses\n" + "x" * 90), ("b", 1, "Uses\n" + "y" * 90), (None, 0, "Uses\n" + "z" * 90), (None, 3, "Notes\n" + "n" * 90), ("c", 4, ""), ("c", 5, None)]]
+    pages = spark.createDataFrame(rows, "type string, title string, source string, page_no long, text string")
+    chunks = structure.facet_chunks(pages.select("type", "title", "source", "page_no", structure.split_subsections("text").alias("fields")))
+    plan = chunks._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?i)^\\s*(SYMPTOMS") == 3  # where a line is found to be a label, and twice where the label is read
+    got = {(r["chunk_id"], r["source"], r["content_en"][0]) for r in structure.filter_dedupe(chunks, "chunk_id", "content_en", ["source", "page_no"]).collect()}
+    assert got == {("herb:A#uses", "b", "y"), ("herb:A#notes", None, "n")}  # a null source comes last

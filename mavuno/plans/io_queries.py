@@ -90,7 +90,8 @@ def io_write_chunks(spark, sf_dir):
 def io_export_corpus_csv(spark, sf_dir):
     folder = _scratch(spark)
     P.export_corpus_csv(items(spark, sf_dir), folder)
-    return spark.read.options(**P.STYLE).schema("id string, title string, contentEn string").csv(folder)
+    rows = spark.read.options(**P.CORPUS_STYLE).schema("id string, title string, contentEn string").csv(folder)
+    return rows.withColumn("title", F.nullif(F.col("title"), F.lit("")))
 
 
 @query(f"WITH {ITEMS} SELECT id, CASE WHEN coalesce(trim(content_sw), '') = '' THEN 'yes' END AS needs_translation, nullif(content_sw, '') AS \"contentSw\" FROM items")

@@ -22,6 +22,8 @@ ITEM = StructType(
 PACK = StructType([*ITEM.fields, *[StructField(w, ArrayType(ITEM)) for w in ("items", "data", "records", "list")]])
 EVENT = StructType([StructField("type", _S), StructField("ts", _S), StructField("props", MapType(_S, _S))])
 STYLE = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
+#: As export_corpus_csv writes: blanks count, and what is quoted is never null.
+CORPUS_STYLE = {**STYLE, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "nullValue": "\u0000\u0001\u0000", "emptyValue": ""}
 
 
 def read_packs(spark: SparkSession, path: str) -> DataFrame:
@@ -136,9 +138,11 @@ def one_line_ends(c: Column | str) -> Column:
 
 
 def export_corpus_csv(items: DataFrame, path: str) -> None:
-    """id, title, contentEn, quoted, with plain line ends; items without an id are left out."""
+    """id, title, contentEn with plain line ends and the blanks that they have, quoted where they must be; an empty text is quoted, of a null one there is
+    nothing; items without an id are left out. To be read with CORPUS_STYLE."""
     rows = items.filter(T.blank_to_null("id").isNotNull()).select("id", one_line_ends("title").alias("title"), one_line_ends("content_en").alias("contentEn"))
-    rows.write.mode("overwrite").options(header=True, quote='"', escape='"', quoteAll=True).csv(path)
+    whole = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.write.mode("overwrite").options(header=True, quote='"', escape='"', **whole).csv(path)
 
 
 def export_worklist_csv(items: DataFrame, path: str) -> None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mavuno.functions import text as T
 from mavuno.operators import activity, browse, search, structure
+from mavuno.sources import packs
 from mavuno.streaming import activity as streams
 
 
@@ -102,3 +103,10 @@ def test_texts_are_cut_into_fields_once(spark):
     assert plan.count("(?i)^\\s*(SYMPTOMS") == 3  # where a line is found to be a label, and twice where the label is read
     got = {(r["chunk_id"], r["source"], r["content_en"][0]) for r in structure.filter_dedupe(chunks, "chunk_id", "content_en", ["source", "page_no"]).collect()}
     assert got == {("herb:A#uses", "b", "y"), ("herb:A#notes", None, "n")}  # a null source comes last
+
+
+def test_the_corpus_export_keeps_blanks_and_tells_empty_from_null(spark, tmp_path):
+    rows = [("1", " a ", "\n x \t\n"), ("2", "", ""), ("3", None, None), ("4", '"q', 'x",\n"'), ("5", "a\\", '\\"'), ("6", "#", "\t")]
+    packs.export_corpus_csv(spark.createDataFrame(rows, "id string, title string, content_en string"), str(tmp_path / "out"))
+    back = spark.read.options(**packs.CORPUS_STYLE).schema("id string, title string, contentEn string").csv(str(tmp_path / "out"))
+    assert sorted(tuple(r) for r in back.collect()) == rows

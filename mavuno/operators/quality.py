@@ -100,7 +100,7 @@ def skip_reason(least: int = 80) -> Column:
 
 def autofill(items: DataFrame) -> DataFrame:
     """Complete items: a family's image where there is none, the English text for a missing translation, sections under
-    canonical titles; marks what needs review and why."""
+    canonical titles; marks what needs review and why. Without any text the translation is empty, not null."""
     family = F.when(F.contains("id", F.lit("-")), F.split_part(F.col("id"), F.lit("-"), F.lit(1))).otherwise(F.lit("misc"))
     images = F.create_map(*[F.lit(x) for kv in FALLBACK_IMAGES.items() for x in kv])
     no_image = _missing("image")
@@ -109,7 +109,7 @@ def autofill(items: DataFrame) -> DataFrame:
     filled = filled.withColumn("image", F.when(F.col("_no_image"), F.coalesce(F.element_at(images, family), F.lit(FALLBACK_IMAGES["principle"]))).otherwise(F.col("image")))
     filled = filled.withColumn("image_credit", F.when(F.col("_no_image"), F.lit("Fallback image"))).withColumn("content_sw", F.when(F.col("_untranslated"), F.col("content_en")).otherwise(F.col("content_sw")))
     for c in ("content_en", "content_sw"):
-        filled = filled.withColumn(c, F.when(T.blank_to_null(c).isNotNull(), rebuild_sections(T.strip(c))).otherwise(F.col(c)))
+        filled = filled.withColumn(c, F.when(T.blank_to_null(c).isNotNull(), rebuild_sections(T.strip(c))).otherwise(F.lit("") if c == "content_sw" else F.col(c)))
     short = F.length(F.coalesce(T.blank_to_null("content_sw"), T.blank_to_null("content_en"), F.lit(""))) < 140
     missing = F.array_compact(F.array(F.when(F.col("_untranslated"), F.lit("translation")), F.when(short, F.lit("too_short"))))
     return filled.withColumn("missing_fields", missing).withColumn("needs_review", F.size("missing_fields") > 0).drop("_no_image", "_untranslated")

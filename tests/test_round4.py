@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from mavuno.functions import text as T
-from mavuno.operators import activity, browse, search, structure
+from mavuno.operators import activity, browse, quality, search, structure
 from mavuno.sources import packs
 from mavuno.streaming import activity as streams
 
@@ -110,3 +110,10 @@ def test_the_corpus_export_keeps_blanks_and_tells_empty_from_null(spark, tmp_pat
     packs.export_corpus_csv(spark.createDataFrame(rows, "id string, title string, content_en string"), str(tmp_path / "out"))
     back = spark.read.options(**packs.CORPUS_STYLE).schema("id string, title string, contentEn string").csv(str(tmp_path / "out"))
     assert sorted(tuple(r) for r in back.collect()) == rows
+
+
+def test_items_without_text_get_an_empty_translation(spark):
+    rows = [("herb-1", None, None), ("herb-2", " ", "\n"), ("herb-3", None, " t "), ("herb-4", " e", " ")]
+    df = spark.createDataFrame([(i, e, s, "x.jpg") for i, e, s in rows], "id string, content_en string, content_sw string, image string")
+    got = {r["id"]: (r["content_sw"], r["missing_fields"]) for r in quality.autofill(df).collect()}
+    assert got == {"herb-1": ("", ["too_short"]), "herb-2": ("", ["too_short"]), "herb-3": ("t", ["too_short"]), "herb-4": ("e", ["translation", "too_short"])}
